@@ -6,5 +6,4 @@ Layers
 ``operators``  DataFrame -> DataFrame building blocks
 ``sources``    readers and writers
 ``plans``      complete jobs composed from the operators
-``streaming``  the same operators fed by a growing folder of event files
 """

@@ -6,16 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
     """Class probabilities; the maximum is subtracted first so that exp cannot overflow."""
-    values = logits.cast("array<double>")
-    shifted = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return normalize(shifted)
+
+    def exps(values: Column) -> Column:
+        return _let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+
+    return normalize(_let(logits.cast("array<double>"), exps))
 
 
 def normalize(weights: Column) -> Column:
-    total = F.aggregate(weights, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(weights, lambda x: x / total)
+    """Scale an array of weights to sum 1."""
+
+    def divide(values: Column) -> Column:
+        total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+        return _let(total, lambda t: F.transform(values, lambda x: x / t))
+
+    return _let(weights, divide)
 
 
 def argmax(scores: Column) -> Column:
