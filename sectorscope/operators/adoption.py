@@ -136,3 +136,16 @@ def top_industries(monthly: DataFrame, top: int = 10, by: Sequence[str] = ()) ->
 def chart_series(monthly: DataFrame, top: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Rows of the stacked chart: month, series label, count."""
     return dims.series_label(top_industries(monthly, top, by), "industry").select(*by, "month", "series", "n")
+
+
+def chart_table(monthly: DataFrame, top: int = 10) -> DataFrame:
+    """Wide chart table: months in order, the ``top`` series by total, then ``Other``.
+
+    At most ``top + 1`` series names are fetched to name the columns.
+    """
+    series = chart_series(monthly, top)
+    names = series.groupBy("series").agg(F.sum("n").alias("n"))
+    order = names.orderBy(F.col("series") == "Other", F.desc("n"), F.asc("series")).collect()
+    columns = [r["series"] for r in order]
+    wide = series.groupBy("month").pivot("series", columns).agg(F.sum("n"))
+    return wide.na.fill(0).orderBy("month")

@@ -39,7 +39,7 @@ def length_stats(counts: DataFrame) -> DataFrame:
         F.min("length").alias("min_length"),
         F.max("length").alias("max_length"),
         mean.alias("mean_length"),
-        F.percentile("length", 0.5, "n").alias("median_length"),
+        F.percentile("length", 0.5, F.col("n")).alias("median_length"),
         F.when(total > 1, F.sqrt(spread / F.nullif(total - 1, F.lit(0)))).alias("std_length"),
     )
 
@@ -77,7 +77,7 @@ def length_histogram(counts: DataFrame, bins: int = 50) -> DataFrame:
 
 
 def _quartiles(counts: DataFrame) -> DataFrame:
-    q = F.percentile("length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), "n")
+    q = F.percentile("length", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n"))
     box = counts.agg(q.alias("q")).select(
         F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")
     )
