@@ -19,46 +19,47 @@ from sectorscope.operators import corpus, profile
 from sectorscope.operators.split import stratified_split
 from sectorscope.plans.prepare import prepare_corpus
 
-# Documents that have a quality label, by source: classes of unequal size.
+# Documents that have a quality label, by length in thousands: classes from common to rare.
 MIN_SAMPLES = 20
 
 
 def judged(spark, sf_dir):
     """Documents with their quality label; null where a document has none."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return docs.join(labels, "doc_id", "left")
 
 
-def judged_sources(spark, sf_dir):
-    return judged(spark, sf_dir).where(F.col("quality").isNotNull()).select(
-        F.col("doc_id").alias("id"), F.col("source").alias("code")
-    )
+def judged_classes(spark, sf_dir):
+    size_class = F.floor(F.col("n_chars") / 1000).cast("string")
+    rows = judged(spark, sf_dir).where(F.col("quality").isNotNull())
+    return rows.select(F.col("doc_id").alias("id"), size_class.alias("code"))
 
 
-_JUDGED = "judged AS (SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
-_SOURCES = f"{_JUDGED}, src AS (SELECT doc_id AS id, source AS code FROM judged WHERE quality IS NOT NULL)"
+_JUDGED = "judged AS (SELECT d.doc_id, d.source, d.n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))"
+_SOURCES = f"""{_JUDGED}, src AS (SELECT doc_id AS id, CAST(n_chars // 1000 AS VARCHAR) AS code
+  FROM judged WHERE quality IS NOT NULL)"""
 _COUNTS = f"{_SOURCES}, n AS (SELECT code, count(*) AS n FROM src GROUP BY 1)"
 
 
-@query(f"WITH {_JUDGED} SELECT doc_id, source, CAST(quality AS VARCHAR) AS quality FROM judged WHERE quality IS NOT NULL")
+@query(f"WITH {_JUDGED} SELECT doc_id, source, n_chars, CAST(quality AS VARCHAR) AS quality FROM judged WHERE quality IS NOT NULL")
 def target_present(spark, sf_dir):
     return corpus.drop_null_target(judged(spark, sf_dir), "quality")
 
 
 @query(f"WITH {_COUNTS} SELECT code, n FROM n")
 def class_counts(spark, sf_dir):
-    return corpus.class_counts(judged_sources(spark, sf_dir))
+    return corpus.class_counts(judged_classes(spark, sf_dir))
 
 
 @query(f"WITH {_COUNTS} SELECT code, n FROM n WHERE n < {MIN_SAMPLES}")
 def excluded_classes(spark, sf_dir):
-    return corpus.excluded_classes(judged_sources(spark, sf_dir), "code", MIN_SAMPLES)
+    return corpus.excluded_classes(judged_classes(spark, sf_dir), "code", MIN_SAMPLES)
 
 
 @query(f"WITH {_COUNTS} SELECT id, code FROM src WHERE code IN (SELECT code FROM n WHERE n >= {MIN_SAMPLES})")
 def frequent_class_rows(spark, sf_dir):
-    return corpus.keep_frequent_classes(judged_sources(spark, sf_dir), "code", MIN_SAMPLES)
+    return corpus.keep_frequent_classes(judged_classes(spark, sf_dir), "code", MIN_SAMPLES)
 
 
 @query(
@@ -199,11 +200,11 @@ def length_outliers(spark, sf_dir):
     f"""WITH {_COUNTS} SELECT code, n, round(100.0 * n / sum(n) OVER (), 6) AS share_pct FROM n ORDER BY code"""
 )
 def class_distribution(spark, sf_dir):
-    return profile.class_distribution(judged_sources(spark, sf_dir), "code").withColumn(
+    return profile.class_distribution(judged_classes(spark, sf_dir), "code").withColumn(
         "share_pct", F.round("share_pct", 6)
     )
 
 
 @query(f"WITH {_COUNTS} SELECT count(*) AS n_classes, min(n) AS smallest, max(n) AS largest, CAST(sum(n) AS BIGINT) AS total FROM n")
 def class_range(spark, sf_dir):
-    return profile.class_range(judged_sources(spark, sf_dir), "code")
+    return profile.class_range(judged_classes(spark, sf_dir), "code")

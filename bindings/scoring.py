@@ -23,6 +23,7 @@ from sectorscope.functions import scores as sc
 from sectorscope.functions.codes import CLASS_CODES
 from sectorscope.operators import classify as cl
 from sectorscope.operators import summary
+from sectorscope.operators.sizing import spread
 from sectorscope.plans import score as ps
 from sectorscope.plans.train import train_classifier
 
@@ -99,7 +100,7 @@ _SIMPLE = f"{NOISY_REPOS_CTE}, texts AS (SELECT id, {SIMPLE_TEXT_SQL} AS text FR
     FROM pair_guess JOIN label_dim ON label = class_index"""
 )
 def external_scorer(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     scored = cl.classify(pair_scores(rows), label_dim(spark)).drop("text")
     return scored.withColumn("confidence", F.round("confidence", 6))
 
@@ -150,7 +151,7 @@ def sample_predictions(spark, sf_dir):
       round(confidence, 6) AS confidence FROM docs JOIN pair_guess USING (id) JOIN label_dim ON label = class_index"""
 )
 def text_previews(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     scored = cl.classify(pair_scores(rows), label_dim(spark)).withColumn("confidence", F.round("confidence", 6))
     return summary.text_preview(scored).drop("class_index")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorscope.functions.codes import CLASS_CODES, SECTOR_CODES, SECTORS
+from sectorscope.operators.sizing import local_table
 
 CODE = "predicted_naics"
 
@@ -147,7 +148,7 @@ DIM_CTE = dim_cte()
 
 
 def label_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(CLASS_CODES)), "label int, code string")
+    return local_table(spark, list(enumerate(CLASS_CODES)), "label int, code string")
 
 
 def label_cte(name: str = "label_dim") -> str:

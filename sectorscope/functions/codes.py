@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorscope.functions.text import strip
+from sectorscope.operators.sizing import local_table
 
 # Public NAICS two-digit sectors, in list order.
 # (code, long description, medium description, short description); the last two exist for
@@ -61,7 +62,7 @@ def sector_dim(spark: SparkSession) -> DataFrame:
         (code, seq, long, medium, short, code in PRIMARY_CODES, code in SECTOR_CODES, code in CLASS_CODES)
         for seq, (code, long, medium, short) in enumerate(SECTORS)
     ]
-    return spark.createDataFrame(rows, SECTOR_DIM_SCHEMA)
+    return local_table(spark, rows, SECTOR_DIM_SCHEMA)
 
 
 def normalize_code(col: Column) -> Column:

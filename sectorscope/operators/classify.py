@@ -23,6 +23,7 @@ from sectorscope.functions import scores as sc
 from sectorscope.functions.text import tokens
 from sectorscope.operators import evaluation as ev
 from sectorscope.operators.corpus import attach_code
+from sectorscope.operators.sizing import local_table
 
 # A scorer opens a model and returns texts -> logits (rows x classes).
 Scorer = Callable[[Sequence[str]], np.ndarray]
@@ -101,7 +102,7 @@ def training_curve(df: DataFrame, model: LogisticRegressionModel) -> DataFrame:
     """Objective per iteration as ``(step, metric, value)``; one row per iteration."""
     history = enumerate(model.summary.objectiveHistory)
     rows = [(step, "loss", float(value)) for step, value in history]
-    return df.sparkSession.createDataFrame(rows, "step int, metric string, value double")
+    return local_table(df.sparkSession, rows, "step int, metric string, value double")
 
 
 def model_codes(model: PipelineModel) -> list[str]:

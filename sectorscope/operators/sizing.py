@@ -7,12 +7,34 @@ taken out of the shuffle, so that no task gets more than a small fraction of all
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 100_000
 HOT_KEY_ROWS = 1_000_000
 HOT_KEYS_KEPT = 1_000
+SMALL_INPUT_BYTES = 512 * 1024 * 1024
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few constant rows as a local relation, whose exact size the optimizer knows."""
+    names = [part.split()[0] for part in schema.split(",")]
+    columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in names]
+    return spark.createDataFrame(pa.table(dict(zip(names, columns))), schema)
+
+
+def spread(df: DataFrame, small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Give heavy per-row work to all cores when the input is small.
+
+    A small file is often one row group, which a single task has to read.  Only tables the
+    optimizer estimates below ``small_bytes`` are redistributed; larger ones have many row
+    groups and are left where they are.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(estimate)) > small_bytes:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def settle(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -21,8 +43,8 @@ def settle(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame
     Returns ``(local copy, True)`` when it has at most ``max_rows`` rows, so that later uses
     do not recompute it and a broadcast is known to be safe; otherwise ``(df, False)``.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return df, False
     return df.sparkSession.createDataFrame(rows, df.schema), True
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.operators import corpus
-from sectorscope.operators.sizing import settle
+from sectorscope.operators.sizing import settle, spread
 
 
 def prepare_corpus(
@@ -28,11 +28,12 @@ def prepare_corpus(
     ``keep`` names columns, such as the row id, to carry along.
     """
     rows = corpus.drop_null_target(repos, target)
+    narrow = rows.select(target)
     if labels is None or min_samples:
-        counts, _ = settle(corpus.class_counts(rows, target))
+        counts, _ = settle(corpus.class_counts(narrow, target))
         valid = counts.where(F.col("n") >= (min_samples or 0))
         known = corpus.label_dim(valid, target)
         labels = known if labels is None else labels.join(known.select("code"), "code", "left_semi")
-    labelled = corpus.attach_label(corpus.normalize_topics(rows), labels, target)
+    labelled = corpus.attach_label(corpus.normalize_topics(spread(rows)), labels, target)
     text = corpus.training_text_column(labelled, clean, max_readme_words)
     return labelled.withColumn("text", text).select(*keep, "text", "label"), labels

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sectorscope.functions.text import percent
 from sectorscope.operators import classify as cl
 from sectorscope.operators import corpus, dims, summary
+from sectorscope.operators.sizing import spread
 from sectorscope.sources.paths import suffix
 from sectorscope.sources.readers import read_csv, read_parquet, read_repos
 from sectorscope.sources.writers import write_batch
@@ -27,7 +28,7 @@ def score_corpus(
     max_readme_chars: int = 5000,
 ) -> DataFrame:
     """All input columns plus ``predicted_naics``, ``confidence`` and ``naics_description``."""
-    rows = corpus.take_rows(repos, limit, order_by)
+    rows = spread(corpus.take_rows(repos, limit, order_by))
     texts = rows.withColumn("text", corpus.batch_text_column(rows, max_readme_chars))
     scored = cl.classify(add_scores(texts), labels)
     named = dims.batch_description(scored, "predicted_naics")
@@ -45,7 +46,8 @@ def score_file(
 
 def predict_table(repos: DataFrame, add_scores: AddScores, labels: DataFrame, describe: bool = True) -> DataFrame:
     """Scoring with the simple text layout; the long description is optional."""
-    texts = repos.withColumn("text", corpus.simple_text_column(repos))
+    rows = spread(repos)
+    texts = rows.withColumn("text", corpus.simple_text_column(rows))
     scored = cl.classify(add_scores(texts), labels)
     columns = [*repos.columns, "predicted_naics", "confidence"]
     if not describe:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sectorscope.operators.classify import model_codes
+from sectorscope.operators.sizing import local_table
 from sectorscope.sources.paths import suffix
 from sectorscope.sources.readers import LABEL_SCHEMA, read_label_json, read_parquet
 
@@ -74,7 +75,7 @@ def load_labels(spark: SparkSession, path: str, model: PipelineModel | None = No
     except FileNotFoundError:
         if model is None:
             raise
-        return spark.createDataFrame(list(enumerate(model_codes(model))), LABEL_SCHEMA)
+        return local_table(spark, list(enumerate(model_codes(model))), LABEL_SCHEMA)
 
 
 def write_report(metrics: DataFrame, report: DataFrame, test_size: DataFrame, path: str) -> None:
