@@ -146,7 +146,7 @@ def stratified_sizes(spark, sf_dir):
 
 # --- profiles --------------------------------------------------------------------------------
 def lengths(spark, sf_dir):
-    return profile.length_counts(table(spark, sf_dir, "documents"))
+    return profile.store_length_counts(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT CAST(min(length(text)) AS INTEGER) AS min_length, CAST(max(length(text)) AS INTEGER) AS max_length, round(avg(length(text)), 6) AS mean_length FROM documents")

@@ -13,8 +13,8 @@ from bindings.tables import (
     NOISY_REPOS_CTE,
     label_dim,
     logits,
-    open_pair_scorer,
     pair_prob_cte,
+    pair_scorer,
     repos,
     table,
 )
@@ -27,7 +27,7 @@ from sectorscope.operators.sizing import spread
 from sectorscope.plans import score as ps
 from sectorscope.plans.train import train_classifier
 
-pair_scores = partial(cl.score_with, open_scorer=open_pair_scorer)
+pair_scores = partial(cl.score_with, open_scorer=pair_scorer())
 _NAMED = f"{LOGITS_CTE}, {LABEL_CTE}"
 
 

@@ -254,14 +254,19 @@ PAIRS = ["th", "en", "er", "ou", "on", "re", "an", "de", "le", "ai", "ie", "st",
 PAIR_WEIGHT = 0.05
 
 
-def open_pair_scorer():
-    """A stand-in for an opened model: texts -> logits."""
-    import numpy as np
+def pair_scorer(pairs=tuple(PAIRS), weight=PAIR_WEIGHT):
+    """Opener of a stand-in model: texts -> logits.
 
-    def score(texts):
-        return np.array([[PAIR_WEIGHT * t.count(p) for p in PAIRS] for t in texts], dtype="float64").reshape(-1, len(PAIRS))
+    The opener is an inner function, so it travels to the workers by value.
+    """
 
-    return score
+    def open_scorer():
+        def score(texts):
+            return [[weight * t.count(p) for p in pairs] for t in texts]
+
+        return score
+
+    return open_scorer
 
 
 def pair_prob_cte(source: str, id_col: str = "id") -> str:

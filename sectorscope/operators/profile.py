@@ -1,7 +1,7 @@
 """Length and class profiles.
 
-Texts are read once and reduced to a length frequency table (one row per distinct length);
-every statistic below is computed exactly from that table.
+Texts are read once and reduced to a length frequency table (one row per distinct length),
+which is stored; every statistic below is computed exactly from the stored table.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sectorscope.sources.paths import store
+
 
 def length_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``(length, n)``; null texts are left out."""
@@ -16,6 +18,11 @@ def length_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return lengths.groupBy("length").agg(F.count("*").alias("n"))
 
 
+def store_length_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Length counts in the shared folder, so that several statistics cost one text scan."""
+    return store(length_counts(df, text), "lengths")
+
+
 def length_range(counts: DataFrame) -> DataFrame:
     """Minimum, maximum and mean length."""
     return counts.agg(

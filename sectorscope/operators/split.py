@@ -161,11 +161,10 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` in {train, validation, test}; ``id_col`` must identify rows."""
     cuts = split_plan(df, label, id_col, test_size, val_size, seed, validate)
-    key = order_key(id_col, seed)
     part = (
-        F.when(key <= F.col("test_cut"), F.lit("test"))
-        .when(key <= F.col("val_cut"), F.lit("validation"))
+        F.when(F.col("_key") <= F.col("test_cut"), F.lit("test"))
+        .when(F.col("_key") <= F.col("val_cut"), F.lit("validation"))
         .otherwise(F.lit("train"))
     )
-    labelled = df.where(F.col(label).isNotNull())
-    return lookup_join(labelled, cuts, label, "left").withColumn("split", part).drop("test_cut", "val_cut")
+    keyed = df.where(F.col(label).isNotNull()).withColumn("_key", order_key(id_col, seed))
+    return lookup_join(keyed, cuts, label, "left").withColumn("split", part).select(*df.columns, "split")

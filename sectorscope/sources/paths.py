@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -15,6 +15,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/sectorscope-{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a derived table to the shared folder and go on from the stored copy.
+
+    Cuts the lineage: later jobs neither recompute it nor lose it with an executor.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def suffix(path: str) -> str:
     """File type by the end of the name: ``csv``, ``json``, ``parquet`` or ''."""
     last = str(path).rstrip("/").rsplit("/", 1)[-1]

@@ -35,7 +35,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     """CSV with header and quoted multi-line text.
 
     Quoted line ends keep a file from being split, so large inputs should come as many files.
-    Without a schema all columns are text.
+    Empty fields are null, quoted or not.  Without a schema all columns are text.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(str(path))
@@ -89,3 +89,7 @@ def read_label_json(spark: SparkSession, path: str) -> DataFrame:
     maps = spark.read.schema("id2label map<string,string>").option("multiLine", True).json(str(path))
     pairs = maps.select(F.explode("id2label").alias("id", "code"))
     return pairs.select(F.col("id").cast("int").alias("label"), "code")
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: read_parquet(spark, f"{path}/{name}") for name in ("metrics", "classes", "test_size")}

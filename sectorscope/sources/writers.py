@@ -83,7 +83,3 @@ def write_report(metrics: DataFrame, report: DataFrame, test_size: DataFrame, pa
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
     report.write.mode("overwrite").parquet(f"{path}/classes")
     test_size.write.mode("overwrite").parquet(f"{path}/test_size")
-
-
-def read_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: read_parquet(spark, f"{path}/{name}") for name in ("metrics", "classes", "test_size")}
