@@ -18,28 +18,29 @@ _WORD_START = r"(?<![\p{L}\p{N}_]{1,2})"
 _WORD_END = r"(?![\p{L}\p{N}_])"
 
 # The cleaning rules, in the order that defines the result.
-# (pattern, replacement).  The look-aheads on the first letter only save time.
+# (pattern, replacement).  The look-aheads on the first letters only save time; they list
+# the letters that count as equal when case is ignored (dotless and dotted i, long s).
 _LINE_RULES = [
     (r"(?dU)!\[.*?\]\(.*?\)", ""),
     (r"(?dU)\[!\[.*?\]\(.*?\)\]\(.*?\)", ""),
-    (r"(?dUi)(?=[magbc])(?:MIT License|Apache License|GPL|BSD|Copyright[^\n]*)(?:\n|$)", ""),
+    (r"(?dU)(?=[MAGBCmagbc][IPSOipsoıİſ])(?i:MIT License|Apache License|GPL|BSD|Copyright[^\n]*)(?:\n|$)", ""),
     (rf"(?dU)https?://([^/{WS}]+)[^{WS}]*", "$1"),
     (rf"(?dUm)^#{{1,6}}[{WS}]*", ""),
     (r"[*_~`]+", ""),
 ]
-# (first letter, words, canonical name)
+# (first letters, words, canonical name)
 _WORD_RULES = [
-    ("[jJ]", "javascript|js", "javascript"),
-    ("[pP]", "python|py", "python"),
-    ("[rR]", "reactjs|react", "react"),
-    ("[nN]", "nodejs|node", "nodejs"),
+    ("[jJ][aAsSſ]", "javascript|js", "javascript"),
+    ("[pP][yY]", "python|py", "python"),
+    ("[rR][eE][aA]", "reactjs|react", "react"),
+    ("[nN][oO][dD]", "nodejs|node", "nodejs"),
 ]
 _SQUEEZE_RULES = [
     (r"(?=[!?.])(?:([!?])\1+|(\.\.\.)\.+)", "$1$2"),
     (rf"(?U)[{WS}]+", " "),
     # Whitespace is single spaces by now, so no line end stops this one: an install
     # command drops the rest of the text.
-    (r"(?dUis)(?=[npg])(?:npm install|pip install|git clone).*", ""),
+    (r"(?dUs)(?=[NPGnpg][PITpitıİ])(?i:npm install|pip install|git clone).*", ""),
 ]
 CLEANING_RULES = (
     _LINE_RULES

@@ -21,8 +21,8 @@ def is_array(df: DataFrame, name: str) -> bool:
 
 
 def drop_null_target(df: DataFrame, target: str = "code") -> DataFrame:
-    """Keep rows with a target; the target becomes text."""
-    return df.where(F.col(target).isNotNull()).withColumn(target, F.col(target).cast("string"))
+    """Keep rows with a target (neither null nor NaN); the target becomes text."""
+    return df.na.drop(subset=[target]).withColumn(target, F.col(target).cast("string"))
 
 
 def class_counts(df: DataFrame, target: str = "code") -> DataFrame:

@@ -15,6 +15,7 @@ MAX_BROADCAST_ROWS = 100_000
 HOT_KEY_ROWS = 1_000_000
 HOT_KEYS_KEPT = 1_000
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
+SPREAD_BYTES = 256 * 1024
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -31,10 +32,11 @@ def spread(df: DataFrame, small_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
     optimizer estimates below ``small_bytes`` are redistributed; larger ones have many row
     groups and are left where they are.
     """
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(estimate)) > small_bytes:
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if estimate > small_bytes:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, estimate // SPREAD_BYTES + 1)
+    return df.repartition(tasks)
 
 
 def settle(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
