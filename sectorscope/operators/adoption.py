@@ -63,20 +63,21 @@ def by_month_and_industry(merged: DataFrame, by: Sequence[str] = ()) -> DataFram
     )
 
 
-def monthly_adoption(first: DataFrame, predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def monthly_adoption(
+    first: DataFrame, predictions: DataFrame, by: Sequence[str] = (), on: Sequence[str] = ("nwo",)
+) -> DataFrame:
     """Same counts straight from first use and predictions.
 
     Repeated predictions are counted before the join, so no repository brings more than one
-    row per code into it.
+    row per code into it.  ``on`` adds the tool where every tool has its own predictions.
     """
     scored = (
-        repo_codes(predictions)
-        .where(F.col("nwo").isNotNull() & F.col(CODE).isNotNull())
-        .groupBy("nwo", CODE)
+        predictions.where(F.col("nwo").isNotNull() & F.col(CODE).isNotNull())
+        .groupBy(*on, CODE)
         .agg(F.count("*").alias("_rows"))
     )
     dated = first.withColumn("month", utc_month(first, "first_use_date")).where(F.col("month").isNotNull())
-    return dated.join(scored, "nwo").groupBy(*by, "month", CODE).agg(F.sum("_rows").alias("n"))
+    return dated.join(scored, list(on)).groupBy(*by, "month", CODE).agg(F.sum("_rows").alias("n"))
 
 
 def month_by_industry(monthly: DataFrame, codes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

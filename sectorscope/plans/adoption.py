@@ -11,57 +11,62 @@ from pyspark.sql import functions as F
 
 from sectorscope.operators import adoption as ad
 from sectorscope.sources.readers import read_events, read_first_use, read_parquet
-
-
-def tool_first_use(groups: Mapping[str, DataFrame | None]) -> DataFrame:
-    """Stack the first-use tables of several tools; a tool without data is skipped with a warning."""
-    parts = []
-    for tool, first in groups.items():
-        if first is None:
-            warnings.warn(f"No event data for {tool}; it is left out", stacklevel=2)
-            continue
-        parts.append(first.select(F.lit(tool).alias("tool"), "nwo", "first_use_date"))
-    if not parts:
-        raise ValueError("No tool has event data")
-    return reduce(DataFrame.unionByName, parts)
+from sectorscope.sources.writers import write_first_use
 
 
 def tool_adoption(events: DataFrame, predictions: DataFrame, repo: str, time: str, tool: str = "tool") -> DataFrame:
-    """Monthly counts of all tools in one pass over a table with a tool column."""
+    """Monthly counts of all tools in one pass over an event table with a tool column."""
     first = ad.first_use(events, repo, time, by=[tool])
     return ad.monthly_adoption(first, predictions, by=[tool])
 
 
-def load_first_use(spark: SparkSession, path: str, computed: bool = False) -> DataFrame | None:
-    """First use from event lines, or from a pre-computed table; None when the file is missing."""
+def load_first_use(
+    spark: SparkSession, path: str, computed: bool = False, save_to: str | None = None
+) -> DataFrame | None:
+    """First use from event lines, or from a pre-computed table; None when the file is missing.
+
+    With ``save_to`` the table extracted from events is stored and read back.
+    """
     try:
         if computed:
             return read_first_use(spark, path)
-        events = read_events(spark, path)
-        return ad.first_use(events)
+        first = ad.first_use(read_events(spark, path))
     except FileNotFoundError:
         return None
-    except Exception as e:
-        if getattr(e, "getCondition", lambda: None)() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return write_first_use(first, save_to) if save_to else first
+
+
+def stack_tools(tables: Mapping[str, DataFrame | None]) -> DataFrame:
+    """One table with a ``tool`` column; a tool without data is left out with a warning."""
+    for tool, table in tables.items():
+        if table is None:
+            warnings.warn(f"No event data for {tool}; it is left out", stacklevel=2)
+    parts = [table.withColumn("tool", F.lit(tool)) for tool, table in tables.items() if table is not None]
+    if not parts:
+        raise ValueError("No tool has event data")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def adoption_report(
-    spark: SparkSession, events: Mapping[str, str], predictions: Mapping[str, str], computed: tuple[str, ...] = ()
+    spark: SparkSession,
+    events: Mapping[str, str],
+    predictions: Mapping[str, str],
+    computed: tuple[str, ...] = (),
+    first_use_dir: str | None = None,
 ) -> DataFrame:
     """Monthly counts per tool from files; every tool has its own scored table.
 
-    ``computed`` names the tools whose file already holds first-use dates.
+    ``computed`` names the tools whose file already holds first-use dates; the others are
+    extracted from event lines and, with ``first_use_dir``, stored there.
     """
-    first = {tool: load_first_use(spark, path, tool in computed) for tool, path in events.items()}
-    present = [tool for tool, table in first.items() if table is not None]
-    parts = [
-        ad.monthly_adoption(table.withColumn("tool", F.lit(tool)), read_parquet(spark, predictions[tool]), by=["tool"])
-        for tool, table in ((t, first[t]) for t in present)
-    ]
-    for tool in first.keys() - set(present):
-        warnings.warn(f"No event data for {tool}; it is left out", stacklevel=2)
-    if not parts:
-        raise ValueError("No tool has event data")
-    return reduce(DataFrame.unionByName, parts)
+    tables = {
+        tool: load_first_use(
+            spark, path, tool in computed, f"{first_use_dir}/{tool}_first_use.parquet" if first_use_dir else None
+        )
+        for tool, path in events.items()
+    }
+    first = stack_tools(tables).select("tool", "nwo", "first_use_date")
+    scored = stack_tools(
+        {tool: ad.repo_codes(read_parquet(spark, predictions[tool])) for tool, table in tables.items() if table is not None}
+    )
+    return ad.monthly_adoption(first, scored, by=["tool"], on=["tool", "nwo"])

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.operators import classify as cl
+from sectorscope.functions.scores import argmax
 from sectorscope.operators import evaluation as ev
 from sectorscope.operators.corpus import attach_code
 from sectorscope.operators.sizing import settle
@@ -20,7 +20,7 @@ SPLITS = ("train", "validation", "test")
 
 def predicted_pairs(rows: DataFrame, add_scores: AddScores, by: tuple[str, ...] = ()) -> DataFrame:
     """(label, prediction) of every row."""
-    scored = add_scores(rows).withColumn("_guess", cl.sc.argmax(F.col("probabilities")))
+    scored = add_scores(rows).withColumn("_guess", argmax(F.col("probabilities")))
     return ev.truth_prediction(scored, "label", "_guess", by)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +18,21 @@ REPO_SCHEMA = "code string, name_repo string, description string, topics string,
 LABEL_SCHEMA = "label int, code string"
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table; a missing path and an unreadable one are different errors."""
+def _open(load: Callable[[str], DataFrame], path: str) -> DataFrame:
+    """Open a file; a missing path and an unreadable one are different errors."""
     try:
-        return spark.read.parquet(str(path))
+        return load(str(path))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Data file not found: {path}") from e
-        raise ValueError(f"Failed to load parquet file: {e}") from e
-    except PySparkException as e:
-        raise ValueError(f"Failed to load parquet file: {e}") from e
-    except Exception as e:  # the JVM reports some broken footers without a condition
-        raise ValueError(f"Failed to load parquet file: {e}") from e
+        raise ValueError(f"Failed to load file: {e}") from e
+    except (PySparkException, Py4JError) as e:
+        raise ValueError(f"Failed to load file: {e}") from e
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table."""
+    return _open(spark.read.parquet, path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -38,7 +42,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     Empty fields are null, quoted or not.  Without a schema all columns are text.
     """
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return (reader.schema(schema) if schema else reader).csv(str(path))
+    return _open((reader.schema(schema) if schema else reader).csv, path)
 
 
 def read_repos(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -57,7 +61,7 @@ def read_events(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     Broken lines give null fields; with ``strict`` they stop the job.
     """
     reader = spark.read.schema(EVENT_SCHEMA).option("timeZone", "UTC")
-    return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(str(path))
+    return _open(reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json, path)
 
 
 def read_first_use(spark: SparkSession, path: str) -> DataFrame:

@@ -99,16 +99,17 @@ def test_tools_from_files(spark, tmp_path):
     predictions(spark).write.parquet(str(tmp_path / "p.parquet"))
     scored = dict.fromkeys("abc", str(tmp_path / "p.parquet"))
     events = {"a": str(tmp_path / "a.jsonl"), "b": str(tmp_path / "b.parquet"), "c": str(tmp_path / "none.jsonl")}
-    with pytest.warns(UserWarning, match="c"):
-        report = plan.adoption_report(spark, events, scored, computed=("b",))
-    assert values(report.select("tool", "month", "predicted_naics", "n"), "tool", "month") == [
-        ("a", JAN, "52", 1), ("a", MAR, "62", 1), ("b", MAR, "52", 1)
-    ]
+    want = [("a", JAN, "52", 1), ("a", MAR, "62", 1), ("b", MAR, "52", 1)]
+    for folder in (None, str(tmp_path / "first")):
+        with pytest.warns(UserWarning, match="c"):
+            report = plan.adoption_report(spark, events, scored, computed=("b",), first_use_dir=folder)
+        assert values(report.select("tool", "month", "predicted_naics", "n"), "tool", "month") == want
+    assert spark.read.parquet(str(tmp_path / "first" / "a_first_use.parquet")).count() == 2
 
 
 def test_tool_groups_skip_missing(spark):
     with pytest.warns(UserWarning, match="y"):
-        stacked = plan.tool_first_use({"x": first(spark), "y": None})
+        stacked = plan.stack_tools({"x": first(spark), "y": None})
     assert {r.tool for r in stacked.collect()} == {"x"}
     with pytest.raises(ValueError):
-        plan.tool_first_use({})
+        plan.stack_tools({})
