@@ -132,7 +132,7 @@ def score_with(df: DataFrame, open_scorer: Callable[[], Scorer], text: str = "te
                 parts.extend(np.asarray(score(batch.iloc[start : start + batch_size].tolist()), dtype="float64"))
             yield pd.Series(parts, dtype="object")
 
-    return score_logits(df.withColumn("_logits", logits(F.col(text))), "_logits").drop("_logits")
+    return score_logits(df.withColumn("_logits", logits(F.coalesce(F.col(text), F.lit("")))), "_logits").drop("_logits")
 
 
 def score_logits(df: DataFrame, logits: str = "logits") -> DataFrame:

@@ -18,13 +18,34 @@ RESULT_SETTINGS = {
 }
 
 
-def build_session(app_name: str = "sectorscope", **extra: str) -> SparkSession:
-    """Session for spark-submit; ``extra`` keys use ``__`` for dots."""
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_settings(shuffle_bytes: int) -> dict[str, str]:
+    """Start with partitions of about 128 MB for the largest expected shuffle.
+
+    Adaptive execution merges what turns out smaller, but it cannot split an even partition
+    that is too large, so the start value has to be high enough.
+    """
+    partitions = max(200, -(-shuffle_bytes // PARTITION_BYTES))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
+    }
+
+
+def build_session(
+    app_name: str = "sectorscope", shuffle_bytes: int = 0, settings: dict[str, str] | None = None
+) -> SparkSession:
+    """Session for spark-submit.
+
+    ``shuffle_bytes`` is the expected size of the largest shuffle: for adoption the distinct
+    (repository, first use) pairs, for everything else next to nothing.
+    """
     builder = SparkSession.builder.appName(app_name)
-    for key, value in RESULT_SETTINGS.items():
+    for key, value in {**RESULT_SETTINGS, **shuffle_settings(shuffle_bytes), **(settings or {})}.items():
         builder = builder.config(key, value)
-    for key, value in extra.items():
-        builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 

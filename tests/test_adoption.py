@@ -77,6 +77,17 @@ def test_month_is_utc(spark):
             spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+def test_pivot_sums_equal_long_form(spark, sf_dir):
+    from bindings.adoption import monthly as bound
+    from sectorscope.functions.codes import CLASS_CODES
+
+    m = bound(spark, sf_dir)
+    wide = ad.month_by_industry(m, CLASS_CODES).collect()
+    per_month = {r.month: r.n for r in m.groupBy("month").agg(F.sum("n").alias("n")).collect()}
+    assert {r.month: sum(r[c] for c in CLASS_CODES) for r in wide} == per_month
+    assert [r.month for r in wide] == sorted(per_month)
+
+
 def test_top_and_totals_agree(spark, sf_dir):
     from bindings.adoption import monthly as bound
 

@@ -137,6 +137,27 @@ def test_evaluate_table(spark):
     assert [r["class"] for r in result.ranking.collect()] == ["62", "52", "11"]
 
 
+@pytest.mark.parametrize("target", ["out.csv", "out.parquet"])
+def test_score_file(spark, tmp_path, target):
+    source = str(tmp_path / "in.parquet")
+    repos(spark, 4).write.parquet(source)
+    total = ps.score_file(spark, source, str(tmp_path / target), add_scores, labels(spark)).orderBy("rank").collect()
+    assert [(r.predicted_naics, r.n) for r in total] == [("11", 4), ("52", 4), ("62", 4)]
+    assert total[0].mean_confidence == pytest.approx(np.exp(3) / (np.exp(3) + 2))
+    stored = readers.read_repos(spark, str(tmp_path / target))
+    assert stored.count() == 12 and "naics_description" in stored.columns
+
+
+def test_null_text_is_scored_as_empty(spark):
+    df = spark.createDataFrame([(1, None)], "id int, text string")
+    assert cl.classify(add_scores(df), labels(spark)).first().predicted_naics == "11"
+
+
+def test_pairs_keep_group(spark):
+    rows = spark.createDataFrame([("test", 1, "bank")], "split string, label int, text string")
+    assert [tuple(r) for r in pe.predicted_pairs(rows, add_scores, by=("split",)).collect()] == [("test", 1, 1)]
+
+
 def test_unknown_split(spark):
     with pytest.raises(ValueError, match="not found"):
         pe.evaluate_split(repos(spark), add_scores, "holdout")

@@ -45,6 +45,22 @@ def test_clean_readme(spark, raw, cleaned):
     assert apply(spark, [raw], tx.clean_readme) == [cleaned]
 
 
+def test_character_classes_equal_python(spark):
+    """Whitespace and ignored case over all code points, word characters over the settled ones."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    chars = spark.createDataFrame([(c, chr(c)) for c in points], "c int, t string").cache()
+
+    def matching(pattern):
+        return {r.c for r in chars.where(F.rlike("t", F.lit(pattern))).select("c").collect()}
+
+    assert matching(rf"(?U)[{tx.WS}]") == {c for c in points if chr(c).isspace()}
+    words = {c for c in points if c < 0x860 and (chr(c).isalnum() or chr(c) == "_")}
+    assert {c for c in matching(r"[\p{L}\p{N}_]") if c < 0x860} == words
+    assert matching(r"(?U)^(?i:i)$") == {ord(c) for c in "iIıİ"}
+    assert matching(r"(?U)^(?i:s)$") == {ord(c) for c in "sSſ"}
+    chars.unpersist()
+
+
 def test_long_text_is_cleaned_whole(spark):
     raw = "Word js, " * 60_000 + "end"
     assert apply(spark, [raw], tx.clean_readme) == ["Word javascript, " * 60_000 + "end"]
