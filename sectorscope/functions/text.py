@@ -23,7 +23,7 @@ _WORD_END = r"(?![\p{L}\p{N}_])"
 _LINE_RULES = [
     (r"(?dU)!\[.*?\]\(.*?\)", ""),
     (r"(?dU)\[!\[.*?\]\(.*?\)\]\(.*?\)", ""),
-    (r"(?dU)(?=[MAGBCmagbc][IPSOipsoıİſ])(?i:MIT License|Apache License|GPL|BSD|Copyright[^\n]*)(?:\n|$)", ""),
+    (r"(?dU)(?=[MAGBCmagbc][IPSOipsoıİſ][TALDPtaldp])(?i:MIT License|Apache License|GPL|BSD|Copyright[^\n]*)(?:\n|$)", ""),
     (rf"(?dU)https?://([^/{WS}]+)[^{WS}]*", "$1"),
     (rf"(?dUm)^#{{1,6}}[{WS}]*", ""),
     (r"[*_~`]+", ""),
@@ -36,11 +36,11 @@ _WORD_RULES = [
     ("[nN][oO][dD]", "nodejs|node", "nodejs"),
 ]
 _SQUEEZE_RULES = [
-    (r"(?=[!?.])(?:([!?])\1+|(\.\.\.)\.+)", "$1$2"),
+    (r"(?=[!?.]{2})(?:([!?])\1+|(\.\.\.)\.+)", "$1$2"),
     (rf"(?U)[{WS}]+", " "),
     # Whitespace is single spaces by now, so no line end stops this one: an install
     # command drops the rest of the text.
-    (r"(?dUs)(?=[NPGnpg][PITpitıİ])(?i:npm install|pip install|git clone).*", ""),
+    (r"(?dUs)(?=[NPGnpg][PIpiıİ][MPTmpt] [ICicıİ])(?i:npm install|pip install|git clone).*", ""),
 ]
 CLEANING_RULES = (
     _LINE_RULES
