@@ -104,6 +104,7 @@ def sql_topics(col: str) -> str:
 
 def sql_clean(expr: str) -> str:
     """The cleaning rules in the regex dialect of the oracle (no look-around, ASCII classes)."""
+    # Fixed values: (pattern, replacement, flags) in the order that defines the result.
     rules = [
         (r"!\[.*?\]\(.*?\)", "", "g"),
         (r"\[!\[.*?\]\(.*?\)\]\(.*?\)", "", "g"),

@@ -15,6 +15,8 @@ RESULT_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Writing the three splits side by side needs no sort of the texts by split.
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
 }
 
 
