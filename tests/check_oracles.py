@@ -37,7 +37,7 @@ def _rows(table, names):
 def compare(spark, con, sf_dir: str, name: str) -> str | None:
     """None when equal, otherwise what differs."""
     got = queries()[name](spark, sf_dir).toArrow()
-    want = con.execute(oracle_sql()[name]).to_arrow_table()
+    want = con.sql(oracle_sql()[name]).to_arrow_table()
     names = sorted(got.column_names)
     if names != sorted(want.column_names):
         return f"columns {names} != {sorted(want.column_names)}"
