@@ -37,7 +37,7 @@ _WORD_RULES = [
 ]
 _SQUEEZE_RULES = [
     (r"(?=[!?.]{2})(?:([!?])\1+|(\.\.\.)\.+)", "$1$2"),
-    (rf"(?U)[{WS}]+", " "),
+    (rf"(?U)[^\x21-\x7e&&[{WS}]]+", " "),
     # Whitespace is single spaces by now, so no line end stops this one: an install
     # command drops the rest of the text.
     (r"(?dUs)(?=[NPGnpg][PIpiıİ][MPTmpt] [ICicıİ])(?i:npm install|pip install|git clone).*", ""),
