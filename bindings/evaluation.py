@@ -1,14 +1,28 @@
 """Evaluation over embeddings: truth is the label, the prediction comes from folded logits."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from bindings.registry import query
-from bindings.tables import LABEL_CTE, LOGITS_CTE, label_dim, logits, split_cte
+from bindings.tables import (
+    LABEL_CTE,
+    LOGITS_CTE,
+    REPOS_CTE,
+    label_dim,
+    logits,
+    pair_prob_cte,
+    pair_scorer,
+    repos,
+    split_cte,
+    sql_clean,
+)
+from bindings.text import _TRAIN_PARTS, _joined
 from sectorscope.operators import classify as cl
 from sectorscope.operators import evaluation as ev
 from sectorscope.operators.sizing import settle
 from sectorscope.operators.split import stratified_split
-from sectorscope.plans.evaluate import evaluate_counts, evaluate_split, predicted_pairs
+from sectorscope.plans.evaluate import evaluate_counts, evaluate_split, evaluate_table, predicted_pairs
 
 DIGITS = 6
 
@@ -188,3 +202,16 @@ def evaluation_job(spark, sf_dir):
     cells, _ = settle(ev.confusion_counts(predicted_pairs(rows, cl.score_logits)))
     tables = evaluate_counts(cells, label_dim(spark))
     return rounded(tables.report, "precision", "recall", "f1").drop("seq")
+
+
+# The whole chain over documents: prepare, split by class, score the test texts, report.
+_TEXT_PAIRS = f"""{REPOS_CTE}, {LABEL_CTE},
+src AS (SELECT id, label, {sql_clean(_joined(_TRAIN_PARTS))} AS text FROM repos JOIN label_dim USING (code)),
+{split_cte('src')}, held_out AS (SELECT * FROM split WHERE split = 'test'), {pair_prob_cte('held_out')},
+pairs AS (SELECT label, class_index AS prediction FROM held_out JOIN pair_guess USING (id))"""
+
+
+@query(f"WITH {metric_ctes('', _TEXT_PAIRS)} {REPORT_SQL}")
+def text_evaluation_job(spark, sf_dir):
+    tables = evaluate_table(repos(spark, sf_dir), partial(cl.score_with, open_scorer=pair_scorer()), label_dim(spark))
+    return rounded(tables.report, "precision", "recall", "f1").drop("seq")

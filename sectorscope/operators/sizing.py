@@ -78,10 +78,11 @@ def hot_key_join(
     min_rows: int = HOT_KEY_ROWS,
     keep: int = HOT_KEYS_KEPT,
 ) -> DataFrame:
-    """Join ``big`` to ``unique``, which has at most one row per key.
+    """Join ``big`` to ``unique``, which normally has one row per key.
 
-    Rows of hot keys meet a broadcast of their at most ``keep`` partner rows and never move;
-    all other rows take the shuffle join.  Exact for inner, left, left_semi and left_anti.
+    Rows of hot keys meet a broadcast of their partner rows, whose number is checked, and
+    never move; all other rows take the shuffle join.  Exact for inner, left, left_semi and
+    left_anti, also where ``unique`` repeats a key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"Unsupported join type: {how}")
@@ -89,6 +90,9 @@ def hot_key_join(
     if not hot:
         return big.join(unique, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    partners, few = settle(unique.where(is_hot))
+    if not few:
+        return big.join(unique, key, how)
     cold = big.where(~is_hot).join(unique.where(~is_hot), key, how)
-    warm = big.where(is_hot).join(F.broadcast(unique.where(is_hot)), key, how)
+    warm = big.where(is_hot).join(F.broadcast(partners), key, how)
     return cold.unionByName(warm)

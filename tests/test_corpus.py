@@ -74,6 +74,15 @@ def test_hot_key_join_equals_plain_join(spark, how):
     assert sorted(map(str, plain.collect())) == sorted(map(str, split_.collect()))
 
 
+def test_hot_key_join_with_repeated_partners(spark, monkeypatch):
+    big = spark.range(600).select((F.col("id") % 2).alias("k"), "id")
+    twice = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k long, v string")
+    want = sorted(map(str, big.join(twice, "k").collect()))
+    for bound in (100_000, 1):
+        monkeypatch.setattr(sizing.settle, "__defaults__", (bound,))
+        assert sorted(map(str, sizing.hot_key_join(big, twice, "k", min_rows=100).collect())) == want
+
+
 def test_settle_bound(spark):
     assert sizing.settle(spark.range(5), 5)[1] is True
     df, small = sizing.settle(spark.range(6), 5)
