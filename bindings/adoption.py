@@ -2,7 +2,6 @@
 
 from bindings.registry import query
 from bindings.tables import (
-    CODE,
     DIM_CTE,
     FIRST_USE_CTE,
     MERGED_CTE,

@@ -20,7 +20,6 @@ from bindings.tables import (
 from bindings.text import _TRAIN_PARTS, _joined
 from sectorscope.operators import classify as cl
 from sectorscope.operators import evaluation as ev
-from sectorscope.operators.sizing import settle
 from sectorscope.operators.split import stratified_split
 from sectorscope.plans.evaluate import evaluate_counts, evaluate_split, evaluate_table, predicted_pairs
 
@@ -199,8 +198,7 @@ _TEST_METRICS = metric_ctes("", f"{LOGITS_CTE}, {split_cte('guess')}, pairs AS (
 def evaluation_job(spark, sf_dir):
     """Split, score the test part, derive every evaluation table; the class report is shown."""
     rows = stratified_split(logits(spark, sf_dir)).where(F.col("split") == "test")
-    cells, _ = settle(ev.confusion_counts(predicted_pairs(rows, cl.score_logits)))
-    tables = evaluate_counts(cells, label_dim(spark))
+    tables = evaluate_counts(ev.confusion_counts(predicted_pairs(rows, cl.score_logits)), label_dim(spark))
     return rounded(tables.report, "precision", "recall", "f1").drop("seq")
 
 

@@ -4,13 +4,13 @@
 from pyspark.sql import functions as F
 
 from bindings.adoption import first_use
-from bindings.evaluation import REPORT_SQL, counts, metric_ctes, report, rounded
+from bindings.evaluation import REPORT_SQL, counts, metric_ctes, rounded
 from bindings.registry import query
 from bindings.scoring import _NAMED, classified_vectors, trained
 from bindings.tables import LABEL_CTE, REPOS_CTE, FIRST_USE_CTE, label_dim, repos, table
 from sectorscope.operators import adoption as ad
 from sectorscope.operators import corpus
-from sectorscope.operators import evaluation as ev
+from sectorscope.plans.evaluate import evaluate_counts
 from sectorscope.sources import readers, writers
 from sectorscope.sources.paths import shared_folder
 
@@ -95,10 +95,9 @@ def label_map_stored(spark, sf_dir):
 @query(f"WITH {metric_ctes()}, {LABEL_CTE} {REPORT_SQL}")
 def report_stored(spark, sf_dir):
     folder = shared_folder(spark, "report")
-    cells = counts(spark, sf_dir)
-    total = cells.agg(F.sum("n").alias("n_test"))
-    writers.write_report(rounded(ev.metrics(cells), "f1"), report(cells, label_dim(spark)), total, folder)
-    return readers.read_parquet(spark, f"{folder}/classes")
+    result = evaluate_counts(counts(spark, sf_dir), label_dim(spark))
+    writers.write_report(result.metrics, result.report, result.test_size, folder)
+    return rounded(readers.read_report(spark, folder)["classes"], "precision", "recall", "f1").drop("seq")
 
 
 @query()

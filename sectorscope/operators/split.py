@@ -41,13 +41,13 @@ def class_quotas(counts: DataFrame, label: str, size: str, seats: Column, out: s
     everyone = Window.partitionBy()
     share = F.col(size).cast("decimal(20,0)") * seats.cast("decimal(18,0)")
     total = F.sum(size).over(everyone).cast("decimal(20,0)")
+    open_seats = seats.cast("long") - F.sum("_whole").over(everyone)
+    by_rest = F.row_number().over(Window.orderBy(F.desc("_left"), F.asc(label)))
     return (
-        counts.withColumn("_share", share)
-        .withColumn("_total", total)
+        counts.withColumns({"_share": share, "_total": total})
         .withColumn("_left", F.col("_share") % F.col("_total"))
         .withColumn("_whole", ((F.col("_share") - F.col("_left")) / F.col("_total")).cast("long"))
-        .withColumn("_open", seats.cast("long") - F.sum("_whole").over(everyone))
-        .withColumn("_rank", F.row_number().over(Window.orderBy(F.desc("_left"), F.asc(label))))
+        .withColumns({"_open": open_seats, "_rank": by_rest})
         .withColumn(out, F.col("_whole") + (F.col("_rank") <= F.col("_open")).cast("long"))
         .drop("_share", "_total", "_left", "_whole", "_open", "_rank")
     )

@@ -34,31 +34,38 @@ def evaluate_split(rows: DataFrame, add_scores: AddScores, split: str = "test")
 
 @dataclass
 class Evaluation:
-    """Tables of one evaluation, all derived from the same confusion counts."""
+    """Tables of one evaluation, each derived on demand from the same confusion cells."""
 
-    counts: DataFrame
-    metrics: DataFrame
-    report: DataFrame
-    matrix: DataFrame
-    ranking: DataFrame
-    test_size: DataFrame
+    cells: DataFrame
+    labels: DataFrame
+
+    @property
+    def metrics(self) -> DataFrame:
+        return ev.average_metrics(self.cells, ("weighted",))
+
+    @property
+    def report(self) -> DataFrame:
+        return ev.classification_report(self.cells, labels=self.labels)
+
+    @property
+    def ranking(self) -> DataFrame:
+        return ev.class_ranking(self.report)
+
+    @property
+    def matrix(self) -> DataFrame:
+        """Row-normalized matrix with class names on both sides."""
+        named = attach_code(ev.heatmap(self.cells), self.labels, "label", "label_code")
+        return attach_code(named, self.labels, "prediction", "prediction_code")
+
+    @property
+    def test_size(self) -> DataFrame:
+        return self.cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_test"))
 
 
 def evaluate_counts(counts: DataFrame, labels: DataFrame) -> Evaluation:
-    """Fetch the confusion cells once (one row per cell) and derive every table from them."""
+    """Fetch the confusion cells once, one row per cell; every table is a sum over them."""
     cells, _ = settle(counts)
-    report = ev.classification_report(cells, labels=labels)
-    matrix = ev.heatmap(cells)
-    for side in ("label", "prediction"):
-        matrix = attach_code(matrix, labels, side, f"{side}_code")
-    return Evaluation(
-        counts=cells,
-        metrics=ev.average_metrics(cells, ("weighted",)),
-        report=report,
-        matrix=matrix,
-        ranking=ev.class_ranking(report),
-        test_size=cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_test")),
-    )
+    return Evaluation(cells, labels)
 
 
 def evaluate_table(

@@ -1,5 +1,4 @@
 import pytest
-from conftest import values
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
