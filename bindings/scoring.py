@@ -22,7 +22,7 @@ from bindings.text import BATCH_TEXT_SQL, SIMPLE_TEXT_SQL
 from sectorscope.functions import scores as sc
 from sectorscope.functions.codes import CLASS_CODES
 from sectorscope.operators import classify as cl
-from sectorscope.operators import summary
+from sectorscope.operators import corpus, summary
 from sectorscope.operators.sizing import spread
 from sectorscope.plans import score as ps
 from sectorscope.plans.train import train_classifier
@@ -185,7 +185,7 @@ def training_curve(spark, sf_dir):
 def model_predictions(spark, sf_dir):
     """Fit, then classify the whole table with the fitted model."""
     run = trained(spark, sf_dir)
-    rows = language_repos(spark, sf_dir)
-    texts = rows.withColumn("text", ps.corpus.training_text_column(rows))
+    rows = spread(language_repos(spark, sf_dir))
+    texts = rows.withColumn("text", corpus.training_text_column(rows))
     scored = cl.classify(cl.score_with_model(texts, run.model), run.labels)
     return scored.select("id", "code", "predicted_naics", "confidence")
