@@ -84,13 +84,20 @@ _LITERAL_ITEM = (
 _MARK = "\x01"
 
 
+def _unescape(inner: Column) -> Column:
+    """Text between the quotes of a literal, its escapes resolved by the JSON reader."""
+    out = F.replace(inner, F.lit("\\\\"), F.lit(_MARK))
+    out = F.replace(F.replace(out, F.lit("\\'"), F.lit("'")), F.lit('\\"'), F.lit('"'))
+    out = F.regexp_replace(F.replace(out, F.lit('"'), F.lit('\\"')), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    out = F.replace(out, F.lit(_MARK), F.lit("\\\\"))
+    options = {"allowUnquotedControlChars": "true"}
+    return F.from_json(F.concat(F.lit('["'), out, F.lit('"]')), "array<string>", options)[0]
+
+
 def _literal_value(item: Column) -> Column:
     """Printed form of one list element; empty text for the ones that count as false."""
     inner = F.substr(item, F.lit(2), F.length(item) - 2)
-    plain = F.replace(inner, F.lit("\\\\"), F.lit(_MARK))
-    for written, meant in (("\\'", "'"), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r")):
-        plain = F.replace(plain, F.lit(written), F.lit(meant))
-    quoted = F.when(F.contains(inner, F.lit("\\")), F.replace(plain, F.lit(_MARK), F.lit("\\"))).otherwise(inner)
+    quoted = F.when(F.contains(inner, F.lit("\\")), F.coalesce(_unescape(inner), inner)).otherwise(inner)
     number = F.when(F.contains(item, F.lit(".")), item.try_cast("double").cast("string")).otherwise(
         F.ltrim(item, F.lit("+"))
     )

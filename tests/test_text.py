@@ -1,5 +1,7 @@
 """Golden rows of the text expressions."""
 
+import random
+
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
@@ -92,6 +94,21 @@ def test_clean_topics(spark, raw, cleaned):
     assert apply(spark, [raw], tx.clean_topics) == [cleaned]
 
 
+def test_printed_lists_are_read_back(spark):
+    """Any printed list of texts, numbers and constants gives its true elements."""
+    rng = random.Random(1)
+    letters = "ab'\"\\,[]; \n\t\r-_éü\x1c\x7f\u200b 😀x0n"
+
+    def element():
+        if rng.random() < 0.2:
+            return rng.choice([None, True, False, 0, 7, -3, 1.5, ""])
+        return "".join(rng.choice(letters) for _ in range(rng.randint(0, 6)))
+
+    lists = [[element() for _ in range(rng.randint(0, 5))] for _ in range(1000)]
+    got = apply(spark, [str(items) for items in lists], tx.clean_topics)
+    assert got == ["; ".join(str(x) for x in items if x) for items in lists]
+
+
 def test_topics_from_array(spark):
     got = apply(spark, [["a", "", None], [], None, ["x", "y"]], lambda c: tx.clean_topics(c, True), "array<string>")
     assert got == ["a", "", "", "x; y"]
