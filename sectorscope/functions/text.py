@@ -20,9 +20,11 @@ _WORD_END = r"(?![\p{L}\p{N}_])"
 # The cleaning rules, in the order that defines the result.
 # (pattern, replacement).  The look-aheads on the first letters only save time; they list
 # the letters that count as equal when case is ignored (dotless and dotted i, long s).
+# Images and linked images have to close on their line.  Where one does not, nothing further
+# on the line can, so the rest of the line is taken along unchanged: time stays linear.
 _LINE_RULES = [
-    (r"(?dU)!\[.*?\]\(.*?\)", ""),
-    (r"(?dU)\[!\[.*?\]\(.*?\)\]\(.*?\)", ""),
+    (r"(?d)!\[(?>.*?\]\()[^\n)]*+\)|(!\[[^\n]*+)", "$1"),
+    (r"(?d)\[!\[(?>.*?\]\()(?>.*?\)\]\()[^\n)]*+\)|(\[!\[[^\n]*+)", "$1"),
     (r"(?dU)(?=[MAGBCmagbc][IPSOipsoıİſ][TALDPtaldp])(?i:MIT License|Apache License|GPL|BSD|Copyright[^\n]*)(?:\n|$)", ""),
     (rf"(?dU)https?://([^/{WS}]+)[^{WS}]*", "$1"),
     (rf"(?dUm)^#{{1,6}}[{WS}]*", ""),
@@ -58,7 +60,7 @@ def _text(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Remove unicode whitespace at both ends."""
-    return F.regexp_replace(_text(col), rf"(?U)^[{WS}]+|[{WS}]+\z", "")
+    return F.regexp_replace(_text(col), rf"(?U)^[{WS}]+|(?<![{WS}])[{WS}]++\z", "")
 
 
 def is_blank(col: Column) -> Column:
@@ -76,8 +78,8 @@ def clean_readme(col: Column) -> Column:
 
 # One element of a bracketed list literal: quoted text, a number, or a named constant.
 _LITERAL_ITEM = (
-    r"'[^'\\\n]*(?:\\.[^'\\\n]*)*+'"
-    r'|"[^"\\\n]*(?:\\.[^"\\\n]*)*+"'
+    r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
     r"|\bNone\b|\bTrue\b|\bFalse\b"
     r"|[-+]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?"
 )

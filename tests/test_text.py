@@ -63,6 +63,23 @@ def test_character_classes_equal_python(spark):
     chars.unpersist()
 
 
+@pytest.mark.parametrize("rule, plain", [(0, r"(?d)!\[.*?\]\(.*?\)"), (1, r"(?d)\[!\[.*?\]\(.*?\)\]\(.*?\)")])
+def test_linear_badge_rules_equal_the_plain_ones(spark, rule, plain):
+    rng = random.Random(3)
+    pieces = ["!", "[", "]", "(", ")", "![", "](", "[![", ")](", "a", "\n", " "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast, slow = F.regexp_replace("t", *tx.CLEANING_RULES[rule]), F.regexp_replace("t", plain, "")
+    assert df.where(fast != slow).count() == 0
+    assert df.where(fast != F.col("t")).count() > 100
+
+
+@pytest.mark.parametrize("piece", ["![", "![a](", "[![a](b", "[![a](b)](", "](", "Copyright ", "GPL ", "# ", "js", "npm ", "."])
+def test_awkward_texts_take_linear_time(spark, piece):
+    """With a rule that rescans the line for every opening bracket these run for hours."""
+    assert len(apply(spark, [piece * 50_000], tx.clean_readme)) == 1
+
+
 def test_long_text_is_cleaned_whole(spark):
     raw = "Word js, " * 60_000 + "end"
     assert apply(spark, [raw], tx.clean_readme) == ["Word javascript, " * 60_000 + "end"]
