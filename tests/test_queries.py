@@ -3,7 +3,8 @@
 import pytest
 from check_oracles import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from bindings import ORACLES, QUERIES
 
 ROWS_ONLY = {"training_job", "training_curve", "model_predictions", "model_stored"}
 # Nothing to show on tables this small.
@@ -18,18 +19,18 @@ def db(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, db, sf_dir, name):
     problem = compare(spark, db, sf_dir, name)
     assert problem is None or (problem == "no rows" and name in MAY_BE_EMPTY)
 
 
 def test_training_learns(spark, sf_dir):
-    rows = queries()["training_job"](spark, sf_dir).collect()
+    rows = QUERIES["training_job"](spark, sf_dir).collect()
     assert {r.split for r in rows} == {"validation", "test"}
     assert all(r.accuracy > 0.8 for r in rows)
 
