@@ -1,4 +1,4 @@
 """The registered queries of the subpackage and their SQL."""
 
-from sectorscope.llm.queries import chat, decontaminate, near_dup, packing, quality, sharding, tokens, warc  # noqa: F401
+from sectorscope.llm.queries import chat, decontaminate, line_dedup, near_dup, packing, quality, sharding, tokens, warc  # noqa: F401
 from sectorscope.llm.queries.registry import ORACLES, QUERIES  # noqa: F401
