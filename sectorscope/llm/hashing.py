@@ -7,6 +7,8 @@ from a fixed seed, so every task and every run gives the same hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -113,3 +115,16 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     starts, ends, rows = word_spans(data, bounds)
     words = word_hashes(data, starts, ends, lower=True)
     return [set_of_shingles(words[a:b], size) for a, b in zip(rows, rows[1:])]
+
+
+def row_slices(
+    batch: pa.RecordBatch, column: str, max_rows: int = 512, max_bytes: int = 4 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of a few rows and of texts of a few megabytes, or of one longer text."""
+    bounds = column_bytes(batch.column(column))[1]
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(bounds, bounds[at] + max_bytes, side="right")) - 1
+        end = min(max(end, at + 1), at + max_rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end

@@ -34,12 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.llm.common import content_key
-from sectorscope.llm.hashing import LOWER, _place_values, column_bytes, mix, word_hashes, word_spans
+from sectorscope.llm.hashing import LOWER, _place_values, column_bytes, mix, row_slices, word_hashes, word_spans
 from sectorscope.sources.paths import store
 
 MIN_WORDS = 6
 MAX_LOSS = 0.5
-ROWS = 512
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 PREFIX, SUFFIX = 1, 2
 
@@ -144,10 +143,9 @@ def _unpack(packed: bytes | None) -> str | None:
     return _codec().decompress(packed[8:], size, asbytes=True).decode() if size else ""
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        yield from row_slices(batch, column, max_bytes=1 << 20 if column == "_packed" else 4 << 20)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -166,7 +164,7 @@ def _line_places(docs: DataFrame, min_words: int) -> DataFrame:
     schema = keyed.select("_id", "_key", *[F.lit(0).cast("long").alias(c) for c in ("line", "n", "h")]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _slices(batches):
+        for rows in _slices(batches, "_text"):
             lines = Lines(rows.column("_text"))
             long = np.flatnonzero(lines.size >= min_words)
             row = pa.array(lines.row[long])
@@ -182,7 +180,7 @@ def _line_halves(docs: DataFrame, min_words: int) -> DataFrame:
     schema = "key long, side int, h long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _slices(batches):
+        for rows in _slices(batches, "_text"):
             lines = Lines(rows.column("_text"))
             line, key, side = lines.halves()
             long = lines.size[line] >= min_words
@@ -230,7 +228,7 @@ def _candidate_lines(docs: DataFrame, heads: DataFrame, min_words: int) -> DataF
     ).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in _slices(batches, "_packed"):
             row, number, h, sides, words = [], [], [], [], []
             for k, (packed, chosen) in enumerate(
                 zip(part.column("_packed").to_pylist(), part.column("lines").to_pylist())
@@ -264,7 +262,7 @@ def _variants(candidates: DataFrame) -> DataFrame:
     """``v``, ``place`` (-1: the whole line), ``num``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _slices(batches):
+        for rows in _slices(batches, "words"):
             lines = Lines(rows.column("words"))  # one line in each row
             num = rows.column("num").to_numpy()
             sides = rows.column("sides").to_numpy()
@@ -324,7 +322,7 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     schema = keyed.select("_id", "_key", F.lit(b"").alias("_packed")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _slices(batches):
+        for rows in _slices(batches, "_text"):
             packed = [_pack(t) for t in rows.column("_text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("_id"), rows.column("_key"), pa.array(packed, pa.binary())], ["_id", "_key", "_packed"]
@@ -364,7 +362,7 @@ def _rebuilt(docs: DataFrame, min_words: int, max_loss: float) -> DataFrame:
     packed_schema = rows.select("_row", "_id", "_key", F.lit(b"").alias("_packed")).schema
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in _slices(batches, "_text"):
             packed = [_pack(t) for t in part.column("_text").cast(pa.binary()).to_pylist()]
             columns = [part.column(c) for c in ("_row", "_id", "_key")] + [pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["_row", "_id", "_key", "_packed"])
@@ -378,7 +376,7 @@ def _rebuilt(docs: DataFrame, min_words: int, max_loss: float) -> DataFrame:
     schema["_text"].nullable = True
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in _slices(batches, "_packed"):
             texts, counts, gone = [], [], []
             for packed, chosen in zip(part.column("_packed").to_pylist(), part.column("lines").to_pylist()):
                 text = _unpack(packed)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sectorscope.llm.common import content_key, keep_rows
 from sectorscope.llm.components import components
-from sectorscope.llm.hashing import mix, shingle_sets
+from sectorscope.llm.hashing import mix, row_slices, shingle_sets
 from sectorscope.sources.paths import store
 
 SHINGLE = 5
@@ -48,7 +48,6 @@ DEPTH = 3
 LEAST_SHARE = 0.5
 HUB_MEMBERS = 512
 BLOCK = 8192
-ROWS = 512
 
 _random = np.random.default_rng(0xC0FFEE)
 _FACTORS = _random.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,8 +79,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
+            for rows in row_slices(batch, "text"):
                 texts = rows.column("text")
                 sets = shingle_sets(texts, SHINGLE)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -337,8 +335,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
+            for part in row_slices(batch, "packed", max_bytes=1 << 20):
                 texts = pa.array([unpack_text(p) for p in part.column("packed").to_pylist()], pa.large_binary())
                 sets = shingle_sets(texts, SHINGLE)
                 a, b = [], []
