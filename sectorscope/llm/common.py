@@ -17,6 +17,11 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
 
 
+def quoted(name: str) -> str:
+    """A column name as it is, with dots and backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def content_key(*columns: Column) -> Column:
     """64-bit key of what a row holds; always compared together with the row's id."""
     return F.xxhash64(*columns)
@@ -29,7 +34,7 @@ def keep_rows(docs: DataFrame, verdict: DataFrame, columns: list[str]) -> DataFr
     Rows that agree in ``columns`` share their fate; nulls are equal to nulls.
     """
     left = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"),
         F.col(columns[0]).alias("_id"),
         content_key(*[F.col(c) for c in columns]).alias("_key"),
     ).alias("l")

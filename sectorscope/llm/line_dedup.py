@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import content_key
+from sectorscope.llm.common import content_key, quoted
 from sectorscope.llm.hashing import LOWER, _place_values, column_bytes, mix, row_slices, word_hashes, word_spans
 from sectorscope.sources.paths import store
 
@@ -350,7 +350,7 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _rebuilt(docs: DataFrame, min_words: int, max_loss: float) -> DataFrame:
     """``_row`` (all columns of ``docs`` but text), ``_id``, ``_text`` (new), ``_n_lines``, ``_n_removed``."""
-    other = [docs[c] for c in docs.columns if c != "text"]
+    other = [F.col(quoted(c)) for c in docs.columns if c != "text"]
     rows = docs.select(
         F.struct(*other).alias("_row"),
         F.col("doc_id").alias("_id"),
@@ -360,6 +360,7 @@ def _rebuilt(docs: DataFrame, min_words: int, max_loss: float) -> DataFrame:
     lost = store(removed_lines(docs, min_words), "removed-lines")
 
     packed_schema = rows.select("_row", "_id", "_key", F.lit(b"").alias("_packed")).schema
+    packed_schema["_packed"].nullable = True
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, "_text"):

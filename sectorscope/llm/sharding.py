@@ -23,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectorscope.llm.common import quoted
 from sectorscope.sources.paths import store
 
 KEY_BITS = 60
@@ -120,7 +121,7 @@ def write_shards(docs: DataFrame, path: str, max_bytes: int = 256 << 20) -> None
     """
     kept = store(
         docs.select(
-            F.struct(*[docs[c] for c in docs.columns]).alias("_doc"),
+            F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_doc"),
             F.monotonically_increasing_id().alias("_row"),
         ),
         "shard-rows",
