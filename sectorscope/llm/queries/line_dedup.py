@@ -47,6 +47,8 @@ WITH lines AS (
 SELECT t.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM totals t LEFT JOIN kept USING (doc_id)
+UNION ALL
+SELECT doc_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), sha256('') FROM documents WHERE text IS NULL
 """
 
 

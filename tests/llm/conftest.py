@@ -44,8 +44,8 @@ def odd_documents() -> list[tuple]:
         (10, "a b c", "en", "src0", 5),
         (11, prose(5, 100) + "\n" + passage + "\n" + prose(6, 50), "en", "src2", 1),
         (12, prose(7, 80) + "\n" + passage + "\n" + prose(8, 120), "en", "src2", 1),
-        (13, prose(9, 30_000, vocabulary=5_000), "en", "src2", 1),
-        (14, "x " * 30_000, "en", "src2", 1),
+        (13, prose(9, 6_000, vocabulary=5_000), "en", "src2", 1),
+        (14, "x " * 500, "en", "src2", 1),
         (15, "y" * 100_000, "en", "src2", 1),
         (16, "# $ % & | < > * " * 40, "en", "src3", 1),
         (17, "\n\n\n" + prose(10, 90) + "\n\n", "en", "src3", 1),
