@@ -15,6 +15,7 @@ from sectorscope.operators import dims
 from sectorscope.operators.sizing import hot_key_join
 
 CODE = "predicted_naics"
+MAX_COLUMNS = 2_000
 
 
 def first_use(
@@ -36,8 +37,8 @@ def repo_codes(predictions: DataFrame, code: str = CODE) -> DataFrame:
 def merge_predictions(first: DataFrame, predictions: DataFrame) -> DataFrame:
     """Inner join on the repository; a repository scored twice appears twice.
 
-    The first-use side has one row per repository, so repositories that dominate the scored
-    table are joined without a shuffle.
+    Repositories that dominate the scored table are spread over tasks.  Runs a job to find them;
+    :func:`monthly_adoption` needs none, as it counts repeated predictions before the join.
     """
     rows = repo_codes(predictions).where(F.col("nwo").isNotNull())
     joined = hot_key_join(rows, first.where(F.col("nwo").isNotNull()), "nwo")
@@ -80,18 +81,23 @@ def monthly_adoption(
     return dated.join(scored, list(on)).groupBy(*by, "month", CODE).agg(F.sum("_rows").alias("n"))
 
 
-def month_by_industry(monthly: DataFrame, codes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def month_by_industry(monthly: DataFrame, codes: Sequence[str] = (), by: Sequence[str] = ()) -> DataFrame:
     """Wide form: one row per month in order, one column per code, 0 where nothing happened.
 
-    ``codes`` are the class codes, so no extra job has to look for them.
+    ``codes`` come first, whether they occur or not; every other code that occurs follows, so
+    the wide table counts what the long one counts.  Runs a job to find them.
     """
-    wide = monthly.groupBy(*by, "month").pivot(CODE, list(codes)).agg(F.sum("n"))
-    return wide.na.fill(0, list(codes)).orderBy(*by, "month")
+    columns = list(dict.fromkeys([*codes, *codes_present(monthly)]))
+    wide = monthly.groupBy(*by, "month").pivot(CODE, columns).agg(F.sum("n"))
+    return wide.na.fill(0, columns).orderBy(*by, "month")
 
 
 def codes_present(monthly: DataFrame) -> list[str]:
-    """Codes that occur, for a pivot over just those; one row per class is fetched."""
-    return [r[0] for r in monthly.select(CODE).distinct().orderBy(CODE).collect()]
+    """Codes that occur, in order; more than a table can have as columns is an error."""
+    found = monthly.select(CODE).distinct().orderBy(CODE).limit(MAX_COLUMNS + 1).collect()
+    if len(found) > MAX_COLUMNS:
+        raise ValueError(f"More than {MAX_COLUMNS} codes for a wide table")
+    return [r[0] for r in found]
 
 
 def industry_totals(monthly: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -21,16 +21,17 @@ def tool_adoption(events: DataFrame, predictions: DataFrame, repo: str, time: st
 
 
 def load_first_use(
-    spark: SparkSession, path: str, computed: bool = False, save_to: str | None = None
+    spark: SparkSession, path: str, computed: bool = False, save_to: str | None = None, strict: bool = True
 ) -> DataFrame | None:
-    """First use from event lines, or from a pre-computed table; None when the file is missing.
+    """First use from event lines, or from a pre-computed table; None when the event file is missing.
 
-    With ``save_to`` the table extracted from events is stored and read back.
+    A missing pre-computed table is an error, and so is a broken event line unless ``strict``
+    is off.  With ``save_to`` the table extracted from events is stored and read back.
     """
+    if computed:
+        return read_first_use(spark, path)
     try:
-        if computed:
-            return read_first_use(spark, path)
-        first = ad.first_use(read_events(spark, path))
+        first = ad.first_use(read_events(spark, path, strict))
     except FileNotFoundError:
         return None
     return write_first_use(first, save_to) if save_to else first
@@ -53,15 +54,17 @@ def adoption_report(
     predictions: Mapping[str, str],
     computed: tuple[str, ...] = (),
     first_use_dir: str | None = None,
+    strict: bool = True,
 ) -> DataFrame:
     """Monthly counts per tool from files; every tool has its own scored table.
 
     ``computed`` names the tools whose file already holds first-use dates; the others are
-    extracted from event lines and, with ``first_use_dir``, stored there.
+    extracted from event lines and, with ``first_use_dir``, stored there.  Without ``strict``
+    broken event lines are passed over; ``readers.broken_events`` counts them.
     """
     tables = {
         tool: load_first_use(
-            spark, path, tool in computed, f"{first_use_dir}/{tool}_first_use.parquet" if first_use_dir else None
+            spark, path, tool in computed, f"{first_use_dir}/{tool}_first_use.parquet" if first_use_dir else None, strict
         )
         for tool, path in events.items()
     }

@@ -8,6 +8,7 @@ from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sectorscope.sources.paths import suffix
 
@@ -35,14 +36,22 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _open(spark.read.parquet, path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with header and quoted multi-line text.
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV with header; with ``schema``, its columns by name, wherever they stand in the file.
 
-    Quoted line ends keep a file from being split, so large inputs should come as many files.
-    Empty fields are null, quoted or not.  Without a schema all columns are text.
+    Quoted line ends keep a file from being split; bulk input without any is split with
+    ``multi_line=False``.  Outer blanks are kept.  Empty fields are null, quoted or not.  Without
+    a schema all columns are text.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    return _open((reader.schema(schema) if schema else reader).csv, path)
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    rows = _open(reader.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv, path)
+    if schema is None:
+        return rows
+    wanted = T.StructType.fromDDL(schema)
+    missing = [f.name for f in wanted if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"Columns not in {path}: {missing}")
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def read_repos(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -55,15 +64,24 @@ def read_repos(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     raise ValueError(f"Unsupported file format: .{kind}")
 
 
-def read_events(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """JSON-lines events; only repository and time are parsed, times without offset are UTC.
 
-    Broken lines give null fields; with ``strict`` they stop the job.
+    A broken line stops the job; without ``strict`` its broken fields are null, and
+    :func:`broken_events` counts such lines.
     """
     reader = spark.read.schema(EVENT_SCHEMA).option("timeZone", "UTC")
     return _open(reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json, path)
 
 
+def broken_events(spark: SparkSession, path: str) -> DataFrame:
+    """Number of lines that cannot be read as events: one row, ``n_lines`` and ``n_broken``."""
+    options = {"timeZone": "UTC", "columnNameOfCorruptRecord": "_broken"}
+    lines = _open(spark.read.text, path).where(F.trim("value") != "")
+    event = F.from_json("value", f"{EVENT_SCHEMA}, _broken string", options)
+    return lines.select(event.alias("e")).agg(F.count("*").alias("n_lines"), F.count("e._broken").alias("n_broken"))
+
+
 def read_first_use(spark: SparkSession, path: str) -> DataFrame:
     """Pre-computed first-use table with its columns renamed and the time as a UTC instant."""
     return resolve_first_use(read_parquet(spark, path))

@@ -22,7 +22,9 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    _flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with header; outer blanks of texts are kept."""
+    writer = _flat(df).write.mode("overwrite").option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_scored(df: DataFrame, path: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sectorscope.operators import adoption as ad
 from sectorscope.operators import sizing
 from sectorscope.plans import adoption as plan
+from sectorscope.sources import readers
 
 JAN, MAR = dt.date(2025, 1, 1), dt.date(2025, 3, 1)
 
@@ -40,7 +41,7 @@ def test_repeated_predictions_multiply(spark):
 
 
 def test_hot_repository(spark, monkeypatch):
-    monkeypatch.setattr(sizing.hot_key_join, "__defaults__", ("inner", 10, 5))
+    monkeypatch.setattr(sizing.hot_key_join, "__defaults__", ("inner", 0.05, 10, 5))
     hot = spark.range(100).select(F.lit("r1").alias("nwo"), F.lit("11").alias("predicted_naics"), F.lit(1.0).alias("confidence"))
     both = predictions(spark).union(hot)
     merged = ad.by_month_and_industry(ad.merge_predictions(first(spark), both))
@@ -57,6 +58,21 @@ def test_wide_form(spark):
     assert ad.chart_table(monthly(spark), top=2).columns == ["month", "52: Finance", "62: Healthcare"]
 
 
+def test_wide_form_keeps_codes_that_are_not_listed(spark):
+    rows = [(JAN, "52", 3), (JAN, "55", 2), (MAR, "zz", 4)]
+    long = spark.createDataFrame(rows, "month date, predicted_naics string, n long")
+    wide = ad.month_by_industry(long, ["52", "62"])
+    assert wide.columns == ["month", "52", "62", "55", "zz"]
+    assert values(wide) == [(JAN, 3, 0, 2, 0), (MAR, 0, 0, 0, 4)]
+    assert ad.month_by_industry(long).columns == ["month", "52", "55", "zz"]
+
+
+def test_too_many_codes(spark, monkeypatch):
+    monkeypatch.setattr(ad, "MAX_COLUMNS", 1)
+    with pytest.raises(ValueError):
+        ad.month_by_industry(monthly(spark))
+
+
 def test_totals_and_summary(spark):
     assert values(ad.industry_totals(monthly(spark))) == [("52", 2), ("62", 1)]
     assert values(ad.adoption_summary(monthly(spark), 5), "rank") == [
@@ -113,7 +129,7 @@ def test_tools_from_files(spark, tmp_path):
     want = [("a", JAN, "52", 1), ("a", MAR, "62", 1), ("b", MAR, "52", 1)]
     for folder in (None, str(tmp_path / "first")):
         with pytest.warns(UserWarning, match="c"):
-            report = plan.adoption_report(spark, events, scored, computed=("b",), first_use_dir=folder)
+            report = plan.adoption_report(spark, events, scored, computed=("b",), first_use_dir=folder, strict=False)
         assert values(report.select("tool", "month", "predicted_naics", "n"), "tool", "month") == want
     assert spark.read.parquet(str(tmp_path / "first" / "a_first_use.parquet")).count() == 2
 
@@ -124,3 +140,18 @@ def test_tool_groups_skip_missing(spark):
     assert {r.tool for r in stacked.collect()} == {"x"}
     with pytest.raises(ValueError):
         plan.stack_tools({})
+
+
+def test_broken_events_and_missing_tables(spark, tmp_path):
+    lines = ['{"repo_nwo": "r1", "created_at": "2025-01-15T00:00:00Z"}', '{"repo_nwo": "r2", "created_at": "soon"}', '{"repo_nwo"']
+    (tmp_path / "e.jsonl").write_text("\n".join(lines))
+    predictions(spark).write.parquet(str(tmp_path / "p.parquet"))
+    files = ({"t": str(tmp_path / "e.jsonl")}, {"t": str(tmp_path / "p.parquet")})
+    with pytest.raises(Exception, match="MALFORMED|Malformed|FAILFAST"):
+        plan.adoption_report(spark, *files).collect()
+    assert plan.adoption_report(spark, *files, strict=False).collect()[0].n == 1
+    assert tuple(readers.broken_events(spark, str(tmp_path / "e.jsonl")).first()) == (3, 2)
+    with pytest.raises(FileNotFoundError):
+        plan.adoption_report(spark, {"t": str(tmp_path / "none.parquet")}, files[1], computed=("t",))
+    with pytest.raises(ValueError), pytest.warns(UserWarning):
+        plan.adoption_report(spark, {"t": str(tmp_path / "none.jsonl")}, files[1])

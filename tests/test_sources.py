@@ -55,7 +55,7 @@ def test_unknown_input_type(spark, tmp_path):
 def test_events(spark, tmp_path):
     lines = ['{"repo_nwo": "a", "created_at": "2025-01-01T00:00:00Z", "n": {"x": 1}}', "{broken"]
     (tmp_path / "e.jsonl").write_text("\n".join(lines))
-    events = readers.read_events(spark, str(tmp_path / "e.jsonl"))
+    events = readers.read_events(spark, str(tmp_path / "e.jsonl"), strict=False)
     assert events.columns == ["repo_nwo", "created_at"] and events.count() == 2
     assert ad.first_use(events).count() == 1
     with pytest.raises(Exception):
@@ -67,7 +67,7 @@ def test_event_time_without_offset_is_utc(spark, tmp_path):
     zone = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
-        events = readers.read_events(spark, str(tmp_path / "e.jsonl"))
+        events = readers.read_events(spark, str(tmp_path / "e.jsonl"), strict=False)
         assert events.select(F.unix_seconds("created_at")).first()[0] == 86400
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
@@ -105,3 +105,16 @@ def test_stored_report(spark, tmp_path):
 def test_store_cuts_lineage(spark):
     stored = paths.store(spark.range(5).toDF("x"), "t")
     assert stored.count() == 5 and paths.shared_folder(spark, "t").split("/")[-1].startswith("sectorscope-t-")
+
+
+def test_csv_keeps_blanks_and_binds_by_name(spark, tmp_path):
+    rows = [("  lead", 1), ("tail  ", 2), ("x\n y ", 3), ("\t", 4)]
+    df = spark.createDataFrame(rows, "t string, k int")
+    writers.write_csv(df, str(tmp_path / "a.csv"))
+    back = readers.read_csv(spark, str(tmp_path / "a.csv"), "k int, t string")
+    assert back.dtypes == [("k", "int"), ("t", "string")]
+    assert sorted((r.t, r.k) for r in back.collect()) == sorted(rows)
+    with pytest.raises(ValueError, match="missing"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), "missing string")
+    (tmp_path / "b.csv").write_text("description,code\nd1,52\n")
+    assert readers.read_csv(spark, str(tmp_path / "b.csv"), "code string, description string", multi_line=False).first().code == "52"
