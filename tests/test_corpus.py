@@ -83,6 +83,22 @@ def test_hot_key_join_with_repeated_partners(spark, monkeypatch):
         assert sorted(map(str, sizing.hot_key_join(big, twice, "k", min_rows=100).collect())) == want
 
 
+def test_no_task_gets_a_whole_hot_key(spark):
+    big = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    other = spark.range(9000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    joined = sizing.hot_key_join(big, other, "k", min_rows=1000)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = joined.where("k = 7").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(r["count"] for r in parts) == 3001 and max(r["count"] for r in parts) < 2000
+
+
 def test_settle_bound(spark):
     assert sizing.settle(spark.range(5), 5)[1] is True
     df, small = sizing.settle(spark.range(6), 5)
