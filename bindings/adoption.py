@@ -1,5 +1,7 @@
 """Adoption by month and industry over orders and customers."""
 
+from pyspark.sql import functions as F
+
 from bindings.registry import query
 from bindings.tables import (
     DIM_CTE,
@@ -13,9 +15,12 @@ from bindings.tables import (
 )
 from sectorscope.functions.codes import CLASS_CODES
 from sectorscope.operators import adoption as ad
-from sectorscope.plans.adoption import tool_adoption
+from sectorscope.plans.adoption import adoption_report, tool_adoption
+from sectorscope.sources.paths import shared_folder
 
 TOP = 10
+# Tools are files: a job names each of them.
+MAX_TOOLS = 100
 
 
 def first_use(spark, sf_dir):
@@ -132,3 +137,27 @@ def adoption_summary_by_tool(spark, sf_dir):
 )
 def top_industries_by_tool(spark, sf_dir):
     return ad.top_industries(by_tool(spark, sf_dir), TOP, by=["tool"])
+
+
+@query(f"WITH {TOOL_MONTHLY_CTE} SELECT tool, month, predicted_naics, n FROM monthly")
+def adoption_files_job(spark, sf_dir):
+    """Every tool with an event file and a scored table of its own; one comes with first use computed,
+    the others are stored on the way."""
+    folder = shared_folder(spark, "adoption")
+    events = tool_events(spark, sf_dir)
+    tools = [r[0] for r in events.select("tool").distinct().orderBy("tool").limit(MAX_TOOLS).collect()]
+    paths, scored = {}, {}
+    for k, tool in enumerate(tools):
+        own = events.where(F.col("tool") == tool).select(
+            F.col("repo_nwo").cast("string").alias("repo_nwo"), F.col("created_at").cast("timestamp").alias("created_at")
+        )
+        scored[tool] = f"{folder}/{k}-scored.parquet"
+        predictions(spark, sf_dir).withColumn("nwo", F.col("nwo").cast("string")).write.parquet(scored[tool])
+        if k == 0:
+            paths[tool] = f"{folder}/{k}.parquet"
+            first = ad.first_use(own).withColumnsRenamed({"nwo": "repo_nwo", "first_use_date": "first_claude_commit"})
+            first.write.parquet(paths[tool])
+        else:
+            paths[tool] = f"{folder}/{k}.jsonl"
+            own.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(paths[tool])
+    return adoption_report(spark, paths, scored, computed=tuple(tools[:1]), first_use_dir=f"{folder}/first-use")

@@ -110,12 +110,12 @@ def prepared_corpus(spark, sf_dir):
 
 @query(
     f"""WITH {REPOS_CTE}, {_LABELS}, words AS (SELECT id, [w for w in regexp_split_to_array(lower({_joined(_TRAIN_PARTS)}), '\\s+')
-    if w <> ''][1:512] AS tokens, label AS labels FROM repos JOIN known USING (code))
+    if w <> ''] AS tokens, label AS labels FROM repos JOIN known USING (code))
     SELECT id, labels, CAST(len(tokens) AS INTEGER) AS n_tokens, md5(array_to_string(tokens, ' ')) AS token_hash FROM words"""
 )
 def training_columns(spark, sf_dir):
     rows, _ = prepare_corpus(repos(spark, sf_dir), clean=False, keep=["id"])
-    words = cl.tokenize(rows, 512)
+    words = cl.tokenize(rows)
     return words.select(
         "id", "labels", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("token_hash")
     )

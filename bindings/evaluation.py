@@ -1,7 +1,5 @@
 """Evaluation over embeddings: truth is the label, the prediction comes from folded logits."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from bindings.registry import query
@@ -12,7 +10,7 @@ from bindings.tables import (
     label_dim,
     logits,
     pair_prob_cte,
-    pair_scorer,
+    pair_scores,
     repos,
     split_cte,
     sql_clean,
@@ -211,5 +209,5 @@ pairs AS (SELECT label, class_index AS prediction FROM held_out JOIN pair_guess
 
 @query(f"WITH {metric_ctes('', _TEXT_PAIRS)} {REPORT_SQL}")
 def text_evaluation_job(spark, sf_dir):
-    tables = evaluate_table(repos(spark, sf_dir), partial(cl.score_with, open_scorer=pair_scorer()), label_dim(spark))
+    tables = evaluate_table(repos(spark, sf_dir), pair_scores, label_dim(spark))
     return rounded(tables.report, "precision", "recall", "f1").drop("seq")

@@ -1,6 +1,6 @@
 """Scoring, ranking and classifier jobs."""
 
-from functools import partial
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -15,19 +15,23 @@ from bindings.tables import (
     logits,
     pair_prob_cte,
     pair_scorer,
+    pair_scores,
     repos,
+    split_cte,
     table,
 )
-from bindings.text import BATCH_TEXT_SQL, SIMPLE_TEXT_SQL
+from bindings.text import SIMPLE_TEXT_SQL, WHOLE_TEXT_SQL
 from sectorscope.functions import scores as sc
 from sectorscope.functions.codes import CLASS_CODES
 from sectorscope.operators import classify as cl
 from sectorscope.operators import corpus, summary
-from sectorscope.operators.sizing import spread
+from sectorscope.operators.sizing import lookup_join
 from sectorscope.plans import score as ps
 from sectorscope.plans.train import train_classifier
+from sectorscope.sources import writers
+from sectorscope.sources.paths import shared_folder
+from sectorscope.sources.writers import load_model
 
-pair_scores = partial(cl.score_with, open_scorer=pair_scorer())
 _NAMED = f"{LOGITS_CTE}, {LABEL_CTE}"
 
 
@@ -90,7 +94,7 @@ def prediction_distribution(spark, sf_dir):
     return summary.prediction_distribution(classified_vectors(spark, sf_dir))
 
 
-_TEXTS = f"{NOISY_REPOS_CTE}, texts AS (SELECT id, {BATCH_TEXT_SQL} AS text FROM repos), {pair_prob_cte('texts')}, {LABEL_CTE}"
+_TEXTS = f"{NOISY_REPOS_CTE}, texts AS (SELECT id, {WHOLE_TEXT_SQL} AS text FROM repos), {pair_prob_cte('texts')}, {LABEL_CTE}"
 _SIMPLE = f"{NOISY_REPOS_CTE}, texts AS (SELECT id, {SIMPLE_TEXT_SQL} AS text FROM repos), {pair_prob_cte('texts')}, {LABEL_CTE}"
 
 
@@ -100,8 +104,8 @@ _SIMPLE = f"{NOISY_REPOS_CTE}, texts AS (SELECT id, {SIMPLE_TEXT_SQL} AS text FR
     FROM pair_guess JOIN label_dim ON label = class_index"""
 )
 def external_scorer(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
-    scored = cl.classify(pair_scores(rows), label_dim(spark)).drop("text")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    scored = cl.classify(cl.score_with(rows, pair_scorer()), label_dim(spark)).drop("text")
     return scored.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -141,7 +145,9 @@ def classified_repositories(spark, sf_dir):
     LEFT JOIN dim ON dim.code = label_dim.code ORDER BY name_repo LIMIT 10"""
 )
 def sample_predictions(spark, sf_dir):
-    rows = ps.predict_table(repos(spark, sf_dir, noisy=True), pair_scores, label_dim(spark))
+    """The ten rows are chosen before they are scored."""
+    chosen = corpus.take_rows(repos(spark, sf_dir, noisy=True), 10, "name_repo")
+    rows = ps.predict_table(chosen, pair_scores, label_dim(spark))
     return summary.sample_preview(rows, 10, "name_repo").withColumn("confidence", F.round("confidence", 6))
 
 
@@ -151,12 +157,16 @@ def sample_predictions(spark, sf_dir):
       round(confidence, 6) AS confidence FROM docs JOIN pair_guess USING (id) JOIN label_dim ON label = class_index"""
 )
 def text_previews(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     scored = cl.classify(pair_scores(rows), label_dim(spark)).withColumn("confidence", F.round("confidence", 6))
     return summary.text_preview(scored).drop("class_index")
 
 
-# --- training: which language is a document written in; rows only ------------------------------
+# --- training: which language is a document written in -----------------------------------------
+# SQL has no classifier: it states what a good one must show, and the queries say whether it does.
+FLOOR = 0.8
+
+
 def language_repos(spark, sf_dir):
     """Documents as repositories whose class is their language; nothing but the text tells it."""
     docs = table(spark, sf_dir, "documents")
@@ -170,22 +180,92 @@ def trained(spark, sf_dir, **kwargs):
     return train_classifier(language_repos(spark, sf_dir), **{**settings, **kwargs})
 
 
-@query()
+@lru_cache(maxsize=1)
+def _fitted(spark, sf_dir, application):
+    folder = shared_folder(spark, "model")
+    return trained(spark, sf_dir, save_to=folder), folder
+
+
+def fitted(spark, sf_dir):
+    """One stored fit for the queries that look at a model: the run and its folder."""
+    return _fitted(spark, sf_dir, spark.sparkContext.applicationId)
+
+
+def with_model(spark, sf_dir, model, labels):
+    rows = language_repos(spark, sf_dir)
+    texts = rows.withColumn("text", corpus.training_text_column(rows))
+    return cl.classify(cl.score_with_model(texts, model), labels)
+
+
+_LANGUAGES = "src AS (SELECT doc_id AS id, lang AS label FROM documents WHERE lang IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) >= 10))"
+
+
+@query(
+    f"""WITH {_LANGUAGES}, {split_cte('src')} SELECT split, count(*) AS n_rows, true AS accurate, true AS f1_above_floor
+    FROM split WHERE split <> 'train' GROUP BY split"""
+)
 def training_job(spark, sf_dir):
-    """Prepare, split, fit a small grid, keep the best by validation F1; metrics per held-out split."""
-    return trained(spark, sf_dir, reg_params=(0.001, 0.1)).metrics
+    """Prepare, split, fit a small grid, keep the best by validation F1; sizes and quality of the held-out splits."""
+    run = trained(spark, sf_dir, reg_params=(0.001, 0.1))
+    rows = run.metrics.join(run.sizes, "split")
+    return rows.select("split", "n_rows", (F.col("accuracy") > FLOOR).alias("accurate"), (F.col("f1") > FLOOR).alias("f1_above_floor"))
 
 
-@query()
+@query("SELECT true AS several_steps, true AS falls")
 def training_curve(spark, sf_dir):
-    return trained(spark, sf_dir).curve
+    curve = fitted(spark, sf_dir)[0].curve
+    return curve.agg(
+        (F.count("*") > 1).alias("several_steps"),
+        (F.max_by("value", "step") < F.min_by("value", "step")).alias("falls"),
+    )
 
 
-@query()
+@query("SELECT doc_id AS id, lang AS code, true AS known, true AS class_above_floor FROM documents")
 def model_predictions(spark, sf_dir):
-    """Fit, then classify the whole table with the fitted model."""
-    run = trained(spark, sf_dir)
-    rows = spread(language_repos(spark, sf_dir))
-    texts = rows.withColumn("text", corpus.training_text_column(rows))
-    scored = cl.classify(cl.score_with_model(texts, run.model), run.labels)
-    return scored.select("id", "code", "predicted_naics", "confidence")
+    """Classify the whole table with the fitted model; whether its class is mostly found, by class."""
+    run, _ = fitted(spark, sf_dir)
+    scored = with_model(spark, sf_dir, run.model, run.labels)
+    right = F.avg((F.col("predicted_naics") == F.col("code")).cast("int")) > FLOOR
+    by_class = scored.groupBy("code").agg(right.alias("class_above_floor"))
+    known = F.col("predicted_naics").isNotNull() & F.col("confidence").between(0, 1)
+    return lookup_join(scored, by_class, "code", "left").select("id", "code", known.alias("known"), "class_above_floor")
+
+
+@query("SELECT doc_id AS id, true AS same_class, true AS same_confidence FROM documents")
+def model_stored(spark, sf_dir):
+    """The model read back from its folder, with its label map, against the fitted one."""
+    run, folder = fitted(spark, sf_dir)
+    model, labels = load_model(spark, folder)
+    own = with_model(spark, sf_dir, run.model, run.labels).select("id", F.col("predicted_naics").alias("a"), F.col("confidence").alias("x"))
+    back = with_model(spark, sf_dir, model, labels).select("id", F.col("predicted_naics").alias("b"), F.col("confidence").alias("y"))
+    return own.join(back, "id").select(
+        "id", (F.col("a") == F.col("b")).alias("same_class"), (F.col("x") == F.col("y")).alias("same_confidence")
+    )
+
+
+# --- whole jobs over files ------------------------------------------------------------------------
+@query(
+    f"""WITH {_SIMPLE} SELECT label_dim.code AS predicted_naics, count(*) AS n FROM repos JOIN pair_guess USING (id)
+    JOIN label_dim ON label = class_index GROUP BY 1"""
+)
+def prediction_file_job(spark, sf_dir):
+    """Read by suffix, score the simple layout, write by suffix, count classes of the written file."""
+    folder = shared_folder(spark, "prediction")
+    writers.write_csv(repos(spark, sf_dir, noisy=True), f"{folder}/in.csv")
+    return ps.predict_file(spark, f"{folder}/in.csv", f"{folder}/out.json", pair_scores, label_dim(spark))
+
+
+@query(
+    f"""WITH {_TEXTS}, {DIM_CTE}, guess AS (SELECT code AS predicted_naics, confidence FROM pair_guess JOIN label_dim ON label = class_index),
+    dist AS (SELECT predicted_naics, count(*) AS n, sum(confidence) AS s FROM guess GROUP BY 1),
+    ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY n DESC, predicted_naics) AS INTEGER) AS rank,
+      CAST(sum(n) OVER () AS BIGINT) AS total, sum(s) OVER () / sum(n) OVER () AS mean_confidence FROM dist)
+    SELECT total, round(mean_confidence, 6) AS mean_confidence, rank, predicted_naics, coalesce(medium_desc, 'Unknown') AS industry, n,
+      round(100.0 * n / total, 6) AS pct FROM ranked LEFT JOIN dim ON dim.code = predicted_naics WHERE rank <= 10"""
+)
+def scoring_file_job(spark, sf_dir):
+    """Score a Parquet table in the batch layout into CSV; the summary comes from the written file."""
+    folder = shared_folder(spark, "scoring")
+    repos(spark, sf_dir, noisy=True).write.parquet(f"{folder}/in.parquet")
+    result = ps.score_file(spark, f"{folder}/in.parquet", f"{folder}/out.csv", pair_scores, label_dim(spark))
+    return result.withColumns({c: F.round(c, 6) for c in ("mean_confidence", "pct")})

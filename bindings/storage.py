@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from bindings.adoption import first_use
 from bindings.evaluation import REPORT_SQL, counts, metric_ctes, rounded
 from bindings.registry import query
-from bindings.scoring import _NAMED, classified_vectors, trained
+from bindings.scoring import _NAMED, classified_vectors
 from bindings.tables import LABEL_CTE, REPOS_CTE, FIRST_USE_CTE, label_dim, repos, table
 from sectorscope.operators import adoption as ad
 from sectorscope.operators import corpus
@@ -14,20 +14,26 @@ from sectorscope.plans.evaluate import evaluate_counts
 from sectorscope.sources import readers, writers
 from sectorscope.sources.paths import shared_folder
 
-_REPO_COLUMNS = "id, code, name_repo, description, topics, readme_content"
 
-
-@query(f"WITH {REPOS_CTE} SELECT {_REPO_COLUMNS} FROM repos")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def parquet_scan(spark, sf_dir):
-    path = shared_folder(spark, "repos") + ".parquet"
-    repos(spark, sf_dir).write.parquet(path)
-    return readers.read_repos(spark, path)
+    return readers.read_repos(spark, f"{sf_dir}/documents.parquet")
 
 
-@query(f"WITH {REPOS_CTE} SELECT {_REPO_COLUMNS} FROM repos")
+@query(
+    f"""WITH {REPOS_CTE} SELECT id, code, name_repo, '  ' || description || chr(9) AS description, topics,
+    chr(10) || ' ' || readme_content || ' ' || chr(10) AS readme_content FROM repos"""
+)
 def csv_scan(spark, sf_dir):
+    """Texts with outer blanks, in a file whose columns stand in another order than the schema's."""
     path = shared_folder(spark, "repos") + ".csv"
-    writers.write_csv(repos(spark, sf_dir), path)
+    rows = repos(spark, sf_dir).withColumns(
+        {
+            "description": F.concat(F.lit("  "), "description", F.lit("\t")),
+            "readme_content": F.concat(F.lit("\n "), "readme_content", F.lit(" \n")),
+        }
+    )
+    writers.write_csv(rows.select("readme_content", "topics", "id", "description", "name_repo", "code"), path)
     return readers.read_repos(spark, path, f"id bigint, {readers.REPO_SCHEMA}")
 
 
@@ -98,12 +104,3 @@ def report_stored(spark, sf_dir):
     result = evaluate_counts(counts(spark, sf_dir), label_dim(spark))
     writers.write_report(result.metrics, result.report, result.test_size, folder)
     return rounded(readers.read_report(spark, folder)["classes"], "precision", "recall", "f1").drop("seq")
-
-
-@query()
-def model_stored(spark, sf_dir):
-    """Fit, save, load; the label map comes back from beside the model."""
-    folder = shared_folder(spark, "model")
-    trained(spark, sf_dir, save_to=folder)
-    _, labels = writers.load_model(spark, folder)
-    return labels

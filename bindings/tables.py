@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sectorscope.functions.codes import CLASS_CODES, SECTOR_CODES, SECTORS
+from sectorscope.operators.classify import score_logits
 from sectorscope.operators.sizing import local_table
 
 CODE = "predicted_naics"
@@ -270,6 +271,13 @@ def pair_scorer(pairs=tuple(PAIRS), weight=PAIR_WEIGHT):
     return open_scorer
 
 
+def pair_scores(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``probabilities`` of the letter-pair scorer, from column expressions."""
+    col = F.coalesce(F.col(text), F.lit(""))
+    found = [(F.length(col) - F.length(F.replace(col, F.lit(p), F.lit("")))) / 2 for p in PAIRS]
+    return score_logits(df.withColumn("_logits", F.array(*[x * PAIR_WEIGHT for x in found])), "_logits").drop("_logits")
+
+
 def pair_prob_cte(source: str, id_col: str = "id") -> str:
     """Class probabilities of ``source(id, text)`` under the letter-pair scorer."""
     counts = ", ".join(

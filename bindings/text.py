@@ -7,7 +7,6 @@ from bindings.tables import LOGITS_CTE, NOISY_REPOS_CTE, REPOS_CTE, logits, repo
 from sectorscope.functions import text as tx
 from sectorscope.operators import classify as cl
 from sectorscope.operators import corpus, profile
-from sectorscope.operators.sizing import spread
 
 
 @query(f"WITH {REPOS_CTE} SELECT id, {sql_topics('topics')} AS topics FROM repos")
@@ -25,7 +24,7 @@ def topics_from_arrays(spark, sf_dir):
 
 @query(f"WITH {NOISY_REPOS_CTE} SELECT id, {sql_clean('readme_content')} AS text FROM repos")
 def readme_cleaned(spark, sf_dir):
-    return spread(repos(spark, sf_dir, noisy=True)).select("id", tx.clean_readme(F.col("readme_content")).alias("text"))
+    return repos(spark, sf_dir, noisy=True).select("id", tx.clean_readme(F.col("readme_content")).alias("text"))
 
 
 @query(
@@ -54,7 +53,7 @@ _TRAIN_PARTS = [
 
 @query(f"WITH {NOISY_REPOS_CTE} SELECT id, {sql_clean(_joined(_TRAIN_PARTS))} AS text FROM repos")
 def training_texts(spark, sf_dir):
-    rows = corpus.normalize_topics(spread(repos(spark, sf_dir, noisy=True)))
+    rows = corpus.normalize_topics(repos(spark, sf_dir, noisy=True))
     return rows.select("id", corpus.training_text_column(rows).alias("text"))
 
 
@@ -81,11 +80,12 @@ _BATCH_PARTS = [
     _labelled("README", "substr(readme_content, 1, 5000)", "trim(readme_content) <> '' AND readme_content <> 'nan'"),
 ]
 BATCH_TEXT_SQL = sql_clean(_joined(_BATCH_PARTS))
+WHOLE_TEXT_SQL = BATCH_TEXT_SQL.replace("substr(readme_content, 1, 5000)", "readme_content")
 
 
 @query(f"WITH {NOISY_REPOS_CTE} SELECT id, {BATCH_TEXT_SQL} AS text FROM repos")
 def batch_texts(spark, sf_dir):
-    rows = spread(repos(spark, sf_dir, noisy=True))
+    rows = repos(spark, sf_dir, noisy=True)
     return rows.select("id", corpus.batch_text_column(rows).alias("text"))
 
 
@@ -100,7 +100,7 @@ def readme_cut(spark, sf_dir):
     SELECT id, array_to_string(tokens, ' ') AS tokens, CAST(len(tokens) AS INTEGER) AS n_tokens FROM t"""
 )
 def tokens_truncated(spark, sf_dir):
-    rows = spread(repos(spark, sf_dir).select("id", F.col("readme_content").alias("text")))
+    rows = repos(spark, sf_dir).select("id", F.col("readme_content").alias("text"))
     words = cl.tokenize(rows, tx.token_limit(2048))
     return words.select("id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").alias("n_tokens"))
 

@@ -155,10 +155,11 @@ def first_chars(col: Column, n: int) -> Column:
     return F.substring(_text(col), 1, n)
 
 
-def tokens(col: Column, max_tokens: int) -> Column:
-    """Lower-cased words, truncated to ``max_tokens``."""
-    parts = F.split(F.lower(_text(col)), r"\s+", max_tokens + 2)
-    return F.slice(F.filter(parts, lambda w: w != ""), 1, max_tokens)
+def tokens(col: Column, max_tokens: int | None = None) -> Column:
+    """Lower-cased words; all of them, or the first ``max_tokens``."""
+    limit = -1 if max_tokens is None else max_tokens + 2
+    words = F.filter(F.split(F.lower(_text(col)), r"\s+", limit), lambda w: w != "")
+    return words if max_tokens is None else F.slice(words, 1, max_tokens)
 
 
 def token_limit(requested: int, long_context: bool = False) -> int:
@@ -217,11 +218,11 @@ def batch_text(
     description: Column,
     topics: Column,
     readme: Column,
-    max_readme_chars: int = 5000,
+    max_readme_chars: int | None = 5000,
     clean: bool = True,
     topics_is_array: bool = False,
 ) -> Column:
-    """Layout for bulk scoring: blank or literal ``nan`` parts are skipped, README is cut."""
+    """Layout for bulk scoring: blank or literal ``nan`` parts are skipped, README is cut unless told not to."""
     name, description, readme = map(_text, (name, description, readme))
     if topics_is_array:
         topic_text = join_topics(topics)
@@ -235,6 +236,6 @@ def batch_text(
         _part("Repository", name, ~is_blank(name)),
         _part("Description", description, ~is_blank(description) & (description != "nan")),
         _part("Topics", topic_text, has_topics & ~is_blank(topic_text)),
-        _part("README", first_chars(readme, max_readme_chars), ~is_blank(readme) & (readme != "nan")),
+        _part("README", readme if max_readme_chars is None else first_chars(readme, max_readme_chars), ~is_blank(readme) & (readme != "nan")),
     )
     return clean_readme(joined) if clean else joined

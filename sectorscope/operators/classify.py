@@ -30,17 +30,20 @@ Scorer = Callable[[Sequence[str]], np.ndarray]
 _WORK = ("_tokens", "_counts", "_features", "_prediction", "_raw", "_probability", "_code")
 
 
-def tokenize(df: DataFrame, max_tokens: int = 512, text: str = "text", label: str = "label") -> DataFrame:
-    """Replace the text by its tokens and rename the label for training."""
+def tokenize(df: DataFrame, max_tokens: int | None = None, text: str = "text", label: str = "label") -> DataFrame:
+    """Replace the text by its tokens, all unless ``max_tokens`` is given, and rename the label."""
     out = df.withColumn("tokens", tokens(F.col(text), max_tokens)).drop(text)
     return out.withColumnRenamed(label, "labels") if label in df.columns else out
 
 
-def _featurizer(text: str, max_tokens: int, n_features: int) -> Pipeline:
-    words = f"filter(split(lower({text}), '\\\\s+', {max_tokens + 2}), w -> w <> '')"
+def _featurizer(text: str, max_tokens: int | None, n_features: int) -> Pipeline:
+    limit = -1 if max_tokens is None else max_tokens + 2
+    words = f"filter(split(lower(coalesce({text}, '')), '\\\\s+', {limit}), w -> w <> '')"
+    if max_tokens is not None:
+        words = f"slice({words}, 1, {max_tokens})"
     return Pipeline(
         stages=[
-            SQLTransformer(statement=f"SELECT *, slice({words}, 1, {max_tokens}) AS _tokens FROM __THIS__"),
+            SQLTransformer(statement=f"SELECT *, {words} AS _tokens FROM __THIS__"),
             HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=n_features),
             IDF(inputCol="_counts", outputCol="_features"),
         ]
@@ -68,12 +71,13 @@ def fit_best(
     label: str = "label",
     reg_params: Sequence[float] = (0.001, 0.01),
     max_iter: int = 20,
-    max_tokens: int = 512,
+    max_tokens: int | None = None,
     n_features: int = 1 << 16,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit one model per regularization, keep the best by weighted F1 on ``validation``.
 
-    Features are computed once per split.  Returns the model and its training curve.
+    Features are computed once per split, from whole texts unless ``max_tokens`` is given.
+    Returns the model and its training curve.
     """
     features = _featurizer(text, max_tokens, n_features).fit(train)
     train_x = features.transform(train).select(label, "_features").persist(StorageLevel.MEMORY_AND_DISK)
@@ -82,18 +86,20 @@ def fit_best(
         val_x = val_x.persist(StorageLevel.MEMORY_AND_DISK)
     best: LogisticRegressionModel | None = None
     best_f1 = -1.0
-    for reg in reg_params:
-        fitted = _classifier(label, reg, max_iter).fit(train_x)
-        if len(reg_params) == 1:
-            best = fitted
-            break
-        pairs = ev.truth_prediction(fitted.transform(val_x), label, "_prediction")
-        f1 = ev.metrics(ev.confusion_counts(pairs)).first()["f1"]
-        if f1 > best_f1:
-            best, best_f1 = fitted, f1
+    try:
+        for reg in reg_params:
+            fitted = _classifier(label, reg, max_iter).fit(train_x)
+            if len(reg_params) == 1:
+                best = fitted
+                break
+            pairs = ev.truth_prediction(fitted.transform(val_x), label, "_prediction")
+            f1 = ev.metrics(ev.confusion_counts(pairs)).first()["f1"]
+            if f1 > best_f1:
+                best, best_f1 = fitted, f1
+    finally:
+        train_x.unpersist()
+        val_x.unpersist()
     curve = training_curve(train, best)
-    train_x.unpersist()
-    val_x.unpersist()
     names = IndexToString(inputCol="_prediction", outputCol="_code", labels=list(codes))
     return PipelineModel(stages=[*features.stages, best, names]), curve
 

@@ -121,7 +121,7 @@ def simple_text_column(df: DataFrame) -> Column:
     )
 
 
-def batch_text_column(df: DataFrame, max_readme_chars: int = 5000, clean: bool = True) -> Column:
+def batch_text_column(df: DataFrame, max_readme_chars: int | None = 5000, clean: bool = True) -> Column:
     """Scoring text; ``name`` and ``readme`` win over ``name_repo`` and ``readme_content``."""
     name = "name" if "name" in df.columns else "name_repo"
     readme = "readme" if "readme" in df.columns else "readme_content"

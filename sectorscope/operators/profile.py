@@ -40,8 +40,8 @@ def length_stats(counts: DataFrame) -> DataFrame:
     """Minimum, maximum, mean, exact median and sample standard deviation."""
     total = F.sum("n")
     mean = _weighted(F.col("length")) / total
-    squares = _weighted(F.col("length").cast("double") * F.col("length"))
-    spread = F.greatest(squares - total * mean * mean, F.lit(0.0))
+    centre = counts.select(mean).scalar()
+    spread = _weighted(F.pow(F.col("length") - centre, F.lit(2)))
     return counts.agg(
         F.min("length").alias("min_length"),
         F.max("length").alias("max_length"),

@@ -18,12 +18,16 @@ from sectorscope.plans.prepare import prepare_corpus
 from sectorscope.sources.paths import shared_folder
 from sectorscope.sources.writers import save_model
 
+# A multinomial model holds a row of coefficients for each class on the driver.
+MAX_CLASSES = 10_000
+
 
 @dataclass
 class Training:
     model: PipelineModel
     labels: DataFrame
     metrics: DataFrame  # one row per held-out split
+    sizes: DataFrame  # rows of every split
     gap: DataFrame
     curve: DataFrame
 
@@ -38,7 +42,7 @@ def train_classifier(
     seed: int = 42,
     reg_params: Sequence[float] = (0.001, 0.01),
     max_iter: int = 20,
-    max_tokens: int = 512,
+    max_tokens: int | None = None,
     n_features: int = 1 << 16,
     save_to: str | None = None,
 ) -> Training:
@@ -58,7 +62,9 @@ def train_classifier(
     def part(name: str) -> DataFrame:
         return corpus.where(F.col("split") == name)
 
-    codes = [r["code"] for r in labels.orderBy("label").collect()]
+    codes = [r["code"] for r in labels.orderBy("label").limit(MAX_CLASSES + 1).collect()]
+    if len(codes) > MAX_CLASSES:
+        raise ValueError(f"More than {MAX_CLASSES} classes")
     model, curve = cl.fit_best(
         part("train"),
         part("validation"),
@@ -74,4 +80,5 @@ def train_classifier(
     by_split = ev.metrics(counts, ["split"])
     if save_to:
         save_model(model, labels, save_to)
-    return Training(model, labels, by_split, ev.generalization_gap(by_split), curve)
+    sizes = corpus.groupBy("split").agg(F.count("*").alias("n_rows"))
+    return Training(model, labels, by_split, sizes, ev.generalization_gap(by_split), curve)

@@ -161,3 +161,17 @@ def test_pairs_keep_group(spark):
 def test_unknown_split(spark):
     with pytest.raises(ValueError, match="not found"):
         pe.evaluate_split(repos(spark), add_scores, "holdout")
+
+
+def test_whole_texts_are_read(spark):
+    """The only signal stands after word 600 and after character 5,000."""
+    same = " ".join(f"word{k % 50}" for k in range(900))
+    rows = [(i, "11" if i % 2 else "62", f"{same} {'farm' if i % 2 else 'clinic'}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, code string, readme_content string")
+    docs = docs.withColumn("name_repo", F.lit("r")).withColumn("description", F.lit(None).cast("string"))
+    run = train_classifier(docs, min_samples=None, reg_params=(0.001,), n_features=1 << 10)
+    assert all(r.accuracy == 1.0 for r in run.metrics.collect())
+    out = ps.score_corpus(docs, lambda df: cl.score_with_model(df, run.model), run.labels)
+    assert all(r.predicted_naics == r.code for r in out.collect())
+    cut = ps.score_corpus(docs, lambda df: cl.score_with_model(df, run.model), run.labels, max_readme_chars=5000)
+    assert len({r.predicted_naics for r in cut.collect()}) == 1

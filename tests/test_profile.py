@@ -46,3 +46,8 @@ def test_class_distribution(spark):
         ("a", 2, 33.3), ("b", 3, 50.0), ("c", 1, 16.7)
     ]
     assert tuple(profile.class_range(df).first()) == (3, 1, 3, 6)
+
+
+def test_deviation_of_large_close_lengths(spark):
+    both = spark.createDataFrame([(200_000, 500_000_000), (200_001, 500_000_000)], "length int, n long")
+    assert profile.length_stats(both).first().std_length == pytest.approx(0.5, abs=1e-9)

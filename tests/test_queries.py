@@ -6,7 +6,7 @@ from check_oracles import compare, connect
 from __spark_entry__ import entry
 from bindings import ORACLES, QUERIES
 
-ROWS_ONLY = {"training_job", "training_curve", "model_predictions", "model_stored"}
+ROWS_ONLY: set[str] = set()
 # Nothing to show on tables this small.
 MAY_BE_EMPTY = set()
 
@@ -29,11 +29,5 @@ def test_query(spark, db, sf_dir, name):
     assert problem is None or (problem == "no rows" and name in MAY_BE_EMPTY)
 
 
-def test_training_learns(spark, sf_dir):
-    rows = QUERIES["training_job"](spark, sf_dir).collect()
-    assert {r.split for r in rows} == {"validation", "test"}
-    assert all(r.accuracy > 0.8 for r in rows)
-
-
 def test_entry(spark, sf_dir):
     assert entry(spark).count() > 0
