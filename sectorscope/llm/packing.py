@@ -35,6 +35,8 @@ from sectorscope.sources.paths import store
 BLOCK_PIECES = 16_384
 # Bins that the search gives up on in a row before the block is done.
 PATIENCE = 24
+# Texts over this many characters are encoded in overlapping chunks.
+CHUNK_CHARS = 1 << 20
 # Bins at least this full are final; looser ones get another round.
 CLOSED_SHARE = 0.98
 
@@ -49,7 +51,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0)
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, encoded in encoded_slices(batches, tokenizer_path):
+        for rows, encoded in encoded_slices(batches, tokenizer_path, CHUNK_CHARS):
             row, number, start, length, crc = [], [], [], [], []
             for k, ids in enumerate(encoded):
                 ids += end

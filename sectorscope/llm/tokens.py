@@ -5,11 +5,10 @@ A tokenizer file is opened once per Python worker.  Texts are encoded in two way
 * **Huge texts** (over ``chunk_chars`` characters): overlapping chunks are encoded with
   offsets and spliced at a common boundary that is proven stable (:func:`resynchronised`).
   Memory is bounded by a chunk and the ids.
-* **Other texts**: a byte-level tokenizer cuts a text into pre-tokens, none of which runs
-  from a non-space into a space, and encodes each by itself.  So a text may be cut before any
-  space that follows a non-space, and the ids of its pieces can be kept and reused.  Pieces
-  seen for the first time are encoded together, once per batch.  Tokenizers of another make
-  encode the text as it is.
+* **Other texts** are encoded as they are.  For a byte-level tokenizer whose merges are numbered
+  in the order of its ids, merging by least id is the same rule, and a library made for that
+  form does it several times faster; it is built from the same file.  Texts with characters
+  that Unicode versions may class differently go to the tokenizer's own library.
 
 Null text counts as empty: no tokens.  Rows are handled one by one, so repeated ids, ties and
 empty tables need no rule; extra columns are ignored.
@@ -28,18 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A text is cut only before U+0020 and after a character outside this class, which holds every
-# character that any \s may match.
-BLANKS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2060\\u3000\\ufeff"
-UNEVEN = re.compile(f"[{BLANKS}] ")
-CUT = re.compile(f"(?<=[^{BLANKS}])(?= )")
-SOLID_END = re.compile(f"[^{BLANKS}]\\Z")
+# The byte-level pre-tokenizer's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Anything but Basic Latin to Latin Extended-A, Cyrillic letters, general punctuation, currency,
+# kana and unified ideographs, whose classes have not changed for many Unicode versions.
+UNSETTLED = re.compile(
+    "[^\\x00-\\u017f\\u0410-\\u044f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20ac\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5]"
+)
 # The pre-tokenizer looks no further than this past the end of a match (contractions).
 LOOK_AHEAD = 16
 
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 512
-KEPT_PIECES = 400_000
 ROWS = 256
 
 
@@ -125,102 +124,60 @@ def resynchronised(
         size = max(chunk_chars, 4 * margin)
 
 
-class PieceEncoder:
-    """Ids of texts, as little-endian unsigned 32-bit integers, for byte-level tokenizers.
-
-    Keeps the ids of at most ``kept`` pieces; further ones are encoded whenever they occur.
-    """
-
-    def __init__(self, tokenizer, kept: int = KEPT_PIECES):
-        self.tokenizer = tokenizer
-        self.kept = kept
-        self.ids: dict[str, bytes] = {}
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        for token, number in vocabulary.items():
-            self.sizes[number] = len(token)  # one character for each byte
-        for number, token in tokenizer.get_added_tokens_decoder().items():
-            self.sizes[number] = len(token.content.encode())
-
-    @staticmethod
-    def suits(tokenizer) -> bool:
-        kind = json.loads(tokenizer.to_str())
-        splitter = kind.get("pre_tokenizer") or {}
-        added = tokenizer.get_added_tokens_decoder().values()
-        return (
-            kind.get("normalizer") is None
-            and kind.get("post_processor") is None
-            and splitter.get("type") == "ByteLevel"
-            and splitter.get("use_regex", True)
-            and not splitter.get("add_prefix_space", True)
-            and not any(t.lstrip or t.rstrip or t.single_word or re.search(r"\s", t.content) for t in added)
-        )
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Cuts before every space that follows a non-space."""
-        if UNEVEN.search(text):
-            return CUT.split(text)
-        parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if parts[0] else [" " + p for p in parts[1:]]
-
-    def _one(self, piece: str) -> bytes:
-        return _bytes(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that start with a space and end with none: one text, cut by bytes."""
-        ids = np.asarray(self.tokenizer.encode("".join(pieces), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.cumsum(self.sizes[ids])
-        wanted = np.cumsum([len(p.encode()) for p in pieces])
-        at = np.searchsorted(ends, wanted)
-        if len(at) and (at[-1] >= len(ends) or not np.array_equal(ends[at], wanted)):
-            return [self._one(p) for p in pieces]
-        raw, cuts = ids.tobytes(), [0, *((at + 1) * 4).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.pieces(t) for t in texts]
-        new = {p for part in parts for p in part}.difference(self.ids)
-        plain = [p for p in new if p[0] == " " and SOLID_END.search(p)]
-        found = {p: self._one(p) for p in new.difference(plain)}
-        for k in range(0, len(plain), 4096):
-            block = plain[k : k + 4096]
-            found.update(zip(block, self._together(block)))
-        room = self.kept - len(self.ids)
-        if room >= len(found):
-            self.ids.update(found)
-            known = self.ids
-            return [b"".join([known[p] for p in part]) for part in parts]
-        known, self_get = found, self.ids.get
-        out = [b"".join([self_get(p) or known[p] for p in part]) for part in parts]
-        for p, v in list(found.items())[:room]:
-            self.ids[p] = v
-        return out
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is
+    printable, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=4)
-def _piece_encoder(path: str) -> PieceEncoder | None:
-    tokenizer = open_tokenizer(path)
-    return PieceEncoder(tokenizer) if PieceEncoder.suits(tokenizer) else None
+def merging_by_id(path: str):
+    """An encoding equal to the tokenizer's on settled texts, or None for one of another make."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        definition = json.load(file)
+    splitter, model = definition.get("pre_tokenizer") or {}, definition["model"]
+    plain = (
+        definition.get("normalizer") is None
+        and definition.get("post_processor") is None
+        and splitter.get("type") == "ByteLevel"
+        and splitter.get("use_regex", True)
+        and not splitter.get("add_prefix_space", True)
+        and model.get("type", "BPE") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in definition["added_tokens"])
+    )
+    if not plain:
+        return None
+    added = {t["content"]: t["id"] for t in definition["added_tokens"]}
+    vocabulary, alphabet = model["vocab"], byte_alphabet()
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    if any(vocabulary.get(m.replace(" ", "", 1)) != 256 + k for k, m in enumerate(merges)):
+        return None
+    ranks = {bytes(alphabet[c] for c in token): n for token, n in vocabulary.items() if token not in added}
+    return tiktoken.Encoding("by-id", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def encode_texts(path: str, texts: list[str | None], chunk_chars: int, overlap_chars: int) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
-    tokenizer, pieces = open_tokenizer(path), _piece_encoder(path)
+    tokenizer, fast = open_tokenizer(path), merging_by_id(path)
+    special = set(fast.special_tokens_set) if fast else set()
     out: list[bytes] = [b""] * len(texts)
-    short = []
+    others = []
     for k, text in enumerate(texts):
-        if text and len(text) > chunk_chars:
+        if not text:
+            continue
+        if len(text) > chunk_chars:
             out[k] = b"".join(_bytes(ids) for ids in resynchronised(tokenizer, text, chunk_chars, overlap_chars))
-        elif text:
-            short.append(k)
-    wanted = [texts[k] for k in short]
-    if pieces:
-        found = pieces.encode(wanted)
-    else:
-        found = [_bytes(e.ids) for e in tokenizer.encode_batch(wanted, add_special_tokens=False)]
-    for k, ids in zip(short, found):
-        out[k] = ids
+        elif fast and not UNSETTLED.search(text):
+            out[k] = _bytes(fast.encode_to_numpy(text, allowed_special=special, disallowed_special=()))
+        else:
+            others.append(k)
+    for k, encoding in zip(others, tokenizer.encode_batch([texts[k] for k in others], add_special_tokens=False)):
+        out[k] = _bytes(encoding.ids)
     return out
 
 
