@@ -1,5 +1,7 @@
 """Curation, label ids, split and profiles over documents."""
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from bindings.registry import query
@@ -145,10 +147,16 @@ def stratified_sizes(spark, sf_dir):
 
 
 # --- profiles --------------------------------------------------------------------------------
-def lengths(spark, sf_dir):
+@lru_cache(maxsize=1)
+def _lengths(spark, sf_dir, application):
     return profile.store_length_counts(table(spark, sf_dir, "documents"))
 
 
+def lengths(spark, sf_dir):
+    """One stored table for the five profiles: the texts are read once."""
+    return _lengths(spark, sf_dir, spark.sparkContext.applicationId)
+
+
 @query("SELECT CAST(min(length(text)) AS INTEGER) AS min_length, CAST(max(length(text)) AS INTEGER) AS max_length, round(avg(length(text)), 6) AS mean_length FROM documents")
 def length_range(spark, sf_dir):
     return profile.length_range(lengths(spark, sf_dir)).withColumn("mean_length", F.round("mean_length", 6))

@@ -38,6 +38,10 @@ NOISE_HEAD = (
     "## Use **bold** and `code`: js, Py, node.js, ReactJS!!! ok??\nMIT License\nCopyright 2020 someone\n\n \n"
 )
 NOISE_TAIL = "\nwait......\nGPL\nPIP install thing\nnot read any more"
+# Every third row has the tail without an install line, which would drop the rest, and every
+# third one an open badge.
+PLAIN_TAIL = "\nwait......\nBSD\r\nread **to** the end??? node"
+OPEN_TAIL = "\n[![open](https://ci.example.com/c.svg) still [![ here\n[![again"
 
 
 def source_number() -> Column:
@@ -64,7 +68,9 @@ def topics_raw() -> Column:
 
 def repos(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    readme = F.concat(F.lit(NOISE_HEAD), F.col("text"), F.lit(NOISE_TAIL)) if noisy else F.col("text")
+    kind = F.col("doc_id") % 3
+    tail = F.when(kind == 0, NOISE_TAIL).when(kind == 1, PLAIN_TAIL).otherwise(OPEN_TAIL)
+    readme = F.concat(F.lit(NOISE_HEAD), F.col("text"), tail) if noisy else F.col("text")
     return docs.select(
         F.col("doc_id").alias("id"),
         pick(SECTOR_CODES, source_number()).alias("code"),
@@ -92,7 +98,10 @@ def _repos_cte(readme: str) -> str:
 
 
 REPOS_CTE = _repos_cte("text")
-NOISY_REPOS_CTE = _repos_cte(f"{sql_text(NOISE_HEAD)} || text || {sql_text(NOISE_TAIL)}")
+_TAIL_SQL = (
+    f"CASE doc_id % 3 WHEN 0 THEN {sql_text(NOISE_TAIL)} WHEN 1 THEN {sql_text(PLAIN_TAIL)} ELSE {sql_text(OPEN_TAIL)} END"
+)
+NOISY_REPOS_CTE = _repos_cte(f"{sql_text(NOISE_HEAD)} || text || {_TAIL_SQL}")
 
 
 def sql_topics(col: str) -> str:

@@ -81,7 +81,7 @@ _LITERAL_ITEM = (
     r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
     r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
     r"|\bNone\b|\bTrue\b|\bFalse\b"
-    r"|[-+]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?"
+    r"|[-+]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
 )
 _MARK = "\x01"
 
@@ -100,7 +100,7 @@ def _literal_value(item: Column) -> Column:
     """Printed form of one list element; empty text for the ones that count as false."""
     inner = F.substr(item, F.lit(2), F.length(item) - 2)
     quoted = F.when(F.contains(inner, F.lit("\\")), F.coalesce(_unescape(inner), inner)).otherwise(inner)
-    number = F.when(F.contains(item, F.lit(".")), item.try_cast("double").cast("string")).otherwise(
+    number = F.when(item.rlike("[.eE]"), item.try_cast("double").cast("string")).otherwise(
         F.ltrim(item, F.lit("+"))
     )
     return (
@@ -132,6 +132,7 @@ def clean_topics(col: Column, is_array: bool = False) -> Column:
     is_literal = (
         text.startswith("[")
         & text.endswith("]")
+        & ~F.contains(text, F.lit(_MARK))
         & F.replace(frame, F.lit(_MARK + ","), F.lit("")).isin("", _MARK)
     )
     items = F.regexp_extract_all(body, F.lit(_LITERAL_ITEM), F.lit(0))

@@ -18,7 +18,10 @@ from pyspark.sql import functions as F
 
 from sectorscope.operators.sizing import lookup_join, settle
 
+# Keys are counted by their first hexadecimal digits: at least so many, and as many more as keep
+# the keys that share them, which one task ranks, to about so many.
 BUCKET_DIGITS = 3
+BUCKET_ROWS = 100_000
 
 
 def order_key(id_col: str, seed: int) -> Column:
@@ -104,6 +107,14 @@ def _quota_edges(hist: DataFrame, label: str, test_size: float, val_size: float)
     return seen.groupBy(label).agg(*sizes, *edge(test, "test"), *edge(both, "val"))
 
 
+def bucket_digits(rows: int) -> int:
+    """Digits by which ``rows`` keys, even if all are of one class, fall into small buckets."""
+    digits = BUCKET_DIGITS
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
 def split_plan(
     df: DataFrame,
     label: str = "label",
@@ -116,9 +127,10 @@ def split_plan(
     """Cut keys per class: ``(label, test_cut, val_cut)``.
 
     A row is in test up to and including ``test_cut``, in validation up to ``val_cut``.
+    Runs jobs: the rows are counted, and the class quotas fetched.
     """
     keys = df.where(F.col(label).isNotNull()).select(F.col(label), order_key(id_col, seed).alias("_key"))
-    bucket = F.left(F.col("_key"), F.lit(BUCKET_DIGITS))
+    bucket = F.left(F.col("_key"), F.lit(bucket_digits(keys.count())))
     hist = keys.groupBy(label, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     classes, _ = settle(_quota_edges(hist, label, test_size, val_size))
     if validate:
@@ -159,7 +171,7 @@ def stratified_split(
     seed: int = 42,
     validate: bool = True,
 ) -> DataFrame:
-    """Add ``split`` in {train, validation, test}; ``id_col`` must identify rows."""
+    """Add ``split`` in {train, validation, test}; ``id_col`` must identify rows.  Runs jobs."""
     cuts = split_plan(df, label, id_col, test_size, val_size, seed, validate)
     part = (
         F.when(F.col("_key") <= F.col("test_cut"), F.lit("test"))

@@ -71,15 +71,18 @@ def evaluate_counts(counts: DataFrame, labels: DataFrame) -> Evaluation:
 def evaluate_table(
     repos: DataFrame,
     add_scores: AddScores,
-    labels: DataFrame,
+    labels: DataFrame | None = None,
     target: str = "code",
     id_col: str = "id",
     test_size: float = 0.2,
     val_size: float = 0.1,
     seed: int = 42,
 ) -> Evaluation:
-    """Prepare with the model's own label ids, split as in training, score the test part."""
-    prepared, _ = prepare_corpus(repos, target, labels=labels, keep=[id_col])
+    """Prepare with the model's own label ids, split as in training, score the test part.
+
+    Without a stored label map the ids are those of the data's own classes, in order of code.
+    """
+    prepared, labels = prepare_corpus(repos, target, labels=labels, keep=[id_col])
     rows = stratified_split(prepared, "label", id_col, test_size, val_size, seed)
     pairs = predicted_pairs(rows.where(F.col("split") == "test"), add_scores)
     return evaluate_counts(ev.confusion_counts(pairs), labels)

@@ -179,3 +179,8 @@ def test_split_rejects_repeated_ids(spark):
     df = spark.createDataFrame([(i // 100, "a") for i in range(300)], "id long, label string")
     with pytest.raises(Exception, match="must be unique"):
         split.stratified_split(df).collect()
+
+
+def test_bucket_digits_follow_the_rows():
+    assert split.bucket_digits(10) == 3
+    assert split.bucket_digits(10**11) == 5

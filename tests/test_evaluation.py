@@ -92,3 +92,19 @@ def test_groups_in_one_pass(spark):
     df = spark.createDataFrame([("a", 0, 0), ("a", 1, 0), ("b", 1, 1)], "split string, label int, prediction int")
     rows = {r.split: r.accuracy for r in ev.metrics(ev.confusion_counts(df, ["split"]), ["split"]).collect()}
     assert rows == {"a": 0.5, "b": 1.0}
+
+
+def test_evaluation_with_the_labels_of_the_data(spark):
+    from sectorscope.operators.classify import score_logits
+    from sectorscope.plans.evaluate import evaluate_table
+
+    rows = [(i, "62" if i % 2 else "11", "clinic" if i % 2 else "farm") for i in range(40)]
+    repos = spark.createDataFrame(rows, "id long, code string, readme_content string")
+    repos = repos.withColumn("name_repo", F.lit("r")).withColumn("description", F.lit(None).cast("string"))
+
+    def add(df):
+        return score_logits(df.withColumn("l", F.array(F.lit(0.5), F.contains("text", F.lit("clinic")).cast("double"))), "l")
+
+    result = evaluate_table(repos, add)
+    assert result.metrics.first().accuracy == 1.0
+    assert {r["class"] for r in result.report.collect()} >= {"11", "62"}

@@ -198,3 +198,9 @@ def test_readme_word_limit(spark):
     df = spark.createDataFrame([("r", None, None, "a b\nc d")], REPO)
     assert df.select(corpus.training_text_column(df, max_readme_words=2)).first()[0] == "Repository: r | README: a b"
     assert df.select(corpus.training_text_column(df, clean=False)).first()[0] == "Repository: r | README: a b\nc d"
+
+
+def test_topics_with_marks_and_exponents(spark):
+    rows = [("[\x01]",), ("['a', \x01]",), ("[1e3]",), ("[2.5, 'b']",)]
+    df = spark.createDataFrame(rows, "t string")
+    assert [r[0] for r in df.select(tx.clean_topics(F.col("t"))).collect()] == ["\x01", "'a'; \x01", "1000.0", "2.5; b"]
