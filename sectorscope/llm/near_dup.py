@@ -11,13 +11,16 @@ sets have a similarity of ``percent`` or more.
   two branches a linked pair stays together to any depth of a tree with a probability of at
   least 8/9 (at 0.75), so the six trees miss less than one pair in 10^5, near the limit only.
 * A node of up to ``SMALL`` classes is compared exhaustively.  A larger one is compared with its
-  first class and branches on, down to ``DEPTH`` levels; the nodes still large there
-  are, in all, groups whose members are mostly linked through that class.
+  first class.  Where few are similar to it (documents that share a passage), the node branches
+  on, down to ``DEPTH`` levels; where many are (a group of near copies) and at the last level it
+  stays as it is, since branching hardly divides it.
 * Compared means: sizes and signatures allow the similarity (the signature test drops a pair
   at the limit once in 5 * 10^5).  Links are confirmed on the full sets, of the texts, in two
-  rounds: first one link for each class, then all other candidates, from small nodes as from
-  large ones, whose classes the first round has not connected.  A pair inside a component
-  changes nothing, so no pair of a large group has to be listed, and none is left out.
+  rounds: first one link for each class, then all other candidates whose classes the first
+  round has not connected.  Large nodes come last: every class outside the node's main component
+  is compared with all others on the full sets, block by block inside tasks, and only the links
+  that connect something new leave a task.  So no pair of a large group has to be listed, and
+  none is left out.
 
 Null, empty or blank text: empty set, linked with nothing.  Null id: takes part; it is never the
 id of a component, and a component without ids has a null one.  Repeated rows are in one class.
@@ -27,6 +30,7 @@ Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +51,9 @@ DEPTH = 3
 # Least share of equal minwise tokens of a pair that is confirmed on the full sets.
 LEAST_SHARE = 0.5
 HUB_MEMBERS = 512
-BLOCK = 8192
+BLOCK = 4096
+# From this share of classes similar to its first one on, a large node does not branch.
+DENSE = 0.25
 
 _random = np.random.default_rng(0xC0FFEE)
 _FACTORS = _random.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -198,7 +204,8 @@ def _small_nodes(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_hub(rows: DataFrame, percent: int) -> DataFrame:
-    """Each class of a large node with the node's first one, where they may be similar."""
+    """Each class of a large node against the node's first one: ``path``, ``a``, ``b``, ``share``, and
+    whether they may be similar."""
     least = int(np.ceil(LEAST_SHARE * WIDTH))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +214,14 @@ def _with_hub(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             v, hub = batch.column("v").to_numpy(), batch.column("hub").to_numpy()
             same = (_signature_matrix(batch.column("sig")) == _signature_matrix(batch.column("hub_sig"))).sum(axis=1)
-            ok = _allowed(batch.column("n").to_numpy(), batch.column("hub_n").to_numpy(), percent)
-            ok &= (v != hub) & (same >= least)
-            yield _edges([v[ok]], [hub[ok]], [same[ok]])
+            ok = _allowed(batch.column("n").to_numpy(), batch.column("hub_n").to_numpy(), percent) & (same >= least)
+            edges = _edges([v], [hub], [same])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path"), *edges.columns, pa.array(ok)], ["path", "a", "b", "share", "similar"]
+            )
 
-    return rows.select("v", "n", "sig", "hub", "hub_n", "hub_sig").mapInArrow(compare, EDGES)
+    rows = rows.select("path", "v", "n", "sig", "hub", "hub_n", "hub_sig")
+    return rows.mapInArrow(compare, f"path long, {EDGES}, similar boolean")
 
 
 def _chosen(path: Column, sig: Column, branch: int) -> Column:
@@ -243,77 +253,128 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (``a``, ``b``, ``share``) and the nodes still large (``path``, ``v``)."""
+    """Candidate pairs (``a``, ``b``, ``share``) and the nodes that stay large (``path``, ``v``, ``size``)."""
     level = _first_level(classes, trees)
-    edges = open_nodes = None
+    hubs = classes.select(F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
+    found, whole = [], []
     for depth in range(1, DEPTH + 1):
         nodes = store(_nodes(level), "nodes")
-        members = level.join(nodes, "path")
-        members = store(members.join(classes.select("v", "n", "sig"), "v"), "members")
-        hubs = classes.select(F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
+        members = store(level.join(nodes, "path").join(classes.select("v", "n", "sig"), "v"), "members")
+        found.append(_small_nodes(members.where(F.col("size") <= SMALL), percent))
         large = members.where(F.col("size") > SMALL)
-        hub_of = nodes.where(F.col("size") > SMALL).join(hubs, "hub")
-        found = _small_nodes(members.where(F.col("size") <= SMALL), percent)
-        found = found.unionByName(_with_hub(large.join(hub_of.select("path", "hub_n", "hub_sig"), "path"), percent))
-        edges = found if edges is None else edges.unionByName(found)
-        if depth == DEPTH:
-            open_nodes = large.select("path", "v", "n", "sig", "size")
-        elif large.isEmpty():
-            open_nodes = large.select("path", "v", "n", "sig", "size")
+        hub_of = nodes.where(F.col("size") > SMALL).join(hubs, "hub").select("path", "hub_n", "hub_sig")
+        compared = store(_with_hub(large.join(hub_of, "path"), percent), "hubs")
+        found.append(compared.where("similar AND a <> b").select("a", "b", "share"))
+        alike = F.avg(F.col("similar").cast("int")) >= (DENSE if depth < DEPTH else 0)
+        dense = compared.groupBy("path").agg(alike.alias("dense"))
+        large = store(large.join(dense, "path"), "large")
+        whole.append(large.where("dense").select("path", "v", "size"))
+        branching = large.where("NOT dense")
+        if branching.isEmpty():
             break
-        else:
-            children = [_chosen(F.col("path"), F.col("sig"), k) for k in range(BRANCHES)]
-            level = large.select("v", F.explode(F.array(*children)).alias("path"))
-    pairs = edges.groupBy("a", "b").agg(F.max("share").alias("share"))
-    return store(pairs, "pairs"), open_nodes
-
-
-def _cross_pairs(open_nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of large nodes whose classes are not connected yet, exhaustively, in blocks.
-
-    A node's most frequent label stays in blocks of ``BLOCK`` classes; the classes with other
-    labels meet every block and each other.
+        children = [_chosen(F.col("path"), F.col("sig"), k) for k in range(BRANCHES)]
+        level = branching.select("v", F.explode(F.array(*children)).alias("path"))
+    pairs = reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("share").alias("share"))
+    return store(pairs, "pairs"), reduce(DataFrame.unionByName, whole)
+
+
+class _Block:
+    """Sets that others are compared with, by products of membership matrices."""
+
+    COLUMNS = 1024
+
+    def __init__(self, sets: list[np.ndarray], v: np.ndarray, label: np.ndarray):
+        self.v, self.label = v, label
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        self.row = np.repeat(np.arange(len(sets)), self.size)
+        tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.tokens, self.token = np.unique(tokens, return_inverse=True)
+
+    def common(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Size of the intersection of each of ``sets`` with each own set."""
+        out = np.zeros((len(sets), len(self.size)), dtype=np.float32)
+        if not len(self.tokens):
+            return out
+        theirs = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(self.tokens, theirs), len(self.tokens) - 1)
+        hit = self.tokens[at] == theirs
+        row, at = row[hit], at[hit]
+        column = np.full(len(self.tokens), -1, dtype=np.int64)
+        used = np.unique(at)
+        column[used] = np.arange(len(used))
+        own_column, their_column = column[self.token], column[at]
+        for low in range(0, len(used), self.COLUMNS):
+            width = min(self.COLUMNS, len(used) - low)
+            a = np.zeros((len(sets), width), dtype=np.float32)
+            b = np.zeros((len(self.size), width), dtype=np.float32)
+            mine = (own_column >= low) & (own_column < low + width)
+            other = (their_column >= low) & (their_column < low + width)
+            a[row[other], their_column[other] - low] = 1
+            b[self.row[mine], own_column[mine] - low] = 1
+            out += a @ b.T
+        return out
+
+
+def _links_in_nodes(whole: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) that connect classes of large nodes with different labels.
+
+    Classes with a node's most frequent label wait in blocks of about ``BLOCK``; every other
+    class waits in one block and visits all.  A task holds one block and streams its visitors.
     """
-    least = int(np.ceil(LEAST_SHARE * WIDTH))
-    rows = open_nodes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    rows = whole.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     counts = rows.groupBy("path", "label").agg(F.count("*").alias("c"))
-    most = counts.groupBy("path").agg(
-        F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("kinds")
-    )
+    most = counts.groupBy("path").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("kinds"))
     mixed = most.where(F.col("kinds") > 1).select("path", F.col("m.label").alias("main"))
-    rows = rows.join(mixed, "path").withColumn("minor", F.col("label") != F.col("main"))
+    rows = rows.join(mixed, "path")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("v"), blocks.cast("long")).cast("int")
-    rows = rows.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-    rows = rows.withColumn("own", own)
+    waiting = rows.select("path", "v", "label", own.alias("block"), F.lit(0).alias("visits"))
+    visiting = rows.where(F.col("label") != F.col("main")).select(
+        "path", "v", "label", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("visits")
+    )
+    rows = waiting.unionByName(visiting).join(texts, "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _node_batches(batches, ["path", "block"]):
-            table = table.combine_chunks()
-            path, block = table.column("path").to_numpy(), table.column("block").to_numpy()
-            v, n = table.column("v").to_numpy(), table.column("n").to_numpy()
-            label, minor = table.column("label").to_numpy(), table.column("minor").to_numpy(zero_copy_only=False)
-            own = table.column("own").to_numpy()
-            sig = _signature_matrix(table.column("sig").combine_chunks())
-            for start, end in _runs(path ^ (block.astype(np.int64) * 0x9E3779B1)):
-                a, b, share = [], [], []
-                for i in (np.flatnonzero(minor[start:end]) + start).tolist():
-                    # another minor class is met in the block that is its own
-                    others = np.arange(start, end)
-                    others = others[(label[start:end] != label[i]) & (~minor[start:end] | (own[start:end] == block[i]))]
-                    others = others[_allowed(n[others], n[i], percent)]
-                    same = (sig[others] == sig[i]).sum(axis=1)
-                    others, same = others[same >= least], same[same >= least]
-                    if len(others):
-                        a.append(np.full(len(others), v[i]))
-                        b.append(v[others])
-                        share.append(same)
-                if a:
-                    yield _edges(a, b, share)
-
-    ordered = rows.select("path", "block", "own", "v", "n", "label", "minor", "sig")
-    ordered = ordered.repartition("path", "block").sortWithinPartitions("path", "block")
-    return ordered.mapInArrow(compare, EDGES).select("a", "b").distinct()
+        now, held, block, known = None, [], None, {}
+
+        def find(x: int) -> int:
+            while (up := known.get(x, x)) != x:
+                x = up
+            return x
+
+        for batch in batches:
+            for part in row_slices(batch, "packed", max_rows=256, max_bytes=1 << 20):
+                column = pa.array([unpack_text(p) for p in part.column("packed").to_pylist()], pa.large_binary())
+                sets = shingle_sets(column, SHINGLE)
+                path, number, v, label, visits = (
+                    part.column(c).to_numpy() for c in ("path", "block", "v", "label", "visits")
+                )
+                a, b = [], []
+                for start, end in _runs(path ^ (number.astype(np.int64) << 1) ^ visits):
+                    group = (path[start], number[start])
+                    if group != now:
+                        now, held, block, known = group, [], None, {}
+                    if not visits[start]:
+                        held += [(sets[k], v[k], label[k]) for k in range(start, end)]
+                        continue
+                    if block is None:
+                        own_sets, own_v, own_label = zip(*held) if held else ((), (), ())
+                        block, held = _Block(list(own_sets), np.array(own_v), np.array(own_label)), []
+                    both = block.common(sets[start:end])
+                    size = np.array([len(s) for s in sets[start:end]])[:, None] + block.size[None, :]
+                    near = (both * 100 >= percent * (size - both)) & (label[start:end, None] != block.label[None, :])
+                    for i, j in zip(*np.nonzero(near)):
+                        x, y = find(int(label[start + i])), find(int(block.label[j]))
+                        if x != y:
+                            known[max(x, y)] = min(x, y)
+                            a.append(min(int(v[start + i]), int(block.v[j])))
+                            b.append(max(int(v[start + i]), int(block.v[j])))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    ordered = rows.select("path", "block", "visits", "v", "label", "packed")
+    ordered = ordered.repartition("path", "block").sortWithinPartitions("path", "block", "visits")
+    return ordered.mapInArrow(compare, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -356,6 +417,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "salt", "v", "second", "packed").mapInArrow(check, "a long, b long")
 
 
+def _with_more(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links with further ones, and the labels that follow."""
+    more = store(more, "more-links")
+    if more.isEmpty():
+        return links, labels
+    links = links.unionByName(more)
+    return links, components(links)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_shingles``, ``component_id`` (the
     least id that links reach), ``kept`` (it is its own), ``_id``, ``_key``.
@@ -372,7 +442,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> D
     ), "signatures")
     texts = filled.select(F.col("_row").alias("v"), "packed")
 
-    pairs, open_nodes = _candidates(classes, percent, trees)
+    pairs, whole = _candidates(classes, percent, trees)
     # First round: for each class one candidate, a sure one with the lowest number if it has any.
     sure = F.col("share") >= int(0.85 * WIDTH)
     choice = F.struct(
@@ -388,12 +458,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> D
 
     rest = pairs.join(first, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     apart = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    rest = rest.where(apart).select("a", "b").unionByName(_cross_pairs(open_nodes, labels, percent)).distinct()
-    rest = store(rest.join(first, ["a", "b"], "left_anti"), "second-pairs")
-    if not rest.isEmpty():
-        more = store(confirmed(rest, texts, percent), "second-links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    rest = store(rest.where(apart).select("a", "b"), "second-pairs")
+    links, labels = _with_more(links, labels, confirmed(rest, texts, percent))
+    links, labels = _with_more(links, labels, _links_in_nodes(whole, labels, texts, percent))
 
     labelled = by_set.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     ids = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))

@@ -35,12 +35,14 @@ def test_no_rows(no_docs):
     assert found(no_docs) == []
 
 
-@pytest.mark.parametrize("small,depth", [(4, 3), (2, 1)])
-def test_large_nodes(spark, monkeypatch, small, depth):
+@pytest.mark.parametrize("small,depth,dense", [(4, 3, 0.25), (2, 1, 0.25), (4, 2, 2.0)])
+def test_large_nodes(spark, monkeypatch, small, depth, dense):
     """Groups far over the bound of a node: chains of edits, two near groups, a shared passage."""
     monkeypatch.setattr(near_dup, "SMALL", small)
     monkeypatch.setattr(near_dup, "DEPTH", depth)
+    monkeypatch.setattr(near_dup, "DENSE", dense)
     monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup._Block, "COLUMNS", 7)
     monkeypatch.setattr(near_dup, "HUB_MEMBERS", 8)
     rng, rows = random.Random(5), []
     base, passage = prose(50, 400), prose(51, 150)
