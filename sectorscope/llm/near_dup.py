@@ -254,16 +254,16 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 def _candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (``a``, ``b``, ``share``) and the nodes that stay large (``path``, ``v``, ``size``)."""
-    level = _first_level(classes, trees)
-    hubs = classes.select(F.col("v").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig"))
-    found, whole = [], []
+    level, found, whole = _first_level(classes, trees), [], []
     for depth in range(1, DEPTH + 1):
-        nodes = store(_nodes(level), "nodes")
-        members = store(level.join(nodes, "path").join(classes.select("v", "n", "sig"), "v"), "members")
+        members = level.join(store(_nodes(level), "nodes"), "path")
+        if depth == 1:  # deeper levels carry their signatures along
+            members = members.join(classes, "v")
+        members = store(members, "members")
         found.append(_small_nodes(members.where(F.col("size") <= SMALL), percent))
         large = members.where(F.col("size") > SMALL)
-        hub_of = nodes.where(F.col("size") > SMALL).join(hubs, "hub").select("path", "hub_n", "hub_sig")
-        compared = store(_with_hub(large.join(hub_of, "path"), percent), "hubs")
+        first = large.where("v = hub").groupBy("path").agg(F.first("n").alias("hub_n"), F.first("sig").alias("hub_sig"))
+        compared = store(_with_hub(large.join(first, "path"), percent), "hubs")
         found.append(compared.where("similar AND a <> b").select("a", "b", "share"))
         alike = F.avg(F.col("similar").cast("int")) >= (DENSE if depth < DEPTH else 0)
         dense = compared.groupBy("path").agg(alike.alias("dense"))
@@ -273,7 +273,7 @@ def _candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame
         if branching.isEmpty():
             break
         children = [_chosen(F.col("path"), F.col("sig"), k) for k in range(BRANCHES)]
-        level = branching.select("v", F.explode(F.array(*children)).alias("path"))
+        level = branching.select("v", "n", "sig", F.explode(F.array(*children)).alias("path"))
     pairs = reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("share").alias("share"))
     return store(pairs, "pairs"), reduce(DataFrame.unionByName, whole)
 
@@ -440,9 +440,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> D
     classes = store(by_set.select(F.col("v").alias("_row")).join(filled, "_row").select(
         F.col("_row").alias("v"), "n", "sig"
     ), "signatures")
-    texts = filled.select(F.col("_row").alias("v"), "packed")
-
     pairs, whole = _candidates(classes, percent, trees)
+    # The texts of all classes that are looked at again move once.
+    involved = reduce(DataFrame.unionByName, [pairs.select(F.col(c).alias("v")) for c in ("a", "b")], whole.select("v"))
+    texts = filled.select(F.col("_row").alias("v"), "packed").join(involved.distinct(), "v")
+    texts = store(texts, "texts")
     # First round: for each class one candidate, a sure one with the lowest number if it has any.
     sure = F.col("share") >= int(0.85 * WIDTH)
     choice = F.struct(

@@ -1,4 +1,15 @@
 """The registered queries of the subpackage and their SQL."""
 
-from sectorscope.llm.queries import chat, decontaminate, line_dedup, near_dup, packing, quality, sharding, substring_dedup, tokens, warc  # noqa: F401
+from sectorscope.llm.queries import (  # noqa: F401
+    chat,
+    decontaminate,
+    line_dedup,
+    near_dup,
+    packing,
+    quality,
+    sharding,
+    substring_dedup,
+    tokens,
+    warc,
+)
 from sectorscope.llm.queries.registry import ORACLES, QUERIES  # noqa: F401
