@@ -3,8 +3,13 @@
 Lines are compared as words (A-Z in lower case); an edit inserts, deletes or replaces one word.
 Lines of fewer than ``min_words`` words are left alone: one edit is too much of them.  A line is
 removed if an earlier line, by (document id, line number), is within the bound; the earliest
-stays.  A document that would lose more than ``max_loss`` of its words is a copy rather than a
-text with shared lines; it is left whole for the near-duplicate stage.
+stays.
+
+:func:`line_report` leaves a document whole that would lose more than ``max_loss`` of its words,
+as the SQL of its query has it.  :func:`dedup_lines` removes every late line.  It leaves a
+document whole only if the near-duplicate stage is to drop it: one that would lose more than
+``max_loss`` of its words, all to one other document that loses nothing itself and whose
+shingles are similar enough.
 
 1. Lines are hashed in one pass, and equal lines become one, with its first place.
 2. Two lines within one edit share the first or the last half of the shorter one.  Lines that
@@ -33,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectorscope.llm import near_dup
 from sectorscope.llm.common import content_key, quoted
 from sectorscope.llm.hashing import LOWER, _place_values, column_bytes, mix, row_slices, word_hashes, word_spans
 from sectorscope.sources.paths import store
@@ -159,9 +165,10 @@ def _long(array: np.ndarray) -> pa.Array:
 
 
 def _line_places(docs: DataFrame, min_words: int) -> DataFrame:
-    """``_id``, ``_key``, ``line``, ``n``, ``h`` of every line that is compared."""
+    """``_id``, ``_key``, ``line``, ``n``, ``h`` of every line that is compared, ``total`` (words of its text)."""
+    names = ["line", "n", "h", "total"]
     keyed = _keyed(docs)
-    schema = keyed.select("_id", "_key", *[F.lit(0).cast("long").alias(c) for c in ("line", "n", "h")]).schema
+    schema = keyed.select("_id", "_key", *[F.lit(0).cast("long").alias(c) for c in names]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _slices(batches, "_text"):
@@ -169,8 +176,9 @@ def _line_places(docs: DataFrame, min_words: int) -> DataFrame:
             long = np.flatnonzero(lines.size >= min_words)
             row = pa.array(lines.row[long])
             columns = [rows.column("_id").take(row), rows.column("_key").take(row)]
-            columns += [_long(x[long]) for x in (lines.number, lines.size, lines.hashes())]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", "line", "n", "h"])
+            total = np.bincount(lines.row, weights=lines.size, minlength=rows.num_rows)[lines.row]
+            columns += [_long(x[long]) for x in (lines.number, lines.size, lines.hashes(), total)]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", *names])
 
     return keyed.mapInArrow(run, schema)
 
@@ -331,8 +339,8 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``_id``, ``_key``, ``lines`` (numbers, and words of each): what each document would lose.
+def _late_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """The places of the lines that have an earlier partner, with its place as ``floor``.
 
     Runs jobs: the places of all lines and the candidate lines are stored.
     """
@@ -344,11 +352,44 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     partners = _verified(_earliest_partners(candidates), candidates)
     repeated = heads.where("c > 1").select("h", "first")
     floor = repeated.unionByName(partners).groupBy("h").agg(F.min("first").alias("floor"))
-    late = places.join(floor, "h").where(_order() > F.col("floor"))
-    return late.groupBy("_id", "_key").agg(F.collect_set(F.struct("line", "n")).alias("lines"))
+    return places.join(floor, "h").where(_order() > F.col("floor"))
+
 
+def _lines() -> Column:
+    return F.collect_set(F.struct("line", "n")).alias("lines")
 
-def _rebuilt(docs: DataFrame, min_words: int, max_loss: float) -> DataFrame:
+
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``_id``, ``_key``, ``lines`` (numbers, and words of each): what each document would lose."""
+    return _late_lines(docs, min_words).groupBy("_id", "_key").agg(_lines())
+
+
+def _lost_but_by_copies(docs: DataFrame, min_words: int, max_loss: float, percent: int) -> DataFrame:
+    """:func:`removed_lines` without the documents that the near-duplicate stage is to drop whole."""
+    late = _late_lines(docs, min_words)
+    owner = F.struct("floor.none", "floor.id", "floor.key")
+    lost = late.groupBy("_id", "_key").agg(
+        _lines(),
+        F.countDistinct("line").alias("_c"),
+        F.sum("n").alias("_n"),
+        F.count("*").alias("_given"),
+        F.max("total").alias("_total"),
+        F.min(owner).alias("_low"),
+        F.max(owner).alias("_high"),
+    )
+    lost = store(lost, "lost-lines")
+    # Rows given k times have each line k times.
+    share = F.col("_n") * F.col("_c") > F.lit(max_loss) * F.col("_total") * F.col("_given")
+    one = F.col("_low").eqNullSafe(F.col("_high")) & (F.col("_low.key") != F.col("_key"))
+    pairs = lost.where(share & one).select(F.col("_low.key").alias("a"), F.col("_key").alias("b"))
+    pairs = store(pairs.join(lost.select(F.col("_key").alias("a")), "a", "left_anti"), "copies")
+    wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
+    texts = _packed_texts(docs).join(wanted, "_key", "left_semi").groupBy("_key").agg(F.first("_packed").alias("packed"))
+    copies = near_dup.confirmed(pairs, texts.withColumnRenamed("_key", "v"), percent)
+    return lost.join(copies.select(F.col("b").alias("_key")), "_key", "left_anti").select("_id", "_key", "lines")
+
+
+def _rebuilt(docs: DataFrame, lost: DataFrame, max_loss: float = 1.0) -> DataFrame:
     """``_row`` (all columns of ``docs`` but text), ``_id``, ``_text`` (new), ``_n_lines``, ``_n_removed``."""
     other = [F.col(quoted(c)) for c in docs.columns if c != "text"]
     rows = docs.select(
@@ -357,7 +398,7 @@ def _rebuilt(docs: DataFrame, min_words: int, max_loss: float) -> DataFrame:
         content_key(F.col("doc_id"), F.col("text")).alias("_key"),
         F.col("text").alias("_text"),
     )
-    lost = store(removed_lines(docs, min_words), "removed-lines")
+    lost = store(lost, "removed-lines")
 
     packed_schema = rows.select("_row", "_id", "_key", F.lit(b"").alias("_packed")).schema
     packed_schema["_packed"].nullable = True
@@ -401,7 +442,8 @@ def _rebuilt(docs: DataFrame, min_words: int, max_loss: float) -> DataFrame:
 
 def line_report(docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_lines``, ``n_removed``, ``kept_text``."""
-    rebuilt = _rebuilt(docs.select("doc_id", "text"), min_words, max_loss)
+    docs = docs.select("doc_id", "text")
+    rebuilt = _rebuilt(docs, removed_lines(docs, min_words), max_loss)
     return rebuilt.select(
         F.col("_id").alias("doc_id"),
         F.col("_n_lines").alias("n_lines"),
@@ -410,9 +452,12 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = M
     )
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS) -> DataFrame:
-    """``docs`` with the lines removed from ``text``; ``n_chars`` follows the text."""
-    rebuilt = _rebuilt(docs, min_words, max_loss)
+def dedup_lines(
+    docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS, percent: int = 75
+) -> DataFrame:
+    """``docs`` with every late line removed from ``text`` but in documents that the near-duplicate
+    stage drops at ``percent``; ``n_chars`` follows the text."""
+    rebuilt = _rebuilt(docs, _lost_but_by_copies(docs, min_words, max_loss, percent))
     columns = []
     for field in docs.schema:
         if field.name == "text":

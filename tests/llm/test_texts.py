@@ -195,3 +195,19 @@ def test_equal_rows_over_the_limit_split(spark):
         sizes[r.shard] = sizes.get(r.shard, 0) + r.n_bytes
         assert r.over_limit == (r.doc_id == 2)
     assert len(rows) == 201 and sorted(sizes.values())[-2] <= 1000
+
+
+def test_late_lines_go_whatever_their_share(spark):
+    """Repeats inside a text and lines of several documents; a near copy of one document stays whole."""
+    first, second = prose(71, 240), prose(72, 240)
+    own = prose(73, 12, vocabulary=9000)
+    mixed = "\n".join([*first.split("\n")[:8], *second.split("\n")[:8], own])
+    part = "\n".join(first.split("\n")[:6])
+    near = first + "\n" + prose(74, 12, vocabulary=9000)
+    line = "a text that repeats its own line"
+    rows = [(1, first), (2, second), (3, mixed), (4, "\n".join([line] * 1000)), (5, part), (6, near), (6, near), (None, first)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, DOC)).collect()
+    texts = {r.doc_id: r.text for r in out}
+    assert len(out) == len(rows)
+    assert (texts[1], texts[2], texts[3], texts[4], texts[5]) == (first, second, own, line, "")
+    assert texts[6] == near and texts[None] == first
