@@ -24,6 +24,8 @@ sets have a similarity of ``percent`` or more.
 
 Null, empty or blank text: empty set, linked with nothing.  Null id: takes part; it is never the
 id of a component, and a component without ids has a null one.  Repeated rows are in one class.
+The verdicts of :func:`near_duplicates` go by id, so all rows with the component's id are kept;
+:func:`keep_first` keeps exactly one row of each component.
 Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import content_key, keep_rows
+from sectorscope.llm.common import content_key, quoted
 from sectorscope.llm.components import components
 from sectorscope.llm.hashing import mix, row_slices, shingle_sets
 from sectorscope.sources.paths import store
@@ -426,16 +428,24 @@ def _with_more(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[Da
     return links, components(links)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_shingles``, ``component_id`` (the
-    least id that links reach), ``kept`` (it is its own), ``_id``, ``_key``.
+def _order() -> Column:
+    """Sorts rows by id, those without one last, and then by what they hold."""
+    return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+
+
+def _labelled(docs: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """The stored sketches, and the classes with their component's ``label``, least id (``first_id``)
+    and first row (``first``).
 
     Runs jobs: sketches, levels of the trees, two rounds of confirmation, components.
     """
     rows = store(_sketches(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     filled = rows.where(F.col("n") > 0)
     by_set = store(
-        filled.groupBy("n", "k1", "k2").agg(F.min("_row").alias("v"), F.min("_id").alias("first_id")), "classes"
+        filled.groupBy("n", "k1", "k2").agg(
+            F.min("_row").alias("v"), F.min("_id").alias("first_id"), F.min(_order()).alias("first")
+        ),
+        "classes",
     )
     classes = store(by_set.select(F.col("v").alias("_row")).join(filled, "_row").select(
         F.col("_row").alias("v"), "n", "sig"
@@ -464,7 +474,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> D
     links, labels = _with_more(links, labels, confirmed(rest, texts, percent))
     links, labels = _with_more(links, labels, _links_in_nodes(whole, labels, texts, percent))
 
-    labelled = by_set.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    return rows, by_set.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_shingles``, ``component_id`` (the
+    least id that links reach), ``kept`` (it is its own), ``_id``, ``_key``.
+    """
+    rows, labelled = _labelled(docs, percent, trees)
     ids = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     of_set = labelled.join(ids, "label").select("n", "k1", "k2", "component_id")
     of_row = rows.select("_id", "_key", "n", "k1", "k2").join(of_set, ["n", "k1", "k2"], "left")
@@ -480,6 +497,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, trees: int = TREES) -> D
 
 
 def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, unchanged; rows repeated in id and
-    text stay together."""
-    return keep_rows(docs, near_duplicates(docs, percent).where("kept"), ["doc_id", "text"])
+    """One row of ``docs`` for each component, unchanged: the least by id, nulls last, and key.
+
+    Rows without words are linked with nothing; of those that agree in id and text one stays.
+    """
+    rows, labelled = _labelled(docs, percent, TREES)
+    first = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.id", "first.key")
+    blank = rows.where(F.col("n") == 0).select(F.col("_id").alias("id"), F.col("_key").alias("key")).distinct()
+    # A row is found again by id and key, which repeated rows share.
+    repeated = rows.groupBy(F.col("_id").alias("id"), F.col("_key").alias("key")).agg(F.count("*").alias("c")).where("c > 1")
+    chosen = first.unionByName(blank).alias("f")
+    same = (F.col("f.key") == F.col("c.key")) & F.col("f.id").eqNullSafe(F.col("c.id"))
+    chosen = chosen.join(repeated.alias("c"), same, "left").select("f.id", "f.key", F.col("c.c").isNotNull().alias("again"))
+    left = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"),
+        F.col("doc_id").alias("_id"),
+        content_key(F.col("doc_id"), F.col("text")).alias("_key"),
+    ).alias("l")
+    right = store(chosen, "chosen").alias("r")
+    same = (F.col("l._key") == F.col("r.key")) & F.col("l._id").eqNullSafe(F.col("r.id"))
+    found = left.join(right, same).select("l._row", "l._id", "l._key", "r.again")
+    once = found.where("NOT again").select("_row")
+    of_many = found.where("again").groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(of_many).select("_row.*")

@@ -68,3 +68,15 @@ def test_limit_is_exact(spark):
     assert found(docs) == expected(docs)
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
     assert found(docs) == expected(docs)
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated rows, equal ids with near texts, and groups without ids leave one row each."""
+    given, same, none, mixed = (prose(k, 200) for k in (80, 81, 82, 83))
+    rows = [(1, given, "a")] * 3 + [(2, same, "a"), (2, edited(same, 1, 2), "a"), (2, edited(same, 2, 2), "b")]
+    rows += [(None, none, None)] * 2 + [(None, edited(none, 3, 2), None), (None, mixed, "a"), (9, mixed, "b")]
+    rows += [(4, "", "a"), (4, "", "a"), (5, "", "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = [tuple(r) for r in near_dup.keep_first(docs).collect()]
+    assert sorted((r[0] for r in kept), key=str) == [1, 2, 4, 5, 9, None, None]
+    assert set(kept) <= set(rows) and (9, mixed, "b") in kept and (None, None, "a") in kept
