@@ -17,8 +17,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    return quality.keep_good(docs)
+    """Documents that pass the quality rules, without the lines that are frequent on their host."""
+    return quality.clean_good(docs)
 
 
 def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ line hashes that is written to the shared folder; all counting starts from there
   above the limits keeps one whole document.  A document that loses more than
   ``max_loss`` of its line characters is depleted and rejected.
 
+:func:`quality_rules` returns measures and verdicts, :func:`keep_good` the rows that pass as they
+are, :func:`clean_good` those rows without their frequent lines.
+
 Null text: no words, base rules fail.  Null host: a host of its own.  Null id: judged like
 any other row, but never the first carrier of a line.  Rows repeated in all of id, host and
 text are each returned with the same verdict.  Extra columns are ignored.  An empty table
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import NOT_SPACE, content_key, keep_rows, words
+from sectorscope.llm.common import NOT_SPACE, content_key, keep_rows, quoted, words
 from sectorscope.sources.paths import store
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -90,6 +93,12 @@ def covered_by_repeats(windows: Column, size: int = 3, few: int = 256) -> Column
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), found).otherwise(F.lit(0).cast("long"))
 
 
+def normal_lines(text: Column) -> Column:
+    """Every line in lower case, with digit runs as ``0``, trimmed."""
+    normal = F.split(F.regexp_replace(F.lower(text), "[0-9]+", "0"), "\n")
+    return F.transform(normal, lambda x: F.trim(x))
+
+
 def measures(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """Per row: id, key, host, the base measures and the hashes and sizes of its lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -99,7 +108,6 @@ def measures(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50)
         content_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_key"),
         text.alias("_text"),
     )
-    normal = F.split(F.regexp_replace(F.lower(F.col("_text")), "[0-9]+", "0"), "\n")
     rows = rows.select(
         "_id",
         "_host",
@@ -107,7 +115,7 @@ def measures(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50)
         words(F.col("_text")).alias("_words"),
         F.regexp_count(F.col("_text"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_raw"),
-        F.filter(F.transform(normal, lambda x: F.trim(x)), lambda x: x.rlike(NOT_SPACE)).alias("_normal"),
+        F.filter(normal_lines(F.col("_text")), lambda x: x.rlike(NOT_SPACE)).alias("_normal"),
     )
     rows = rows.select(
         "_id",
@@ -155,7 +163,7 @@ def frequent_lines(measured: DataFrame, max_docs: int, max_share: float) -> Data
     return lines.join(hosts, "_host").where(above).select("_host", "_line", "_n", "_first")
 
 
-def quality_rules(
+def _judged(
     docs: DataFrame,
     min_words: int = 50,
     max_repeat_percent: int = 50,
@@ -163,12 +171,7 @@ def quality_rules(
     max_line_share: float = 0.1,
     max_loss: float = 0.7,
 ) -> DataFrame:
-    """One verdict per row of ``docs`` (doc_id, source, text).
-
-    Returns ``doc_id``, the measures, ``base_failed``, ``line_chars``, ``frequent_chars`` (in
-    lines removed as frequent), ``kept``, and ``_id``/``_key`` for :func:`keep_good`.
-    Runs one job, which writes the measures.
-    """
+    """:func:`quality_rules`, and ``_gone``: the hashes of the frequent lines to remove, or null."""
     measured = measures(docs, min_words, max_repeat_percent)
     # The number of a row is fixed once it is written.
     measured = store(measured.withColumn("_row", F.monotonically_increasing_id()), "quality")
@@ -180,7 +183,7 @@ def quality_rules(
         .join(frequent, ["_host", "h"])
         .where(~F.col("_id").eqNullSafe(F.col("_first")))
         .groupBy("_row")
-        .agg(F.sum("chars").alias("_lost"))
+        .agg(F.sum("chars").alias("_lost"), F.collect_set("h").alias("_gone"))
     )
     judged = measured.join(lost, "_row", "left")
     total = F.aggregate(F.col("_lines"), F.lit(0).cast("long"), lambda a, x: a + x["chars"])
@@ -198,9 +201,51 @@ def quality_rules(
         (~F.col("base_failed") & (removed <= total * F.lit(max_loss))).alias("kept"),
         "_id",
         "_key",
+        "_gone",
     )
 
 
+def quality_rules(docs: DataFrame, **limits) -> DataFrame:
+    """One verdict per row of ``docs`` (doc_id, source, text).
+
+    Returns ``doc_id``, the measures, ``base_failed``, ``line_chars``, ``frequent_chars`` (in
+    lines removed as frequent), ``kept``, and ``_id``/``_key`` for :func:`keep_good`.
+    Runs one job, which writes the measures.
+    """
+    return _judged(docs, **limits).drop("_gone")
+
+
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that pass :func:`quality_rules`, unchanged."""
     return keep_rows(docs, quality_rules(docs, **limits).where("kept"), ["doc_id", "source", "text"])
+
+
+def clean_good(docs: DataFrame, **limits) -> DataFrame:
+    """The rows of ``docs`` that pass :func:`quality_rules`, without their frequent lines in ``text``
+    but in the first document that carries them; ``n_chars`` follows the text."""
+    judged = _judged(docs, **limits).where("kept")
+    # Rows that agree in id, host and text share their lines.
+    judged = judged.groupBy("_id", "_key").agg(F.first("_gone", ignorenulls=True).alias("_gone"))
+    left = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"),
+        F.col("doc_id").alias("_id"),
+        content_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_key"),
+    ).alias("l")
+    right = judged.alias("r")
+    same = (F.col("l._key") == F.col("r._key")) & F.col("l._id").eqNullSafe(F.col("r._id"))
+    rows = left.join(right, same).select("l._row", "r._gone")
+    hashes = F.transform(normal_lines(F.col("_row")["text"]), lambda x: F.xxhash64(x))
+    lines = F.arrays_zip(F.split(F.col("_row")["text"], "\n").alias("line"), hashes.alias("h"))
+    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("_gone"), x["h"]))
+    cleaned = F.array_join(F.transform(stays, lambda x: x["line"]), "\n")
+    rows = rows.withColumn("_text", F.when(F.col("_gone").isNotNull(), cleaned).otherwise(F.col("_row")["text"]))
+    columns = []
+    for field in docs.schema:
+        value = F.col("_row")[field.name]
+        if field.name == "text":
+            value = F.col("_text")
+        elif field.name == "n_chars":
+            size = F.char_length("_text").cast(field.dataType)
+            value = F.when(F.col("_gone").isNotNull(), size).otherwise(value)
+        columns.append(value.alias(field.name))
+    return rows.select(*columns)

@@ -211,3 +211,24 @@ def test_late_lines_go_whatever_their_share(spark):
     assert len(out) == len(rows)
     assert (texts[1], texts[2], texts[3], texts[4], texts[5]) == (first, second, own, line, "")
     assert texts[6] == near and texts[None] == first
+
+
+def test_frequent_lines_leave_the_text(spark, clashing, no_docs):
+    def letters(seed):
+        return prose(seed, 80).translate({ord("0") + k: ord("a") + k for k in range(10)})
+
+    menu = "Home  About\tNews 12"  # equal to the others once digits are alike
+    rows = [(k, f"{menu}{k} \n\n{letters(800 + k)}\n", "a", -1) for k in range(30)]
+    rows += [(30, letters(900), "a", -1), (31, f"{menu}\n{letters(901)}", "b", -1), (32, None, "a", -1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in quality.clean_good(docs).collect()}
+    assert out[0] == rows[0][1::2] and out[30] == rows[30][1::2] and out[31] == rows[31][1::2] and 32 not in out
+    for k in range(1, 30):
+        text = rows[k][1].split("\n", 1)[1]
+        assert out[k] == (text, len(text))
+    cleaned = quality.clean_good(clashing)
+    texts, given = ({r.doc_id: r.text for r in d.collect()} for d in (cleaned, clashing))
+    assert cleaned.columns == clashing.columns and set(texts) == {r.doc_id for r in quality.keep_good(clashing).collect()}
+    assert texts[100] == given[100] and texts[1] == given[1]
+    assert [k for k in range(100, 130) if "the same first line" in texts.get(k, "")] == [100]
+    assert quality.clean_good(no_docs).collect() == []
