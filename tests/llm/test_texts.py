@@ -232,3 +232,18 @@ def test_frequent_lines_leave_the_text(spark, clashing, no_docs):
     assert texts[100] == given[100] and texts[1] == given[1]
     assert [k for k in range(100, 130) if "the same first line" in texts.get(k, "")] == [100]
     assert quality.clean_good(no_docs).collect() == []
+
+
+def test_documents_that_differ_in_digits_are_counted(spark):
+    """Template pages are many documents, exact copies one, and a large host has the same limit."""
+    rng = random.Random(6)
+    names = [prose(k, 8).translate({ord("0") + k: ord("a") + k for k in range(10)}) for k in range(8)]
+    pages = ["\n".join(f"{name} {rng.randrange(10**6)}" for name in names) for _ in range(40)]
+    rows = [(k, page, "a") for k, page in enumerate(pages)]
+    rows += [(100 + k, pages[0], "b") for k in range(40)]
+    menu = "\n".join(names)
+    rows += [(1000 + k, f"{menu}\nx{k}", "c") for k in range(30)]
+    rows += [(2000 + k, prose(k, 60).translate({ord("0") + i: ord("a") + i for i in range(10)}), "c") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = {r.doc_id for r in quality.clean_good(docs).collect()}
+    assert sorted(ids) == [0, *range(100, 140), 1000, *range(2000, 2300)]
