@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sectorscope.llm import decontaminate, line_dedup, near_dup, packing, quality
+from sectorscope.llm.common import NOT_SPACE
 from sectorscope.sources.paths import store
 
 CAPACITY = 2048
@@ -22,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that repeat an earlier one."""
-    return line_dedup.dedup_lines(docs)
+    """The documents without lines that repeat an earlier one; those with no word left go."""
+    return line_dedup.dedup_lines(docs).where(F.col("text").rlike(NOT_SPACE))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Line dedup: lines within one word edit of an earlier line, by a deletion-neighbourhood join.
 
 Lines are compared as words (A-Z in lower case); an edit inserts, deletes or replaces one word.
-Lines of fewer than ``min_words`` words are left alone: one edit is too much of them.  A line is
+Lines of fewer than ``min_words`` words have no variants: one edit is too much of them.  Equal ones
+are compared from ``min_chars`` characters on, where that is given.  A line is
 removed if an earlier line, by (document id, line number), is within the bound; the earliest
 stays.
 
@@ -44,6 +45,8 @@ from sectorscope.llm.hashing import LOWER, _place_values, column_bytes, mix, row
 from sectorscope.sources.paths import store
 
 MIN_WORDS = 6
+# Shorter lines of few words, such as braces and bullets, are left alone.
+MIN_CHARS = 4
 MAX_LOSS = 0.5
 _LENGTH = np.uint64(0x9E3779B97F4A7C15)
 PREFIX, SUFFIX = 1, 2
@@ -72,6 +75,7 @@ class Lines:
             self.ahead = self._sums(self.words * _place_values(place))
             self.behind = self._sums(self.words * _place_values(back))
             self.moved = self._sums(self.words * _place_values(np.maximum(place - 1, 0)))
+        self._spans = data, starts, ends
 
     @staticmethod
     def _sums(values: np.ndarray) -> np.ndarray:
@@ -83,6 +87,13 @@ class Lines:
         with np.errstate(over="ignore"):
             return mix(self.ahead[self.last] - self.ahead[self.first] + self.size.astype(np.uint64) * _LENGTH)
 
+    def chars(self) -> np.ndarray:
+        """Characters from the first word to the last."""
+        data, starts, ends = self._spans
+        before = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+        return before[ends[self.last - 1]] - before[starts[self.first]]
+
     def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Line, key and side for the halves that a partner of the same, one more or one less
         word must share: of a shorter line of t words, t // 2 words."""
@@ -164,7 +175,7 @@ def _long(array: np.ndarray) -> pa.Array:
     return pa.array(array.view(np.int64) if array.dtype == np.uint64 else array.astype(np.int64))
 
 
-def _line_places(docs: DataFrame, min_words: int) -> DataFrame:
+def _line_places(docs: DataFrame, min_words: int, min_chars: int | None = None) -> DataFrame:
     """``_id``, ``_key``, ``line``, ``n``, ``h`` of every line that is compared, ``total`` (words of its text)."""
     names = ["line", "n", "h", "total"]
     keyed = _keyed(docs)
@@ -173,7 +184,10 @@ def _line_places(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _slices(batches, "_text"):
             lines = Lines(rows.column("_text"))
-            long = np.flatnonzero(lines.size >= min_words)
+            compared = lines.size >= min_words
+            if min_chars is not None:
+                compared |= lines.chars() >= min_chars
+            long = np.flatnonzero(compared)
             row = pa.array(lines.row[long])
             columns = [rows.column("_id").take(row), rows.column("_key").take(row)]
             total = np.bincount(lines.row, weights=lines.size, minlength=rows.num_rows)[lines.row]
@@ -339,14 +353,14 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
-def _late_lines(docs: DataFrame, min_words: int) -> DataFrame:
+def _late_lines(docs: DataFrame, min_words: int, min_chars: int | None = None) -> DataFrame:
     """The places of the lines that have an earlier partner, with its place as ``floor``.
 
     Runs jobs: the places of all lines and the candidate lines are stored.
     """
     if min_words < 4:
         raise ValueError("Lines of fewer than 4 words have no halves to share")
-    places = store(_line_places(docs, min_words), "line-places")
+    places = store(_line_places(docs, min_words, min_chars), "line-places")
     heads = places.groupBy("h").agg(F.min(_order()).alias("first"), F.count("*").alias("c"))
     candidates = _candidate_lines(docs, heads, min_words)
     partners = _verified(_earliest_partners(candidates), candidates)
@@ -364,9 +378,11 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return _late_lines(docs, min_words).groupBy("_id", "_key").agg(_lines())
 
 
-def _lost_but_by_copies(docs: DataFrame, min_words: int, max_loss: float, percent: int) -> DataFrame:
+def _lost_but_by_copies(
+    docs: DataFrame, min_words: int, min_chars: int | None, max_loss: float, percent: int
+) -> DataFrame:
     """:func:`removed_lines` without the documents that the near-duplicate stage is to drop whole."""
-    late = _late_lines(docs, min_words)
+    late = _late_lines(docs, min_words, min_chars)
     owner = F.struct("floor.none", "floor.id", "floor.key")
     lost = late.groupBy("_id", "_key").agg(
         _lines(),
@@ -453,11 +469,15 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = M
 
 
 def dedup_lines(
-    docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS, percent: int = 75
+    docs: DataFrame,
+    min_words: int = MIN_WORDS,
+    max_loss: float = MAX_LOSS,
+    percent: int = 75,
+    min_chars: int | None = MIN_CHARS,
 ) -> DataFrame:
     """``docs`` with every late line removed from ``text`` but in documents that the near-duplicate
     stage drops at ``percent``; ``n_chars`` follows the text."""
-    rebuilt = _rebuilt(docs, _lost_but_by_copies(docs, min_words, max_loss, percent))
+    rebuilt = _rebuilt(docs, _lost_but_by_copies(docs, min_words, min_chars, max_loss, percent))
     columns = []
     for field in docs.schema:
         if field.name == "text":

@@ -247,3 +247,15 @@ def test_documents_that_differ_in_digits_are_counted(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     ids = {r.doc_id for r in quality.clean_good(docs).collect()}
     assert sorted(ids) == [0, *range(100, 140), 1000, *range(2000, 2300)]
+
+
+def test_equal_lines_of_few_words(spark):
+    """A line without blanks and menu lines go where they are equal; one edit is for longer lines."""
+    line = "".join(chr(0x4E00 + k * 7) for k in range(300))
+    rows = [(k, f"{prose(950 + k, 60)}\n{line}\nAll rights reserved.\n}}\n去年四") for k in range(4)]
+    rows += [(9, f"{prose(960, 60)}\n{line[:-1]}\nAll rights\n ALL  rights reserved.\t")]
+    docs = spark.createDataFrame(rows, DOC)
+    texts = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert texts[0] == rows[0][1]
+    assert all(texts[k] == f"{prose(950 + k, 60)}\n}}\n去年四" for k in range(1, 4))
+    assert texts[9] == f"{prose(960, 60)}\n{line[:-1]}\nAll rights"
