@@ -145,7 +145,9 @@ def adoption_files_job(spark, sf_dir):
     the others are stored on the way."""
     folder = shared_folder(spark, "adoption")
     events = tool_events(spark, sf_dir)
-    tools = [r[0] for r in events.select("tool").distinct().orderBy("tool").limit(MAX_TOOLS).collect()]
+    tools = [r[0] for r in events.select("tool").distinct().orderBy("tool").limit(MAX_TOOLS + 1).collect()]
+    if len(tools) > MAX_TOOLS:
+        raise ValueError(f"More than {MAX_TOOLS} tools for a job that names a file for each")
     paths, scored = {}, {}
     for k, tool in enumerate(tools):
         own = events.where(F.col("tool") == tool).select(

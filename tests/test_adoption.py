@@ -155,3 +155,12 @@ def test_broken_events_and_missing_tables(spark, tmp_path):
         plan.adoption_report(spark, {"t": str(tmp_path / "none.parquet")}, files[1], computed=("t",))
     with pytest.raises(ValueError), pytest.warns(UserWarning):
         plan.adoption_report(spark, {"t": str(tmp_path / "none.jsonl")}, files[1])
+
+
+def test_too_many_tools_are_an_error(spark, monkeypatch):
+    from bindings import adoption as bound
+
+    events = spark.range(bound.MAX_TOOLS + 1).selectExpr("concat('t', id) tool", "'a/b' repo_nwo", "'2024-01-01' created_at")
+    monkeypatch.setattr(bound, "tool_events", lambda *_: events)
+    with pytest.raises(ValueError, match="tools"):
+        bound.adoption_files_job(spark, "")
