@@ -23,9 +23,3 @@ def sf_dir():
     if not Path(SF_DIR).exists():
         pytest.skip("test tables are not here")
     return SF_DIR
-
-
-def values(df, *order):
-    """Rows as tuples, in a fixed order."""
-    rows = [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
-    return rows

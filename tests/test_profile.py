@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import values
+from helpers import values
 
 from sectorscope.operators import profile
 

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import values
+from helpers import values
 from pyspark.sql import functions as F
 
 from sectorscope.functions import text as tx
