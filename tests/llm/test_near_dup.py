@@ -2,7 +2,7 @@ import random
 
 import brute
 import pytest
-from conftest import edited, prose
+from samples import edited, prose
 
 from sectorscope.llm import near_dup
 

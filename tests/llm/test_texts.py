@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import edited, prose
+from samples import edited, prose
 
 from sectorscope.llm import decontaminate, line_dedup, quality, sharding, substring_dedup
 
