@@ -1,5 +1,6 @@
 """Small tables with everything that may go wrong in them."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -9,11 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from samples import edited, prose  # noqa: E402
-
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-# Names that the operators use inside, and names that need quoting.
-CLASHES = ["_key", "_id", "_row", "_text", "_tag", "h", "n", "kept", "label", "line", "path", "component_id", "a.b", "`x"]
+from samples import CLASHES, DOCS, VECTORS, edited, prose  # noqa: E402
 
 
 def odd_documents() -> list[tuple]:
@@ -46,6 +43,18 @@ def odd_documents() -> list[tuple]:
     return rows
 
 
+def odd_vectors() -> list[tuple]:
+    """Ties, repeated rows, and what is to be left out."""
+    rng = random.Random(4)
+    rows = [(k, [rng.gauss(0, 0.3 / (1 + i)) for i in range(5)], k % 3) for k in range(60)]
+    rows += [(100 + k, rows[0][1], 0) for k in range(40)]
+    rows += [(7, rows[7][1], 1), (None, rows[8][1], 1), (200, [0.0, -0.0, 1.5, -2.25, 3.0], None)]
+    inf, nan = float("inf"), float("nan")
+    rows += [(300, None, 0), (301, [0.1, None, 0.1, 0.1, 0.1], 0), (302, [nan, 0.0, 0.0, 0.0, 0.0], 0)]
+    rows += [(303, [0.0, inf, 0.0, 0.0, 0.0], 0), (304, [0.0, 0.0, -inf, 0.0, 0.0], 0)]
+    return rows + [(305, [], 0), (306, [0.5, 0.5], 0)]
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     rows = odd_documents()
@@ -107,6 +116,7 @@ def odd_dir(spark, tmp_path_factory):
         (-1, "u", "\r\n\r\n"),
     ]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame(odd_vectors(), VECTORS).write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -118,6 +128,7 @@ def empty_dir(spark, tmp_path_factory):
         "benchmark": "item_id long, text string",
         "conversations": "conv_id long, turn long, role string, text string",
         "pages": "page_id long, url string, html string",
+        "embeddings": VECTORS,
     }.items():
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)

@@ -1,7 +1,12 @@
-"""Texts for tests."""
+"""Schemas and texts for tests."""
 
 import random
 
+VECTORS = "vec_id long, embedding array<float>, label int"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+# Names that the operators use inside, and names that need quoting.
+CLASHES = ["_key", "_id", "_row", "_text", "_tag", "h", "n", "kept", "label", "line", "path", "component_id", "a.b", "`x"]
+
 
 def prose(seed: int, words: int, vocabulary: int = 400, per_line: int = 12) -> str:
     rng = random.Random(seed)
