@@ -23,6 +23,7 @@ from __future__ import annotations
 from fractions import Fraction
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import DenseMatrix
@@ -76,7 +77,9 @@ def _blocks(rows: DataFrame, n: int, width: int) -> BlockMatrix:
     """``_n`` and ``values`` (array of doubles) as a block matrix, without leaving the JVM."""
     vectors = rows.select(F.col("_n").alias("index"), array_to_vector("values").alias("vector"))
     vectors = MLUtils.convertVectorColumnsFromML(vectors, "vector")
-    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(ROWS_PER_BLOCK, min(width, COLUMNS_PER_BLOCK))
+    matrix = IndexedRowMatrix(vectors, n, width).toBlockMatrix(ROWS_PER_BLOCK, min(width, COLUMNS_PER_BLOCK))
+    # Both products and their plans look at the blocks; lost ones follow again from the stored fit list.
+    return matrix.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _local_blocks(spark, matrix: np.ndarray, rows_per_block: int) -> BlockMatrix:
@@ -163,6 +166,7 @@ def whiten(vectors: DataFrame, components: int = 4, scale: int = 256) -> DataFra
     if not len(values):
         return nothing
     projected = _times(matrix, _local_blocks(spark, axes / np.sqrt(values), matrix.colsPerBlock), 1)
+    projected.persist(StorageLevel.MEMORY_AND_DISK)
     error = float(np.abs(_scatter(projected) / n - np.eye(len(values))).max())
 
     white = store(_rows(projected), "whitened")
