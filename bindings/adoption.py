@@ -106,6 +106,23 @@ def chart_series(spark, sf_dir):
     return ad.chart_series(monthly(spark, sf_dir), TOP)
 
 
+@query(
+    f"""WITH {MONTHLY_CTE}, {_TOP}, {DIM_CTE}, named AS (SELECT month, n,
+      CASE WHEN industry = 'Other' THEN 'Other' ELSE industry || ': ' || coalesce(short_desc, industry) END AS series
+      FROM grouped LEFT JOIN dim ON dim.code = industry),
+    places AS (SELECT series, CAST(row_number() OVER (ORDER BY series = 'Other', sum(n) DESC, series) AS INTEGER) AS place FROM named GROUP BY series)
+    SELECT month, place, series, coalesce(n, 0) AS n FROM (SELECT DISTINCT month FROM named) CROSS JOIN places LEFT JOIN named USING (month, series)"""
+)
+def chart_table_cells(spark, sf_dir):
+    """The wide chart table, its columns numbered in their order with ``Other`` last."""
+    wide = ad.chart_table(monthly(spark, sf_dir), TOP)
+    cells = [
+        F.struct(F.lit(k).alias("place"), F.lit(c).alias("series"), F.col(f"`{c}`").alias("n"))
+        for k, c in enumerate(wide.columns[1:], 1)
+    ]
+    return wide.select("month", F.explode(F.array(*cells)).alias("c")).select("month", "c.*")
+
+
 def by_tool(spark, sf_dir):
     return tool_adoption(tool_events(spark, sf_dir), predictions(spark, sf_dir), "repo_nwo", "created_at")
 

@@ -1,7 +1,5 @@
 """Scoring, ranking and classifier jobs."""
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from bindings.registry import query
@@ -18,6 +16,7 @@ from bindings.tables import (
     pair_scores,
     repos,
     split_cte,
+    spread_documents,
     table,
 )
 from bindings.text import SIMPLE_TEXT_SQL, WHOLE_TEXT_SQL
@@ -25,9 +24,8 @@ from sectorscope.functions import scores as sc
 from sectorscope.functions.codes import CLASS_CODES
 from sectorscope.operators import classify as cl
 from sectorscope.operators import corpus, summary
-from sectorscope.operators.sizing import lookup_join
 from sectorscope.plans import score as ps
-from sectorscope.plans.train import train_classifier
+from sectorscope.plans.train import train_classifier, train_words
 from sectorscope.sources import writers
 from sectorscope.sources.paths import shared_folder
 from sectorscope.sources.writers import load_model
@@ -104,7 +102,7 @@ _SIMPLE = f"{NOISY_REPOS_CTE}, texts AS (SELECT id, {SIMPLE_TEXT_SQL} AS text FR
     FROM pair_guess JOIN label_dim ON label = class_index"""
 )
 def external_scorer(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     scored = cl.classify(cl.score_with(rows, pair_scorer()), label_dim(spark)).drop("text")
     return scored.withColumn("confidence", F.round("confidence", 6))
 
@@ -157,7 +155,7 @@ def sample_predictions(spark, sf_dir):
       round(confidence, 6) AS confidence FROM docs JOIN pair_guess USING (id) JOIN label_dim ON label = class_index"""
 )
 def text_previews(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rows = spread_documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
     scored = cl.classify(pair_scores(rows), label_dim(spark)).withColumn("confidence", F.round("confidence", 6))
     return summary.text_preview(scored).drop("class_index")
 
@@ -180,17 +178,6 @@ def trained(spark, sf_dir, **kwargs):
     return train_classifier(language_repos(spark, sf_dir), **{**settings, **kwargs})
 
 
-@lru_cache(maxsize=1)
-def _fitted(spark, sf_dir, application):
-    folder = shared_folder(spark, "model")
-    return trained(spark, sf_dir, save_to=folder), folder
-
-
-def fitted(spark, sf_dir):
-    """One stored fit for the queries that look at a model: the run and its folder."""
-    return _fitted(spark, sf_dir, spark.sparkContext.applicationId)
-
-
 def with_model(spark, sf_dir, model, labels):
     rows = language_repos(spark, sf_dir)
     texts = rows.withColumn("text", corpus.training_text_column(rows))
@@ -211,30 +198,77 @@ def training_job(spark, sf_dir):
     return rows.select("split", "n_rows", (F.col("accuracy") > FLOOR).alias("accurate"), (F.col("f1") > FLOOR).alias("f1_above_floor"))
 
 
-@query("SELECT true AS several_steps, true AS falls")
+# --- a model that SQL repeats: a weight for every word and language, and an offset for each language -
+STEPS, RATE, PENALTY = 4, 2.0, 0.01
+
+
+def word_model(spark, sf_dir):
+    rows = language_repos(spark, sf_dir).select("id", "code", F.col("readme_content").alias("text"))
+    frequent = corpus.keep_frequent_classes(rows, "code", 10)
+    labels = corpus.label_dim(frequent)
+    return train_words(corpus.attach_label(frequent, labels), labels, steps=STEPS, rate=RATE, penalty=PENALTY)
+
+
+def _word_model_ctes() -> str:
+    ctes = [
+        _LANGUAGES,
+        split_cte("src"),
+        "kinds AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS k FROM (SELECT DISTINCT label FROM src))",
+        r"words AS (SELECT doc_id AS id, unnest([w for w in regexp_split_to_array(lower(text), '\s+') if w <> '']) AS word FROM documents)",
+        "counts AS (SELECT word, label, count(*) AS c, count(DISTINCT id) AS d FROM words JOIN split USING (id) WHERE split = 'train' GROUP BY 1, 2)",
+        "vocabulary AS (SELECT word, sum(d) AS d FROM counts GROUP BY 1)",
+        "totals AS (SELECT kinds.label, coalesce(sum(c), 0) + (SELECT count(*) FROM vocabulary) AS t FROM kinds LEFT JOIN counts USING (label) GROUP BY 1)",
+        """weights AS (SELECT word, label, ln(((SELECT count(*) FROM split WHERE split = 'train') + 1e0) / (vocabulary.d + 1e0)) * ln((coalesce(c, 0) + 1e0) / t) AS w
+      FROM vocabulary CROSS JOIN totals LEFT JOIN counts USING (word, label))""",
+        "means AS (SELECT id, label, avg(w) AS z FROM words JOIN weights USING (word) GROUP BY 1, 2)",
+        """logits AS (SELECT doc_id AS id, kinds.label, k, coalesce(z, 0e0) AS z FROM documents CROSS JOIN kinds
+      LEFT JOIN means ON means.id = doc_id AND means.label = kinds.label)""",
+        "held AS (SELECT l.*, split.label AS truth FROM logits l JOIN split USING (id) WHERE split = 'validation')",
+        "offset_0 AS (SELECT label, 0e0 AS b FROM kinds)",
+    ]
+    for step in range(STEPS + 1):
+        ctes.append(
+            f"""p_{step} AS (SELECT id, label, truth, b, exp(z + b) / sum(exp(z + b)) OVER (PARTITION BY id) AS p
+      FROM held JOIN offset_{step} USING (label))"""
+        )
+        if step < STEPS:
+            ctes.append(
+                f"""offset_{step + 1} AS (SELECT label, any_value(b) - {RATE}e0 * (avg(p - CASE WHEN label = truth THEN 1e0 ELSE 0e0 END)
+      + {PENALTY}e0 * any_value(b)) AS b FROM p_{step} GROUP BY label)"""
+            )
+    return ", ".join(ctes)
+
+
+def _loss_sql(step: int) -> str:
+    return f"""SELECT CAST({step} AS INTEGER) AS step, 'loss' AS metric, round((SELECT avg(-ln(p)) FROM p_{step} WHERE label = truth)
+      + {PENALTY / 2}e0 * (SELECT sum(b * b) FROM offset_{step}), 9) AS value"""
+
+
+@query(f"WITH {_word_model_ctes()} " + " UNION ALL ".join(_loss_sql(step) for step in range(STEPS + 1)))
 def training_curve(spark, sf_dir):
-    curve = fitted(spark, sf_dir)[0].curve
-    return curve.agg(
-        (F.count("*") > 1).alias("several_steps"),
-        (F.max_by("value", "step") < F.min_by("value", "step")).alias("falls"),
-    )
+    """Log loss plus penalty of every step of the offsets' fit."""
+    return word_model(spark, sf_dir).curve.withColumn("value", F.round("value", 9))
 
 
-@query("SELECT doc_id AS id, lang AS code, true AS known, true AS class_above_floor FROM documents")
+@query(
+    f"""WITH {_word_model_ctes()}, shown AS (SELECT id, label, k, exp(z + b) / sum(exp(z + b)) OVER (PARTITION BY id) AS p
+      FROM logits JOIN offset_{STEPS} USING (label)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p DESC, k) AS place FROM shown)
+    SELECT id, k AS class_index, label AS predicted_naics, round(p, 6) AS confidence FROM best WHERE place = 1"""
+)
 def model_predictions(spark, sf_dir):
-    """Classify the whole table with the fitted model; whether its class is mostly found, by class."""
-    run, _ = fitted(spark, sf_dir)
-    scored = with_model(spark, sf_dir, run.model, run.labels)
-    right = F.avg((F.col("predicted_naics") == F.col("code")).cast("int")) > FLOOR
-    by_class = scored.groupBy("code").agg(right.alias("class_above_floor"))
-    known = F.col("predicted_naics").isNotNull() & F.col("confidence").between(0, 1)
-    return lookup_join(scored, by_class, "code", "left").select("id", "code", known.alias("known"), "class_above_floor")
+    """Classify the whole table with the fitted table of weights: class and confidence."""
+    model = word_model(spark, sf_dir)
+    rows = language_repos(spark, sf_dir).select("id", F.col("readme_content").alias("text"))
+    scored = cl.classify(model.score(rows), model.labels)
+    return scored.select("id", "class_index", "predicted_naics", F.round("confidence", 6).alias("confidence"))
 
 
 @query("SELECT doc_id AS id, true AS same_class, true AS same_confidence FROM documents")
 def model_stored(spark, sf_dir):
     """The model read back from its folder, with its label map, against the fitted one."""
-    run, folder = fitted(spark, sf_dir)
+    folder = shared_folder(spark, "model")
+    run = trained(spark, sf_dir, save_to=folder)
     model, labels = load_model(spark, folder)
     own = with_model(spark, sf_dir, run.model, run.labels).select("id", F.col("predicted_naics").alias("a"), F.col("confidence").alias("x"))
     back = with_model(spark, sf_dir, model, labels).select("id", F.col("predicted_naics").alias("b"), F.col("confidence").alias("y"))

@@ -12,7 +12,7 @@ from sectorscope.operators import adoption as ad
 from sectorscope.operators import corpus
 from sectorscope.plans.evaluate import evaluate_counts
 from sectorscope.sources import readers, writers
-from sectorscope.sources.paths import shared_folder
+from sectorscope.sources.paths import shared_folder, store
 
 
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
@@ -49,6 +49,35 @@ def json_event_scan(spark, sf_dir):
     return found.select(F.col("nwo").cast("long").alias("nwo"), F.col("first_use_date").cast("timestamp_ntz").alias("first_use_date"))
 
 
+# Every fifth line is cut off, and every seventh one has a time that cannot be read.
+_BROKEN = "event_id % 5 = 0 OR event_id % 7 = 0"
+
+
+@query(
+    f"""SELECT user_id AS nwo, min(CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE ts END) AS first_use_date,
+      (SELECT count(*) FROM events) AS n_lines, (SELECT count(*) FROM events WHERE {_BROKEN}) AS n_broken
+    FROM events WHERE event_id % 5 <> 0 GROUP BY 1"""
+)
+def lenient_event_scan(spark, sf_dir):
+    """First use from event lines of which some are broken, and the number of those, in one pass."""
+    path = shared_folder(spark, "events") + ".json"
+    events = table(spark, sf_dir, "events")
+    time = F.when(F.col("event_id") % 7 == 0, F.lit("soon")).otherwise(
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    )
+    line = F.to_json(F.struct(F.col("user_id").cast("string").alias("repo_nwo"), time.alias("created_at")))
+    cut = F.when(F.col("event_id") % 5 == 0, F.left(line, F.lit(9))).otherwise(line)
+    events.select(cut.alias("value")).write.text(path)
+    rows, seen = readers.observed_events(spark, path)
+    found = store(ad.first_use(rows), "first-use")
+    return found.select(
+        F.col("nwo").cast("long").alias("nwo"),
+        F.col("first_use_date").cast("timestamp_ntz").alias("first_use_date"),
+        F.lit(seen.get["n_lines"]).cast("long").alias("n_lines"),
+        F.lit(seen.get["n_broken"]).cast("long").alias("n_broken"),
+    )
+
+
 @query(f"WITH {REPOS_CTE} SELECT id, name_repo AS name, readme_content AS readme FROM repos")
 def column_aliases(spark, sf_dir):
     return readers.resolve_repo_columns(repos(spark, sf_dir)).select("id", "name", "readme")

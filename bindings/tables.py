@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sectorscope.functions.codes import CLASS_CODES, SECTOR_CODES, SECTORS
 from sectorscope.operators.classify import score_logits
 from sectorscope.operators.sizing import local_table
+from sectorscope.sources.readers import read_parquet
 
 CODE = "predicted_naics"
 
@@ -66,8 +67,13 @@ def topics_raw() -> Column:
     return out
 
 
+def spread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for a text job: the given file is one row group, so as many parts as there are cores."""
+    return read_parquet(spark, f"{sf_dir}/documents.parquet", partitions=spark.sparkContext.defaultParallelism)
+
+
 def repos(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_documents(spark, sf_dir) if noisy else table(spark, sf_dir, "documents")
     kind = F.col("doc_id") % 3
     tail = F.when(kind == 0, NOISE_TAIL).when(kind == 1, PLAIN_TAIL).otherwise(OPEN_TAIL)
     readme = F.concat(F.lit(NOISE_HEAD), F.col("text"), tail) if noisy else F.col("text")

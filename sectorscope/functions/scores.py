@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``."""
     return F.transform(F.array(value), body)[0]
 
@@ -15,9 +17,9 @@ def softmax(logits: Column) -> Column:
     """Class probabilities; the maximum is subtracted first so that exp cannot overflow."""
 
     def exps(values: Column) -> Column:
-        return _let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
+        return let(F.array_max(values), lambda top: F.transform(values, lambda x: F.exp(x - top)))
 
-    return normalize(_let(logits.cast("array<double>"), exps))
+    return normalize(let(logits.cast("array<double>"), exps))
 
 
 def normalize(weights: Column) -> Column:
@@ -25,9 +27,9 @@ def normalize(weights: Column) -> Column:
 
     def divide(values: Column) -> Column:
         total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-        return _let(total, lambda t: F.transform(values, lambda x: x / t))
+        return let(total, lambda t: F.transform(values, lambda x: x / t))
 
-    return _let(weights, divide)
+    return let(weights, divide)
 
 
 def argmax(scores: Column) -> Column:

@@ -22,14 +22,15 @@ _WORD_END = r"(?![\p{L}\p{N}_])"
 # the letters that count as equal when case is ignored (dotless and dotted i, long s).
 # Images and linked images have to close on their line.  Where one does not, nothing further
 # on the line can, so the rest of the line is taken along unchanged: time stays linear.
-_LINE_RULES = [
-    (r"(?d)!\[(?>.*?\]\()[^\n)]*+\)|(!\[[^\n]*+)", "$1"),
-    (r"(?d)\[!\[(?>.*?\]\()(?>.*?\)\]\()[^\n)]*+\)|(\[!\[[^\n]*+)", "$1"),
-    (r"(?dU)(?=[MAGBCmagbc][IPSOipsoıİſ][TALDPtaldp])(?i:MIT License|Apache License|GPL|BSD|Copyright[^\n]*)(?:\n|$)", ""),
-    (rf"(?dU)https?://([^/{WS}]+)[^{WS}]*", "$1"),
-    (rf"(?dUm)^#{{1,6}}[{WS}]*", ""),
-    (r"[*_~`]+", ""),
-]
+_IMAGE = (r"(?d)!\[(?>.*?\]\()[^\n)]*+\)|(!\[[^\n]*+)", "$1")
+_LINKED_IMAGE = (r"(?d)\[!\[(?>.*?\]\()(?>.*?\)\]\()[^\n)]*+\)|(\[!\[[^\n]*+)", "$1")
+_LICENSE = (
+    r"(?dU)(?=[MAGBCmagbc][IPSOipsoıİſ][TALDPtaldp])(?i:MIT License|Apache License|GPL|BSD|Copyright[^\n]*)(?:\n|$)",
+    "",
+)
+_URL = (rf"(?dU)https?://([^/{WS}]+)[^{WS}]*", "$1")
+_HEADER = (rf"(?dUm)^#{{1,6}}[{WS}]*", "")
+_MARKS = (r"[*_~`]+", "")
 # (first letters, words, canonical name)
 _WORD_RULES = [
     ("[jJ][aAsSſ]", "javascript|js", "javascript"),
@@ -37,21 +38,16 @@ _WORD_RULES = [
     ("[rR][eE][aA]", "reactjs|react", "react"),
     ("[nN][oO][dD]", "nodejs|node", "nodejs"),
 ]
-_SQUEEZE_RULES = [
-    (r"(?=[!?.]{2})(?:([!?])\1+|(\.\.\.)\.+)", "$1$2"),
-    (rf"(?U)[{WS}]+", " "),
-    # Whitespace is single spaces by now, so no line end stops this one: an install
-    # command drops the rest of the text.
-    (r"(?dUs)(?=[NPGnpg][PIpiıİ][MPTmpt] [ICicıİ])(?i:npm install|pip install|git clone).*", ""),
+_WORDS = [
+    (f"(?dU)(?={first}){_WORD_START}(?i:{words}){_WORD_END}", name) for first, words, name in _WORD_RULES
 ]
-CLEANING_RULES = (
-    _LINE_RULES
-    + [
-        (f"(?dU)(?={first}){_WORD_START}(?i:{words}){_WORD_END}", name)
-        for first, words, name in _WORD_RULES
-    ]
-    + _SQUEEZE_RULES
-)
+_PUNCTUATION = (r"(?=[!?.]{2})(?:([!?])\1+|(\.\.\.)\.+)", "$1$2")
+# Every run of whitespace but a single space, which stays as it is.
+_SPACES = (rf"(?U)[{WS}&&[^ ]][{WS}]*+| [{WS}]++", " ")
+# Whitespace is single spaces by now, so no line end stops this one: an install
+# command drops the rest of the text.
+_INSTALL = (r"(?dUs)(?=[NPGnpg][PIpiıİ][MPTmpt] [ICicıİ])(?i:npm install|pip install|git clone).*", "")
+CLEANING_RULES = [_IMAGE, _LINKED_IMAGE, _LICENSE, _URL, _HEADER, _MARKS, *_WORDS, _PUNCTUATION, _SPACES, _INSTALL]
 
 
 def _text(col: Column) -> Column:

@@ -7,10 +7,11 @@ that is shared, whichever model produced the scores.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, SQLTransformer
@@ -24,6 +25,7 @@ from sectorscope.functions.text import tokens
 from sectorscope.operators import evaluation as ev
 from sectorscope.operators.corpus import attach_code
 from sectorscope.operators.sizing import local_table
+from sectorscope.sources.paths import store
 
 # A scorer opens a model and returns texts -> logits (rows x classes).
 Scorer = Callable[[Sequence[str]], np.ndarray]
@@ -73,32 +75,34 @@ def fit_best(
     max_iter: int = 20,
     max_tokens: int | None = None,
     n_features: int = 1 << 16,
+    side_by_side: int = 4,
 ) -> tuple[PipelineModel, DataFrame]:
     """Fit one model per regularization, keep the best by weighted F1 on ``validation``.
 
-    Features are computed once per split, from whole texts unless ``max_tokens`` is given.
+    Features are computed once per split, from whole texts unless ``max_tokens`` is given, and
+    stored in the shared folder: a lost executor tokenizes nothing again.  Up to ``side_by_side``
+    candidates are fitted at a time; of equally good ones the first stays.
     Returns the model and its training curve.
     """
     features = _featurizer(text, max_tokens, n_features).fit(train)
-    train_x = features.transform(train).select(label, "_features").persist(StorageLevel.MEMORY_AND_DISK)
-    val_x = features.transform(validation).select(label, "_features")
-    if len(reg_params) > 1:
-        val_x = val_x.persist(StorageLevel.MEMORY_AND_DISK)
-    best: LogisticRegressionModel | None = None
-    best_f1 = -1.0
-    try:
-        for reg in reg_params:
-            fitted = _classifier(label, reg, max_iter).fit(train_x)
-            if len(reg_params) == 1:
-                best = fitted
-                break
+    train_x = store(features.transform(train).select(label, "_features"), "train-features")
+
+    def fit(reg: float) -> LogisticRegressionModel:
+        return _classifier(label, reg, max_iter).fit(train_x)
+
+    if len(reg_params) == 1:
+        best = fit(reg_params[0])
+    else:
+        val_x = store(features.transform(validation).select(label, "_features"), "validation-features")
+
+        def candidate(reg: float) -> tuple[float, LogisticRegressionModel]:
+            fitted = fit(reg)
             pairs = ev.truth_prediction(fitted.transform(val_x), label, "_prediction")
-            f1 = ev.metrics(ev.confusion_counts(pairs)).first()["f1"]
-            if f1 > best_f1:
-                best, best_f1 = fitted, f1
-    finally:
-        train_x.unpersist()
-        val_x.unpersist()
+            return ev.metrics(ev.confusion_counts(pairs)).first()["f1"], fitted
+
+        run = inheritable_thread_target(train.sparkSession)(candidate)
+        with ThreadPoolExecutor(side_by_side) as pool:
+            best = max(pool.map(run, reg_params), key=lambda found: found[0])[1]
     curve = training_curve(train, best)
     names = IndexToString(inputCol="_prediction", outputCol="_code", labels=list(codes))
     return PipelineModel(stages=[*features.stages, best, names]), curve
@@ -122,23 +126,53 @@ def score_with_model(df: DataFrame, model: PipelineModel, text: str = "text") ->
     return scored.drop(*_WORK)
 
 
-def score_with(df: DataFrame, open_scorer: Callable[[], Scorer], text: str = "text", batch_size: int = 256) -> DataFrame:
+def text_batches(lengths: np.ndarray, batch_size: int, max_chars: int) -> Iterator[np.ndarray]:
+    """Places of texts of similar length: at most ``batch_size`` and ``max_chars`` at a time, counted as
+    the longest one's length for each (scorers pad); a longer text is a batch of its own."""
+    order = np.argsort(lengths, kind="stable")
+    start = 0
+    while start < len(order):
+        end = start + 1
+        while (
+            end < len(order)
+            and end - start < batch_size
+            and (end - start + 1) * int(lengths[order[end]]) <= max_chars
+        ):
+            end += 1
+        yield order[start:end]
+        start = end
+
+
+def score_with(
+    df: DataFrame,
+    open_scorer: Callable[[], Scorer],
+    text: str = "text",
+    batch_size: int = 256,
+    max_chars: int = 4_000_000,
+) -> DataFrame:
     """Add ``probabilities`` from an external scorer.
 
-    Only the text column travels to Python, in Arrow batches; the scorer is opened once per
-    task and called on ``batch_size`` texts at a time.
+    Only the text column travels to Python, in Arrow batches whose bytes
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds.  The scorer is opened once per task and called
+    on texts of similar length: at most ``batch_size`` of them, and ``max_chars`` characters.
     """
 
+    def probabilities(logits: np.ndarray) -> np.ndarray:
+        weights = np.exp(logits - logits.max())
+        return weights / weights.sum()
+
     @pandas_udf("array<double>")
-    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = open_scorer()
         for batch in batches:
-            parts: list[np.ndarray] = []
-            for start in range(0, len(batch), batch_size):
-                parts.extend(np.asarray(score(batch.iloc[start : start + batch_size].tolist()), dtype="float64"))
-            yield pd.Series(parts, dtype="object")
-
-    return score_logits(df.withColumn("_logits", logits(F.coalesce(F.col(text), F.lit("")))), "_logits").drop("_logits")
+            out = np.empty(len(batch), dtype="object")
+            for places in text_batches(batch.str.len().to_numpy(dtype="int64"), batch_size, max_chars):
+                found = score(batch.iloc[places].tolist())
+                for place, row in zip(places, found, strict=True):
+                    out[place] = probabilities(np.asarray(row, dtype="float64"))
+            yield pd.Series(out, dtype="object")
+
+    return df.withColumn("probabilities", scored(F.coalesce(F.col(text), F.lit(""))))
 
 
 def score_logits(df: DataFrame, logits: str = "logits") -> DataFrame:

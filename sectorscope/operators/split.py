@@ -3,10 +3,13 @@
 Every row gets a uniform order key, the md5 of seed and id.  A class may hold a third of all
 rows, so it is never ranked in one place.  Instead:
 
+0. write class and key of every row once; steps 1 to 3 read only these;
 1. count rows per (class, first hex digits of the key): a small histogram;
 2. per class, find the buckets in which the test and validation quotas run out;
 3. rank only the keys inside those buckets to get the exact cut key per class;
 4. compare each row's key with the two cut keys of its class: no shuffle, texts stay put.
+
+The rows are scanned twice, for the keys and for the result.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectorscope.operators.sizing import lookup_join, settle
+from sectorscope.sources.paths import store
 
 # Keys are counted by their first hexadecimal digits: at least so many, and as many more as keep
 # the keys that share them, which one task ranks, to about so many.
@@ -127,9 +131,11 @@ def split_plan(
     """Cut keys per class: ``(label, test_cut, val_cut)``.
 
     A row is in test up to and including ``test_cut``, in validation up to ``val_cut``.
-    Runs jobs: the rows are counted, and the class quotas fetched.
+    Runs jobs: the keys are stored, and the class quotas fetched.
     """
     keys = df.where(F.col(label).isNotNull()).select(F.col(label), order_key(id_col, seed).alias("_key"))
+    keys = store(keys, "split-keys")
+    # The count comes from the stored files' footers.
     bucket = F.left(F.col("_key"), F.lit(bucket_digits(keys.count())))
     hist = keys.groupBy(label, bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
     classes, _ = settle(_quota_edges(hist, label, test_size, val_size))

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from sectorscope.operators import classify as cl
 from sectorscope.operators import evaluation as ev
+from sectorscope.operators import table_model as tm
 from sectorscope.operators.sizing import settle
 from sectorscope.operators.split import stratified_split
 from sectorscope.plans.evaluate import predicted_pairs
 from sectorscope.plans.prepare import prepare_corpus
-from sectorscope.sources.paths import shared_folder
+from sectorscope.sources.paths import shared_folder, store
 from sectorscope.sources.writers import save_model
 
 # A multinomial model holds a row of coefficients for each class on the driver.
@@ -82,3 +83,44 @@ def train_classifier(
         save_model(model, labels, save_to)
     sizes = corpus.groupBy("split").agg(F.count("*").alias("n_rows"))
     return Training(model, labels, by_split, sizes, ev.generalization_gap(by_split), curve)
+
+
+@dataclass
+class WordModel:
+    weights: DataFrame  # word, idf, weights: one for each label
+    offsets: list[float]  # one for each label
+    labels: DataFrame
+    curve: DataFrame
+
+    def score(self, rows: DataFrame, text: str = "text", id_col: str = "id") -> DataFrame:
+        """``id_col`` and ``probabilities`` of the rows."""
+        logits = tm.score_words(rows, self.weights, len(self.offsets), text, id_col)
+        return tm.with_offsets(logits, self.offsets).drop("logits")
+
+
+def train_words(
+    prepared: DataFrame,
+    labels: DataFrame,
+    id_col: str = "id",
+    test_size: float = 0.2,
+    val_size: float = 0.1,
+    seed: int = 42,
+    steps: int = 4,
+    rate: float = 2.0,
+    penalty: float = 0.01,
+) -> WordModel:
+    """Split, count the words of the training part, fit the offsets on the validation part.
+
+    ``prepared`` has ``text`` and ``label`` (numbers from 0, as in ``labels``).  The split corpus, the
+    weights and the validation scores are stored.
+    """
+    n_classes = labels.count()
+    if n_classes > MAX_CLASSES:
+        raise ValueError(f"More than {MAX_CLASSES} classes")
+    corpus = store(stratified_split(prepared, "label", id_col, test_size, val_size, seed), "corpus")
+    train, validation = (corpus.where(F.col("split") == part) for part in ("train", "validation"))
+    weights = store(tm.fit_weights(train, n_classes, id_col=id_col), "weights")
+    logits = tm.score_words(validation, weights, n_classes, id_col=id_col)
+    scored = store(logits.join(validation.select(id_col, "label"), id_col), "validation-logits")
+    offsets, curve = tm.fit_offsets(scored, n_classes, steps, rate, penalty)
+    return WordModel(weights, offsets, labels, curve)

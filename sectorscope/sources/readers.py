@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sectorscope.operators.sizing import local_table, lookup_join
 from sectorscope.sources.paths import suffix
 
 # Column names of the input tables.
@@ -17,9 +21,10 @@ EVENT_SCHEMA = "repo_nwo string, created_at timestamp"
 FIRST_USE_NAMES = {"repo_nwo": "nwo", "first_claude_commit": "first_use_date"}
 REPO_SCHEMA = "code string, name_repo string, description string, topics string, readme_content string"
 LABEL_SCHEMA = "label int, code string"
+_SLASHES = re.compile("(?<=^file):/+")
 
 
-def _open(load: Callable[[str], DataFrame], path: str) -> DataFrame:
+def _open(load: Callable[..., DataFrame], path: str) -> DataFrame:
     """Open a file; a missing path and an unreadable one are different errors."""
     try:
         return load(str(path))
@@ -31,9 +36,18 @@ def _open(load: Callable[[str], DataFrame], path: str) -> DataFrame:
         raise ValueError(f"Failed to load file: {e}") from e
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+def spread(rows: DataFrame, partitions: int | None) -> DataFrame:
+    """The rows dealt to ``partitions`` tasks; as they are read without a number.
+
+    A Parquet row group is read by one task: text jobs over files of few row groups, or over quoted
+    CSV, should name one.  The rows move once, so leave it out where the files divide well.
+    """
+    return rows if partitions is None else rows.repartition(partitions)
+
+
+def read_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Parquet table."""
-    return _open(spark.read.parquet, path)
+    return spread(_open(spark.read.parquet, path), partitions)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
@@ -54,13 +68,15 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_li
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_repos(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Repository table by file type: parquet or CSV."""
+def read_repos(
+    spark: SparkSession, path: str, schema: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """Repository table by file type: parquet or CSV; ``partitions`` as in :func:`spread`."""
     kind = suffix(path)
     if kind == "parquet":
-        return read_parquet(spark, path)
+        return read_parquet(spark, path, partitions)
     if kind == "csv":
-        return read_csv(spark, path, schema)
+        return spread(read_csv(spark, path, schema), partitions)
     raise ValueError(f"Unsupported file format: .{kind}")
 
 
@@ -70,8 +86,54 @@ def read_events(spark: SparkSession, path: str, strict: bool = True) -> DataFram
     A broken line stops the job; without ``strict`` its broken fields are null, and
     :func:`broken_events` counts such lines.
     """
+    return _open(event_reader(spark, strict), path)
+
+
+def event_reader(spark: SparkSession, strict: bool = True) -> Callable[[str | Sequence[str]], DataFrame]:
     reader = spark.read.schema(EVENT_SCHEMA).option("timeZone", "UTC")
-    return _open(reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json, path)
+    return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json
+
+
+def observed_events(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """Events as without ``strict``, and the numbers ``n_lines`` and ``n_broken`` of the same pass.
+
+    The numbers are there when the first job over the events has ended.
+    """
+    reader = spark.read.schema(f"{EVENT_SCHEMA}, _broken string").option("timeZone", "UTC")
+    lines = _open(reader.option("columnNameOfCorruptRecord", "_broken").json, path)
+    seen = Observation()
+    counted = lines.observe(seen, F.count(F.lit(1)).alias("n_lines"), F.count("_broken").alias("n_broken"))
+    return counted.drop("_broken"), seen
+
+
+def read_tools(
+    tables: Mapping[str, Callable[[Sequence[str]], DataFrame]], paths: Mapping[str, str]
+) -> tuple[DataFrame | None, list[str]]:
+    """One scan over the files of all tools, with a ``tool`` column; and the tools without a file.
+
+    ``tables`` has a reader for each tool; tools that share one are read together.  A row's tool follows
+    from the path of its file.
+    """
+    missing, groups = [], {}
+    for tool, path in paths.items():
+        try:
+            files = _open(lambda one, load=tables[tool]: load([one]), path).inputFiles()
+        except FileNotFoundError:
+            missing.append(tool)
+            continue
+        groups.setdefault(id(tables[tool]), (tables[tool], [], []))
+        if str(path) not in groups[id(tables[tool])][1]:  # tools may share a file
+            groups[id(tables[tool])][1].append(str(path))
+        groups[id(tables[tool])][2].extend((_SLASHES.sub(":/", unquote(file)), tool) for file in files)
+    parts = []
+    for load, own_paths, files in groups.values():
+        rows = load(own_paths)
+        # Forms of a path differ in how they quote characters, and in the slashes of an empty host.
+        plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        named = rows.withColumn("_file", F.regexp_replace(plain, _SLASHES.pattern, ":/"))
+        names = local_table(rows.sparkSession, sorted(set(files)), "_file string, tool string")
+        parts.append(lookup_join(named, names, "_file", "inner").select("tool", *rows.columns))
+    return (reduce(DataFrame.unionByName, parts) if parts else None), missing
 
 
 def broken_events(spark: SparkSession, path: str) -> DataFrame:

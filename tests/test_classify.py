@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,31 @@ def test_whole_texts_are_read(spark):
     assert all(r.predicted_naics == r.code for r in out.collect())
     cut = ps.score_corpus(docs, lambda df: cl.score_with_model(df, run.model), run.labels, max_readme_chars=5000)
     assert len({r.predicted_naics for r in cut.collect()}) == 1
+
+
+def test_external_scorer_sees_bounded_batches(spark, tmp_path):
+    """Texts of similar length, few enough characters at a time, and the rows in their order."""
+    from sectorscope.operators.classify import score_with, text_batches
+
+    sizes = np.array([5, 0, 900, 5, 7, 3000, 5])
+    parts = [sorted(sizes[p].tolist()) for p in text_batches(sizes, 3, 1000)]
+    assert parts == [[0, 5, 5], [5, 7], [900], [3000]]
+    log = str(tmp_path / "log")
+
+    def opener():
+        def score(texts):
+            with open(log, "a") as f:
+                f.write(f"{len(texts)} {max(map(len, texts))}\n")
+            return [[float(len(t)), 0.0] for t in texts]
+
+        return score
+
+    texts = ["x" * (k % 50) for k in range(500)] + ["y" * 3_000_000, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    found = score_with(rows, opener, batch_size=64, max_chars=1000).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        n = len(texts[r["id"]] or "")
+        assert r["probabilities"][0] == pytest.approx(1 / (1 + math.exp(-min(n, 700))))
+    seen = [tuple(map(int, line.split())) for line in open(log)]
+    assert all(n <= 64 and (n == 1 or n * longest <= 1000) for n, longest in seen)

@@ -118,3 +118,34 @@ def test_csv_keeps_blanks_and_binds_by_name(spark, tmp_path):
         readers.read_csv(spark, str(tmp_path / "a.csv"), "missing string")
     (tmp_path / "b.csv").write_text("description,code\nd1,52\n")
     assert readers.read_csv(spark, str(tmp_path / "b.csv"), "code string, description string", multi_line=False).first().code == "52"
+
+
+def test_broken_lines_are_counted_on_the_way(spark, tmp_path):
+    lines = ['{"repo_nwo": "a", "created_at": "2025-01-01T00:00:00Z"}', '{"repo_nwo": "b", "created_at": "soon"}', "{broken", ""]
+    (tmp_path / "e.jsonl").write_text("\n".join(lines))
+    events, seen = readers.observed_events(spark, str(tmp_path / "e.jsonl"))
+    assert sorted(str(r["repo_nwo"]) for r in events.collect()) == ["None", "a", "b"]
+    assert seen.get == {"n_lines": 3, "n_broken": 2}
+    with pytest.raises(FileNotFoundError):
+        readers.observed_events(spark, str(tmp_path / "none.jsonl"))
+
+
+def test_tools_in_one_scan(spark, tmp_path):
+    """The tool follows from the file: names with blanks, plus and percent, folders, shared and missing files."""
+    folder = tmp_path / "a b+c%41"
+    folder.mkdir()
+    (folder / "x y.jsonl").write_text('{"repo_nwo": "r1"}\n')
+    spark.createDataFrame([("r2",), ("r3",)], "repo_nwo string").repartition(2).write.json(str(folder / "many"))
+    load = readers.event_reader(spark)
+    paths = {"one": str(folder / "x y.jsonl"), "two": str(folder / "many"), "again": str(folder / "x y.jsonl"), "no": str(folder / "none")}
+    rows, missing = readers.read_tools(dict.fromkeys(paths, load), paths)
+    assert missing == ["no"]
+    assert values(rows.select("tool", "repo_nwo"), "tool", "repo_nwo") == [("again", "r1"), ("one", "r1"), ("two", "r2"), ("two", "r3")]
+    assert str(rows._jdf.queryExecution().optimizedPlan()).count("json") == 1
+    assert readers.read_tools({}, {}) == (None, [])
+
+
+def test_named_number_of_partitions(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    assert readers.read_parquet(spark, str(tmp_path / "t.parquet")).rdd.getNumPartitions() == 1
+    assert readers.read_parquet(spark, str(tmp_path / "t.parquet"), partitions=5).rdd.getNumPartitions() == 5

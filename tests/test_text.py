@@ -204,3 +204,14 @@ def test_topics_with_marks_and_exponents(spark):
     rows = [("[\x01]",), ("['a', \x01]",), ("[1e3]",), ("[2.5, 'b']",)]
     df = spark.createDataFrame(rows, "t string")
     assert [r[0] for r in df.select(tx.clean_topics(F.col("t"))).collect()] == ["\x01", "'a'; \x01", "1000.0", "2.5; b"]
+
+
+def test_runs_of_whitespace(spark):
+    """Single blanks stay, every other run becomes one, as if every run were replaced."""
+    from sectorscope.functions.text import WS, _SPACES
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice([" ", " ", "\t", "\n", "\r", "\u00a0", "\u2003", "\x1c", "\x85", "a", "bc"]) for _ in range(12)) for _ in range(800)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.regexp_replace("t", rf"(?U)[{WS}]+", " ")
+    assert rows.where(F.regexp_replace("t", *_SPACES) != plain).collect() == []
