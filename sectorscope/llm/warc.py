@@ -80,7 +80,7 @@ SCHEMA = StructType(
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path; a path without scheme is local (single-node use)."""
+    """File system and path; one without scheme, given to the source directly, is local."""
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:
@@ -131,13 +131,18 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
 
 
 class _Member:
-    """The plain bytes of one gzip member (or of a plain file), read as far as asked."""
+    """The plain bytes of one gzip member (or of a plain file), read as far as asked.
 
-    STEP = 16 << 10
+    Time and memory are in proportion to what is asked for.
+    """
+
+    STEP = 64 << 10
+    # Most bytes that one step makes of well compressed input.
+    MOST = 1 << 20
 
     def __init__(self, source):
         self.source, self.start = source, source.tell()
-        self.plain, self.total, self.over = b"", None, False
+        self.plain, self.total, self.over = bytearray(), None, False
         self.inflater = None
         head = source.read(12)
         if head[:2] == b"\x1f\x8b":
@@ -153,34 +158,40 @@ class _Member:
         source.seek(self.start)
 
     def _more(self) -> bool:
+        """Whether there was anything left to read."""
         if self.over:
             return False
-        data = self.source.read(self.STEP)
+        data = self.inflater.unconsumed_tail if self.inflater is not None else b""
+        data = data or self.source.read(self.STEP)
         if not data:
             self.over = True
-        elif self.inflater is None:
+            return False
+        if self.inflater is None:
             self.plain += data
         else:
-            self.plain += self.inflater.decompress(data)
+            self.plain += self.inflater.decompress(data, self.MOST)
             if self.inflater.eof:
                 self.source.seek(self.source.tell() - len(self.inflater.unused_data))
                 self.over = True
-        return not self.over or bool(data)
+        return True
 
     def head(self) -> bytes | None:
         """Up to the empty line after the headers; None at the end of the file."""
-        while (at := self.plain.find(b"\r\n\r\n")) < 0:
+        seen = 0
+        while (at := self.plain.find(b"\r\n\r\n", max(seen - 3, 0))) < 0:
+            seen = len(self.plain)
             if not self._more():
                 if self.plain.strip():
                     raise ValueError("A record without the end of its headers")
                 return None
-        return self.plain[: at + 4]
+        return bytes(self.plain[: at + 4])
 
     def body(self, start: int, length: int) -> bytes:
         while len(self.plain) < start + length:
             if not self._more():
                 raise ValueError("A record is shorter than its Content-Length")
-        return self.plain[start : start + length]
+        with memoryview(self.plain) as plain, plain[start : start + length] as part:
+            return bytes(part)
 
     def leave(self, start: int, length: int) -> None:
         """Place the source at the next record, without inflating what is not needed."""
@@ -190,7 +201,7 @@ class _Member:
             self.source.seek(self.start + self.total)
         else:
             while not self.over:
-                self.plain = b""
+                self.plain.clear()
                 self._more()
 
 
@@ -451,14 +462,28 @@ def base32(hexadecimal: Column) -> Column:
     return F.concat(*groups)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark's own readers and writers give it.
+
+    Tasks open it through ``pyarrow.fs``, which does not know the cluster's default file system.
+    """
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = system.makeQualified(place).toString()
+    _open(full)  # a file system that tasks cannot open fails here
+    return full
+
+
 def write_warc(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     register(records.sparkSession)
+    path = qualified(records.sparkSession, path)
     records.write.format("warc").option("path", path).option("fileBytes", file_bytes).mode("append").save()
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, types: list[str] | None = None) -> DataFrame:
     register(spark)
-    reader = spark.read.format("warc").option("path", path).option("payload", str(payload).lower())
+    reader = spark.read.format("warc").option("path", qualified(spark, path)).option("payload", str(payload).lower())
     return reader.option("types", ",".join(types)).load() if types else reader.load()
 
 

@@ -1,6 +1,8 @@
 import gzip
 import io
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +105,20 @@ def test_smaller_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "aa"), (2, "u", "aa"), (3, "u", "bbb"), (4, "u", "bbb"), (None, "u", "c")], PAGES)
     rows = {r.page_id: r.record_type for r in warc.page_records(pages, min_revisit_bytes=3).collect()}
     assert rows == {1: "response", 2: "response", 3: "revisit", 4: "response", None: "response"}
+
+
+def test_very_long_payload_in_linear_time():
+    """64 MB that do not compress, and 64 MB that compress very well, each read in seconds."""
+    for payload in (os.urandom(64 << 20), b"a" * (64 << 20)):
+        row = dict.fromkeys(warc.HEADERS) | {"record_type": "response", "payload": payload}
+        data = warc.gzip_member(warc.record_bytes(row)) * 2
+        start = time.time()
+        found = list(warc.read_records(io.BytesIO(data), [], True))
+        assert [r[-1] == payload for r in found] == [True, True]
+        assert time.time() - start < 20
+
+
+def test_path_as_spark_has_it(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    with pytest.raises(Exception):
+        warc.qualified(spark, "nosuchscheme://host/x")
