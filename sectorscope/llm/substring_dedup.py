@@ -225,7 +225,7 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         F.shiftright("place", 48).alias("_tag"),
         F.struct(F.col("place").bitwiseAND(F.lit(_FIRST)).alias("first"), "mask").alias("span"),
     )
-    return spans.groupBy("_key", "_tag").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("_key", "_tag").agg(F.collect_set("span").alias("spans"))
 
 
 def _covered(n_words: int, first: np.ndarray, mask: np.ndarray, window: int) -> np.ndarray:
