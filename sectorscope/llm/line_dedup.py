@@ -225,7 +225,8 @@ def _order() -> Column:
 def _candidate_lines(docs: DataFrame, heads: DataFrame, min_words: int) -> DataFrame:
     """Lines that share a half with another line: ``h``, ``sides``, ``first``, ``words`` (text),
     numbered in order of their first places."""
-    halves = _line_halves(docs, min_words)
+    # Read twice, and made from all texts.
+    halves = store(_line_halves(docs, min_words), "halves")
     shared = (
         halves.groupBy("key", "side").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
     ).select("key", "side")
