@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sectorscope.llm.chat import format_conversations, read_back
@@ -13,27 +13,55 @@ STREAMED_CHARS = 256
 
 
 def conversation_log(conversations: DataFrame) -> DataFrame:
-    """The log that would have led to the table: each row a message, opened with its first
-    characters; the rest arrives in streamed deltas.
+    """A log that leads to the table: each row a message, streamed in parts.
 
     Rows are messages in order of turn, role and text, so that rows that share a turn are
-    told apart.  The sequence numbers leave room for the deltas of the longest text.
+    told apart.  By a hash over all rows, one message in eight starts as a draft that an edit
+    replaces, one in eight as a draft that is answered and then regenerated, which takes the
+    answer back, and one event in five is delivered twice.  Events come in no order.  A
+    message's sequence numbers start at 2^32 times its number: up to three of the draft, then the
+    parts of its text.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text")
     )
     rows = rows.withColumn("message", F.row_number().over(order).cast("long"))
-    parts = F.ceil(F.greatest(F.length("text"), F.lit(1)) / F.lit(STREAMED_CHARS)).cast("int")
-    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return rows.select(
-        "conv_id",
-        (F.shiftleft("message", 32) + F.col("_part")).alias("seq"),
-        "message",
-        F.when(F.col("_part") == 0, "start").otherwise("delta").alias("kind"),
-        F.when(F.col("_part") == 0, F.col("role")).alias("role"),
-        F.substring("text", F.col("_part") * STREAMED_CHARS + 1, F.lit(STREAMED_CHARS)).alias("text"),
+    rows = rows.withColumn("_way", F.pmod(F.xxhash64("conv_id", "message"), F.lit(8)))
+    edited, regenerated = F.col("_way") == 0, F.col("_way") == 1
+
+    def event(at: Column, kind: Column, role: Column, text: Column, message: Column = F.col("message")) -> Column:
+        seq = F.shiftleft("message", 32) + at
+        return F.struct(
+            seq.alias("seq"), message.alias("message"), kind.alias("kind"), role.alias("role"), text.alias("text")
+        )
+
+    nobody = F.lit(None).cast("string")
+    draft = F.concat(F.lit("draft "), F.reverse(F.substring("text", 1, STREAMED_CHARS)))
+    opened = event(F.lit(0), F.lit("start"), F.col("role"), draft)
+    more = event(F.lit(1), F.lit("delta"), nobody, draft)
+    answer = [
+        event(F.lit(1), F.lit("start"), F.lit("user"), draft, F.col("message") + 1),
+        event(F.lit(2), F.lit("delta"), nobody, draft, F.col("message") + 1),
+    ]
+    first = F.when(edited, "edit").when(regenerated, "regenerate").otherwise("start")
+    given = F.when(~edited & ~regenerated, F.col("role"))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STREAMED_CHARS}}}"), F.lit(0))
+    parts = F.when(F.col("text") == "", F.array(F.lit(""))).otherwise(parts)
+    streamed = F.transform(
+        parts,
+        lambda t, p: event(p + 3, F.when(p == 0, first).otherwise("delta"), F.when(p == 0, given), t),
+    )
+    events = (
+        F.when(edited, F.concat(F.array(opened, more), streamed))
+        .when(regenerated, F.concat(F.array(opened, *answer), streamed))
+        .otherwise(streamed)
     )
+    log = rows.select("conv_id", F.inline(events))
+    twice = F.pmod(F.xxhash64("conv_id", "seq"), F.lit(5)) == 0
+    log = log.withColumn("_copy", F.explode(F.when(twice, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    log = log.sortWithinPartitions(F.xxhash64("seq", "conv_id", "_copy"))
+    return log.select("conv_id", "seq", "message", "kind", "role", "text")
 
 
 # What the rendering must say of each conversation; a backslash is added before each match of MARKS.

@@ -5,6 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from sectorscope.llm import chat
+from sectorscope.llm.queries.chat import conversation_log
 
 LOG = "conv_id long, seq long, message long, kind string, role string, text string"
 PARTS = ["\\", "#", "</turn>", "###", "\n", "a", " ", "é", "### Assistant:", "\U0001f600"]
@@ -73,3 +74,25 @@ def test_one_conversation_with_everything(spark):
     back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(log)).collect()}
     assert back[1].loss_sha256 == hashlib.sha256(b"better ###").hexdigest()
     assert back[1].n_turns == 3 and back[1].formatted_chars == len(text) and back[None].n_turns == 1
+
+
+def test_derived_log_leads_to_the_table(spark):
+    """All kinds of events occur, some twice, and the table comes back; extra columns do not clash."""
+    rng = random.Random(8)
+    texts = ["", None, "short", "\U0001f600" * 700, "x" * 256, "y" * 257, "a\nb\n" * 3000]
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(texts), c, "edit") for c in range(60) for t in range(c % 9)]
+    rows += [(None, 0, "user", "hello", 1, "start"), (5, 0, "user", "tie", 1, ""), (5, 0, "user", "tie", 2, "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, seq long, kind string")
+    log = conversation_log(table.repartition(3))
+    events = log.collect()
+    assert {e.kind for e in events} == {"start", "delta", "edit", "regenerate"}
+    assert len({(e.conv_id, e.seq) for e in events}) < len(events)
+    by_conv = {}
+    for e in events:
+        by_conv.setdefault(e.conv_id, []).append((e.seq, e.message, e.kind, e.role, e.text))
+    want = sorted(((c, m, r, t) for c, own in by_conv.items() for m, r, t in fold(own)), key=str)
+    got = sorted((tuple(r) for r in chat.reconstruct(log).collect()), key=str)
+    assert got == want
+    said = sorted(((c, r or "", t or "") for c, _, r, t, _, _ in rows), key=str)
+    assert sorted(((c, r, t) for c, _, r, t in got), key=str) == said
+    assert conversation_log(table.limit(0)).collect() == []
