@@ -17,7 +17,9 @@ stretches with a common anchor (winnowing).
 4. **Maximal repeats.** A document's repeated windows are joined into maximal runs, and the
    words they cover are removed.
 
-Nothing is ever paired within a group: a group of n stretches costs n rows.  Equality is that of
+Nothing is ever paired within a group: a group of n stretches costs n rows.  Anchors with
+``HOT_ROWS`` stretches or more, and one in ``HOT_PARTS`` of all repeated ones, are salted in every
+join, so no anchor, however frequent, meets in one task.  Equality is that of
 two independent 64-bit hashes.  All repeats are removed, the first occurrence too, and judged
 on the input.  Null or empty text: no words.  Rows repeated in id and text repeat each other: a
 window of one starts in the other as well.  Null ids are like others; extra columns are ignored;
@@ -31,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.llm.common import content_key
@@ -40,6 +42,10 @@ from sectorscope.sources.paths import store
 
 WINDOW = 35
 ANCHOR = 5
+# An anchor is hot from so many stretches on, if that is at least this part of all.
+HOT_ROWS = 10_000
+HOT_PARTS = 10_000
+SALTS = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _FIRST = (1 << 32) - 1
 
@@ -195,6 +201,24 @@ def _grown(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(run, "h long, w long, num long, at int, single boolean")
 
 
+def _hot_anchors(often: DataFrame) -> list[int]:
+    """Anchors with a large part of all repeated stretches; at most ``HOT_PARTS`` of them."""
+    total = often.agg(F.sum("c")).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_PARTS))
+    return [r.h for r in often.where(F.col("c") >= least).select("h").collect()]
+
+
+def _salted_join(big: DataFrame, other: DataFrame, on: list[str], hot: list[int], salt: Column) -> DataFrame:
+    """Inner join with ``other``, which has one row for each ``on``; rows of hot anchors are dealt to
+    ``SALTS`` tasks by ``salt``, and their partner goes to each of these."""
+    if not hot:
+        return big.join(other, on)
+    is_hot = F.col("h").isin(hot)
+    dealt = big.withColumn("_salt", F.when(is_hot, F.pmod(salt, F.lit(SALTS)).cast("int")).otherwise(0))
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(other.withColumn("_salt", F.explode(every)), [*on, "_salt"]).drop("_salt")
+
+
 def repeated_stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``_key``, ``_tag``, ``spans``: (first window, mask of the repeated ones among the next) of each
     document with a repeat.  Runs jobs: live seeds, kinds of stretches and their windows are stored.
@@ -202,23 +226,25 @@ def repeated_stretches(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if not 1 <= window <= 60:
         raise ValueError("A window has 1 to 60 words")
     seeds = _seeds(docs, window)
-    often = seeds.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    live = store(seeds.join(often, "h"), "seeds")
+    often = store(seeds.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    hot = _hot_anchors(often)
+    by_place, by_kind = F.xxhash64("key", "place"), F.xxhash64("num")
+    live = store(_salted_join(seeds, often.select("h"), ["h"], hot, by_place), "seeds")
     kinds = live.groupBy("h", "stretch").agg(F.count("*").alias("c"), F.min(F.struct("key", "place")).alias("rep"))
     kinds = store(kinds.withColumn("num", F.monotonically_increasing_id()), "stretches")
     several = kinds.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     # A stretch that occurs once matches other kinds in part at most.
-    parts = kinds.join(several, "h").withColumn("single", F.col("c") == 1)
+    parts = _salted_join(kinds, several, ["h"], hot, by_kind).withColumn("single", F.col("c") == 1)
     windows = store(_grown(docs, parts, window), "stretch-windows")
     shared = windows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
     masks = (
-        windows.where("single")
-        .join(shared, ["h", "w"])
+        _salted_join(windows.where("single"), shared, ["h", "w"], hot, by_kind)
         .groupBy("num")
         .agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
     )
     partly = kinds.join(masks, "num").select("rep.key", "rep.place", "mask")
-    whole = live.join(kinds.where("c > 1").select("h", "stretch"), ["h", "stretch"])
+    given = kinds.where("c > 1").select("h", "stretch")
+    whole = _salted_join(live, given, ["h", "stretch"], hot, by_place)
     whole = whole.select("key", "place", F.expr("shiftleft(1L, int(shiftright(place, 32) & 255)) - 1").alias("mask"))
     spans = whole.unionByName(partly).select(
         F.col("key").alias("_key"),

@@ -120,6 +120,21 @@ def test_repeats_of_odd_rows(odd_docs, clashing, no_docs):
     assert substring_dedup.remove_repeats(no_docs).collect() == []
 
 
+def test_repeats_with_hot_anchors(spark, monkeypatch):
+    """A passage in every document, in copies and in contexts of its own, through salted joins."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(substring_dedup, "SALTS", 5)
+    passage, long = prose(400, 12), prose(401, 60)
+    docs = [(k, f"{prose(3000 + k, 15)} {passage} {prose(4000 + k, 15)}") for k in range(60)]
+    docs += [(100 + k, long) for k in range(40)] + [(200 + k, f"{long} {prose(5000 + k, k)}") for k in range(40)]
+    docs += [(None, long), (7, None), (8, docs[8][1])]
+    frame = spark.createDataFrame(docs, DOC).repartition(6)
+    found = substring_dedup._hot_anchors(substring_dedup._seeds(frame, 9).groupBy("h").count().withColumnRenamed("count", "c"))
+    assert found
+    rows = substring_dedup.remove_repeats(frame, 9).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in rows), key=str) == repeats(docs, 9)
+
+
 def test_quality_keeps_clean_documents(spark, clashing, no_docs):
     kept = quality.keep_good(clashing)
     assert kept.columns == clashing.columns
