@@ -6,18 +6,18 @@ line hashes that is written to the shared folder; all counting starts from there
 * Inside a document: words, symbols, repeated lines, and words inside 3-word windows that
   occur twice or more.
 * Across documents: normalised lines (lower case, digit runs as ``0``, trimmed) are hashed,
-  and per host the distinct documents that carry a line are counted.  Documents with the
-  same set of lines count once, so a group of exact copies cannot make its own lines frequent.  A
-  line above both limits (a number and a share of the host's documents) is removed
-  everywhere but in the document with the lowest id that carries it: a group of near copies
-  above the limits keeps one whole document.  A document that loses more than
-  ``max_loss`` of its line characters is depleted and rejected.
+  and per host the distinct documents that carry a line are counted.  Documents of equal
+  text count once, so a group of exact copies cannot make its own lines frequent; documents
+  which differ in digits only are several.  A line in more than ``max_line_docs`` documents,
+  whatever the size of the host, is removed everywhere but in the document with the lowest
+  id that carries it: a group of near copies above the limit keeps one whole document.  A
+  document that loses more than ``max_loss`` of its line characters is depleted and rejected.
 
 :func:`quality_rules` returns measures and verdicts, :func:`keep_good` the rows that pass as they
-are; both count as above, as the SQL of the query does.  :func:`clean_good` returns the rows that
-pass without their frequent lines.  It counts documents by their text as given, so that documents
-which differ in digits only are several and only exact copies are one, and its limit is the
-number alone, whatever the size of the host.
+are, :func:`clean_good` the rows that pass without their frequent lines.
+
+Very long texts are handled whole, in time near proportional to their length; a row's lines and
+windows have to fit in a task's memory.
 
 Null text: no words, base rules fail.  Null host: a host of its own.  Null id: judged like
 any other row, but never the first carrier of a line.  Rows repeated in all of id, host and
@@ -102,25 +102,21 @@ def normal_lines(text: Column) -> Column:
     return F.transform(normal, lambda x: F.trim(x))
 
 
-def measures(
-    docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, by_text: bool = False
-) -> DataFrame:
-    """Per row: id, key, host, the base measures and the hashes and sizes of its lines; with ``by_text``
-    also the text's key."""
-    body = ["_body"] if by_text else []
+def measures(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """Per row: id, key, host, the text's key, the base measures and the hashes and sizes of its lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").alias("_id"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_host"),
         content_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("_key"),
         text.alias("_text"),
-        *[content_key(F.col("text")).alias(c) for c in body],
+        content_key(F.col("text")).alias("_body"),
     )
     rows = rows.select(
         "_id",
         "_host",
         "_key",
-        *body,
+        "_body",
         words(F.col("_text")).alias("_words"),
         F.regexp_count(F.col("_text"), F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(NOT_SPACE)).alias("_raw"),
@@ -130,7 +126,7 @@ def measures(
         "_id",
         "_host",
         "_key",
-        *body,
+        "_body",
         F.size("_words").cast("long").alias("n_words"),
         F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -151,26 +147,19 @@ def _line_set() -> Column:
     return F.sort_array(F.array_distinct(F.transform("_lines", lambda x: x["h"])))
 
 
-def frequent_lines(measured: DataFrame, max_docs: int, max_share: float | None, by_text: bool = False) -> DataFrame:
-    """Lines (host, hash) above both limits (the first alone without ``max_share``), with the lowest
-    id that carries them.  What is counted are line sets, or texts.
+def frequent_lines(measured: DataFrame, max_docs: int) -> DataFrame:
+    """Lines (host, hash) of more than ``max_docs`` distinct texts, with the lowest id that carries them.
 
     Copies collapse before lines are spread out, and every count is partially aggregated
     before its shuffle, so neither a hot host nor a hot line meets in one task.
     """
-    body = ["_host", "_set", *(["_body"] if by_text else [])]
-    bodies = measured.withColumn("_set", _line_set()).groupBy(*body).agg(F.min("_id").alias("_first"))
-    hosts = bodies.groupBy("_host").agg(F.count("*").alias("_docs"))
-    lines = (
+    bodies = measured.withColumn("_set", _line_set()).groupBy("_host", "_set", "_body").agg(F.min("_id").alias("_first"))
+    return (
         bodies.select("_host", "_first", F.explode("_set").alias("_line"))
         .groupBy("_host", "_line")
         .agg(F.count("*").alias("_n"), F.min("_first").alias("_first"))
         .where(F.col("_n") > max_docs)
     )
-    if max_share is None:
-        return lines.select("_host", "_line", "_n", "_first")
-    above = F.col("_n") > F.col("_docs") * F.lit(max_share)
-    return lines.join(hosts, "_host").where(above).select("_host", "_line", "_n", "_first")
 
 
 def _judged(
@@ -178,17 +167,13 @@ def _judged(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_line_docs: int = 20,
-    max_line_share: float | None = 0.1,
     max_loss: float = 0.7,
-    by_text: bool = False,
 ) -> DataFrame:
     """:func:`quality_rules`, and ``_gone``: the hashes of the frequent lines to remove, or null."""
-    measured = measures(docs, min_words, max_repeat_percent, by_text)
+    measured = measures(docs, min_words, max_repeat_percent)
     # The number of a row is fixed once it is written.
     measured = store(measured.withColumn("_row", F.monotonically_increasing_id()), "quality")
-    frequent = frequent_lines(measured, max_line_docs, max_line_share, by_text).select(
-        "_host", F.col("_line").alias("h"), "_first"
-    )
+    frequent = frequent_lines(measured, max_line_docs).select("_host", F.col("_line").alias("h"), "_first")
     lost = (
         measured.select("_row", "_id", "_host", F.inline("_lines"))
         .join(frequent, ["_host", "h"])
@@ -234,7 +219,7 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 def clean_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that pass, without their frequent lines in ``text`` but in the first
     document that carries them; ``n_chars`` follows the text."""
-    judged = _judged(docs, **{"max_line_share": None, "by_text": True} | limits).where("kept")
+    judged = _judged(docs, **limits).where("kept")
     # Rows that agree in id, host and text share their lines.
     judged = judged.groupBy("_id", "_key").agg(F.first("_gone", ignorenulls=True).alias("_gone"))
     left = docs.select(

@@ -26,7 +26,7 @@ WITH base AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY rid
 ), measures AS (
-  SELECT p.rid, p.doc_id, p.host, p.normal,
+  SELECT p.rid, p.doc_id, p.host, p.t, p.normal,
          CAST(len(ws) AS BIGINT) AS n_words,
          CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
@@ -34,16 +34,13 @@ WITH base AS (
          CAST(coalesce(c.n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM parts p LEFT JOIN covered c USING (rid)
 ), bodies AS (
-  SELECT host, list_sort(list_distinct(normal)) AS lines, min(doc_id) AS first_id
-  FROM measures GROUP BY host, list_sort(list_distinct(normal))
-), hosts AS (
-  SELECT host, count(*) AS docs FROM bodies GROUP BY host
+  SELECT host, list_distinct(any_value(normal)) AS lines, min(doc_id) AS first_id FROM measures GROUP BY host, t
 ), spread AS (
   SELECT host, first_id, unnest(lines) AS line FROM bodies
 ), counts AS (
   SELECT host, line, count(*) AS n, min(first_id) AS first_id FROM spread GROUP BY host, line
 ), frequent AS (
-  SELECT c.host, c.line, c.first_id FROM counts c JOIN hosts h USING (host) WHERE n > 20 AND n > docs * 0.1
+  SELECT host, line, first_id FROM counts WHERE n > 20
 ), occurrences AS (
   SELECT rid, doc_id, host, unnest(normal) AS line FROM measures
 ), lost AS (

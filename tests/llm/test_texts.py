@@ -1,6 +1,7 @@
 """Line dedup, substring dedup, quality rules, decontamination and shards."""
 
 import random
+import re
 
 import pytest
 from samples import edited, prose
@@ -161,6 +162,50 @@ def test_frequent_lines_deplete(spark):
     assert verdict[105].frequent_chars > 0 and verdict[305].frequent_chars == 0
 
 
+def frequent_line_verdicts(docs, limit, max_loss):
+    """Per row: frequent characters, whether it is depleted, and the text that is left; in plain Python."""
+
+    def lines(text):
+        return [re.sub("[0-9]+", "0", x.lower()).strip(" ") for x in (text or "").split("\n")]
+
+    carriers = {}
+    for doc_id, text, host in docs:
+        for x in set(lines(text)):
+            if x.strip():
+                carriers.setdefault((host, x), {}).setdefault(text, []).append(doc_id)
+    first = {k: min((i for own in v.values() for i in own if i is not None), default=None) for k, v in carriers.items() if len(v) > limit}
+    out = []
+    for doc_id, text, host in docs:
+        own = lines(text)
+        gone = [bool((host, x) in first and doc_id != first[host, x]) for x in own]
+        lost = sum(len(x) for x, g in zip(own, gone) if g)
+        total = sum(len(x) for x in own if x.strip())
+        left = "\n".join(x for x, g in zip((text or "").split("\n"), gone) if not g)
+        out.append((doc_id, lost, lost > max_loss * total, left))
+    return out
+
+
+def test_frequent_lines_against_plain_counts(spark):
+    """Lines of few and of many documents, digits apart, hosts, copies, null ids and hosts, ties."""
+    rng = random.Random(12)
+    pool = [f"{prose(k, 6)} {k}" for k in range(12)]
+    docs = []
+    for k in range(150):
+        own = prose(7000 + k, 20)
+        menu = [re.sub("[0-9]+", str(rng.randrange(99)), x) + " " * rng.randrange(2) for x in rng.sample(pool, rng.randrange(10))]
+        docs.append((k if k % 9 else None, "\n".join([own if k % 3 else "", *menu]), rng.choice(["a", "b", None])))
+    docs += [(500 + k, docs[5][1], docs[5][2]) for k in range(30)] + [(600, None, "a"), (601, "", "a"), (3, docs[3][1], docs[3][2])]
+    docs.append((700, " ".join(f"long{k}" for k in range(40_000)) + "\n" + pool[0], "a"))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    limits = {"min_words": 0, "max_repeat_percent": 100, "max_line_docs": 7, "max_loss": 0.5}
+    want = frequent_line_verdicts(docs, 7, 0.5)
+    got = quality.quality_rules(frame, **limits).collect()
+    assert sorted(((r.doc_id, r.frequent_chars, not r.kept) for r in got), key=str) == sorted((w[:3] for w in want), key=str)
+    assert any(w[1] for w in want) and any(w[2] for w in want) and not all(w[2] for w in want)
+    left = quality.clean_good(frame, **limits).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in left), key=str) == sorted(((w[0], w[3]) for w in want if not w[2]), key=str)
+
+
 def test_both_ways_to_find_repeated_windows(spark):
     rng = random.Random(4)
     docs = [(k, [rng.randrange(4 + k % 9) for _ in range(rng.randrange(60))]) for k in range(60)]
