@@ -6,9 +6,9 @@ are compared from ``min_chars`` characters on, where that is given.  A line is
 removed if an earlier line, by (document id, line number), is within the bound; the earliest
 stays.
 
-:func:`line_report` leaves a document whole that would lose more than ``max_loss`` of its words,
-as the SQL of its query has it.  :func:`dedup_lines` removes every late line.  It leaves a
-document whole only if the near-duplicate stage is to drop it: one that would lose more than
+:func:`line_report` removes every late line, whatever its share of the document (a caller may
+name a ``max_loss`` above which documents are left whole).  So does :func:`dedup_lines`, but it leaves a
+document whole if the near-duplicate stage is to drop it: one that would lose more than
 ``max_loss`` of its words, all to one other document that loses nothing itself and whose
 shingles are similar enough.
 
@@ -374,9 +374,9 @@ def _lines() -> Column:
     return F.collect_set(F.struct("line", "n")).alias("lines")
 
 
-def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """``_id``, ``_key``, ``lines`` (numbers, and words of each): what each document would lose."""
-    return _late_lines(docs, min_words).groupBy("_id", "_key").agg(_lines())
+    return _late_lines(docs, min_words, min_chars).groupBy("_id", "_key").agg(_lines())
 
 
 def _lost_but_by_copies(
@@ -457,10 +457,12 @@ def _rebuilt(docs: DataFrame, lost: DataFrame, max_loss: float = 1.0) -> DataFra
     return joined.mapInArrow(rebuild, schema)
 
 
-def line_report(docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = MAX_LOSS) -> DataFrame:
+def line_report(
+    docs: DataFrame, min_words: int = MIN_WORDS, max_loss: float = 1.0, min_chars: int | None = MIN_CHARS
+) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): ``doc_id``, ``n_lines``, ``n_removed``, ``kept_text``."""
     docs = docs.select("doc_id", "text")
-    rebuilt = _rebuilt(docs, removed_lines(docs, min_words), max_loss)
+    rebuilt = _rebuilt(docs, removed_lines(docs, min_words, min_chars), max_loss)
     return rebuilt.select(
         F.col("_id").alias("doc_id"),
         F.col("_n_lines").alias("n_lines"),

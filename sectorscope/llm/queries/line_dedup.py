@@ -7,19 +7,23 @@ from pyspark.sql import functions as F
 from sectorscope.llm.line_dedup import line_report
 from sectorscope.llm.queries.registry import query, table
 
-# Lines within one word edit: equal, or equal without the i-th word of either or both.
+# Lines within one word edit: equal, or equal without the i-th word of either or both.  Lines of fewer than
+# 6 words are compared whole, from 4 characters on.
 SQL = r"""
 WITH lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents
 ), worded AS (
-  SELECT doc_id, k,
+  SELECT doc_id, k, line,
          regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                             '[^\x20\x09-\x0D]+') AS w FROM lines
-), long AS (
-  SELECT doc_id, k, w FROM worded WHERE len(w) >= 6
+), compared AS (
+  SELECT doc_id, k, w FROM worded
+  WHERE len(w) >= 6 OR (len(w) > 0 AND length(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) >= 4)
+), firsts AS (
+  SELECT w, min((doc_id, k)) AS first_at FROM compared GROUP BY w
 ), heads AS (
-  SELECT w, min((doc_id, k)) AS first_at FROM long GROUP BY w
+  SELECT w, first_at FROM firsts WHERE len(w) >= 6
 ), variants AS (
   SELECT w, first_at, i, w[1:i - 1] || w[i + 1:] AS v
   FROM (SELECT w, first_at, unnest(generate_series(1, len(w))) AS i FROM heads)
@@ -31,18 +35,14 @@ WITH lines AS (
   SELECT b.w, min(a.first_at) FROM variants a JOIN heads b ON a.v = b.w GROUP BY b.w
 ), floors AS (
   SELECT w, min(place) AS place FROM near GROUP BY w
+  UNION ALL SELECT w, first_at FROM firsts WHERE len(w) < 6
 ), late AS (
-  SELECT doc_id, k, len(l.w) AS n FROM long l JOIN floors f ON l.w = f.w WHERE (doc_id, k) > f.place
-), losses AS (
-  SELECT doc_id, sum(n) AS lost FROM late GROUP BY doc_id
+  SELECT doc_id, k FROM compared l JOIN floors f ON l.w = f.w WHERE (doc_id, k) > f.place
 ), totals AS (
-  SELECT doc_id, sum(len(w)) AS total, count(*) AS n_lines FROM worded GROUP BY doc_id
-), gone AS (
-  SELECT doc_id, k FROM late JOIN losses USING (doc_id) JOIN totals USING (doc_id)
-  WHERE lost <= CAST(0.5 AS DOUBLE) * total
+  SELECT doc_id, count(*) AS n_lines FROM worded GROUP BY doc_id
 ), kept AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.k) AS kept_text, count(*) AS n_kept
-  FROM lines l ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id
+  FROM lines l ANTI JOIN late g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id
 )
 SELECT t.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_lines - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept_text, '')) AS kept_sha256

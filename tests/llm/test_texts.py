@@ -54,6 +54,26 @@ def test_lines_against_all_pairs(spark):
     assert got == late_lines(docs, 4)
 
 
+def test_report_loses_every_late_line(spark):
+    """Against all pairs: whole copies, own repeats, equal short lines; trivial lines and one-edit short ones stay."""
+    rng = random.Random(9)
+    pool = [" ".join(f"w{rng.randrange(5)}" for _ in range(rng.randrange(1, 9))) for _ in range(30)] + ["}", "{ }", "去年四月份"]
+    docs = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for k in range(50)]
+    docs += [(90, docs[3][1]), (91, "own line\n" * 50), (92, None), (93, "")]
+    lines = [(d, k, x) for d, t in docs for k, x in enumerate((t or "").split("\n"))]
+    late, earlier = late_lines(docs, 6), set()
+    for d, k, x in lines:
+        words = tuple(x.lower().split())
+        if 0 < len(words) < 6 and len(x.strip()) >= 4:
+            if words in earlier:
+                late.setdefault(d, set()).add(k)
+            earlier.add(words)
+    want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in late.get(d, ())) for d, t in docs if t is not None}
+    rows = line_dedup.line_report(spark.createDataFrame(docs, DOC).repartition(4)).collect()
+    assert {r.doc_id: r.kept_text for r in rows if r.doc_id != 92} == want and want[90] == "" and want[91] == "own line\n"
+    assert all(r.n_removed == len(late.get(r.doc_id, ())) for r in rows)
+
+
 def test_words_within_one_edit():
     rng = random.Random(2)
     for _ in range(3000):
