@@ -6,14 +6,16 @@ their own; the others are packed.
 
 Packing works on lengths alone, on narrow rows in the shared folder, dealt evenly over tasks.
 A task packs blocks of a fixed number of pieces: best fit, longest first, then a local search
-over the bins that are not full.  The search takes the emptiest bin and exchanges its pieces
-with those of fuller bins, one for one, two for one, one for two, or moves them, always with
-a gain in the sum of squared fills, so that it ends; a bin that becomes empty is a sequence
-saved.  What is left loose at the end of a block goes into a further round with the loose
+over the bins that are not full.  Each of them in turn exchanges its pieces with those of any
+other, fuller or not: one for one, two for one, one for two (all pairs of a bin), or moves them,
+always with the largest gain in the sum of squared fills, so that it ends; a bin that becomes
+empty is a sequence saved.  The search stops at a number of bins that no packing is below, or
+once it has tried every bin without a gain; nothing else bounds it.  What is left loose at the end of a block goes into a further round with the loose
 bins of the other blocks, until they make up one block.  A block is bounded by its number
 of pieces, whatever the size of the table, and no key decides which pieces share a block.
 
-Null text counts as empty and gives one piece that holds the end id.  Rows are handled one by
+Null text counts as empty and gives one piece that holds the end id.  A very long text is encoded
+in overlapping chunks and may give any number of pieces; equal lengths are packed in any order.  Rows are handled one by
 one, so repeated ids and texts are packed each.  Extra columns are ignored; an empty table
 gives no pieces.
 """
@@ -33,8 +35,6 @@ from sectorscope.llm.tokens import encoded_slices
 from sectorscope.sources.paths import store
 
 BLOCK_PIECES = 16_384
-# Bins that the search gives up on in a row before the block is done.
-PATIENCE = 24
 # Texts over this many characters are encoded in overlapping chunks.
 CHUNK_CHARS = 1 << 20
 # Bins at least this full are final; looser ones get another round.
@@ -101,22 +101,42 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A number of bins that no packing is below: for each size ``t``, pieces over ``capacity - t`` stand
+    alone, those over half share no bin, and what is left of their room takes pieces from ``t`` on."""
+    sizes = np.sort(np.asarray(lengths, dtype=np.int64))
+    if not len(sizes):
+        return 0
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    t = np.unique(np.concatenate([[0], sizes[sizes <= capacity // 2]]))
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    alone = np.searchsorted(sizes, capacity - t, side="right")
+    small = total[half] - total[np.searchsorted(sizes, t, side="left")]
+    room = (alone - half) * capacity - (total[alone] - total[half])
+    return int((len(sizes) - half + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
 class _Search:
-    """Exchanges between the emptiest bin and the others that are not full."""
+    """Exchanges between any bin that is not full and all others, as long as the sum of squared fills grows."""
 
     def __init__(self, lengths: np.ndarray, bins: list[list[int]], capacity: int):
         self.lengths, self.bins, self.capacity = lengths, bins, capacity
         self.fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
-        self.loose = np.flatnonzero(self.fill < capacity)
-        self._index()
-
-    def _index(self) -> None:
-        """Places of the pieces in bins that are not full, and of neighbours within a bin."""
-        self.loose = np.array([b for b in self.loose.tolist() if 0 < self.fill[b] < self.capacity], dtype=np.int64)
-        self.item = np.array([k for b in self.loose.tolist() for k in self.bins[b]], dtype=np.int64)
-        self.home = np.array([b for b in self.loose.tolist() for _ in self.bins[b]], dtype=np.int64)
-        self.size = self.lengths[self.item] if len(self.item) else np.zeros(0, dtype=np.int64)
-        self.pair = np.flatnonzero(self.home[1:] == self.home[:-1]) if len(self.home) > 1 else np.zeros(0, np.int64)
+        self.home = np.empty(len(lengths), dtype=np.int64)
+        for number, members in enumerate(bins):
+            self.home[members] = number
+        self._pairs_of_all()
+
+    def _pairs_of(self, b: int) -> np.ndarray:
+        """All pairs of a bin's pieces, a row each."""
+        members = np.array(self.bins[b], dtype=np.int64)
+        return np.stack([members[k] for k in np.triu_indices(len(members), 1)], axis=1)
+
+    def _pairs_of_all(self) -> None:
+        loose = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity)).tolist()
+        found = [self._pairs_of(b) for b in loose]
+        self.pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        self.listed = len(self.pairs)
 
     def _apply(self, source: int, target: int, out: list[int], back: list[int]) -> None:
         for k in out:
@@ -125,73 +145,80 @@ class _Search:
         for k in back:
             self.bins[target].remove(k)
             self.bins[source].append(k)
-        gain = int(self.lengths[out].sum() - (self.lengths[back].sum() if back else 0))
+        self.home[out], self.home[back] = target, source
+        gain = int(self.lengths[out].sum() - self.lengths[back].sum())
         self.fill[source] -= gain
         self.fill[target] += gain
+        # Pairs that no longer share a bin are passed over until the list has doubled.
+        self.pairs = np.concatenate([self.pairs, self._pairs_of(source), self._pairs_of(target)])
+        if len(self.pairs) > 2 * self.listed + 1024:
+            self._pairs_of_all()
+
+    def _best(self, source: int, sizes: np.ndarray, back: np.ndarray, home: np.ndarray) -> tuple[int, int, int]:
+        """Gain, place in the sorted ``sizes`` that leave, and place in ``back`` of the best exchange.
+
+        The gain grows with what the target wins, so each target takes the largest size that fits.
+        """
+        if not len(sizes) or not len(back):
+            return 0, 0, 0
+        fill = self.fill[home]
+        place = np.searchsorted(sizes, back + self.capacity - fill, side="right") - 1
+        won = sizes[place] - back
+        ok = (place >= 0) & (won > 0) & (home != source) & (fill > 0)
+        gain = np.where(ok, won * (fill - self.fill[source] + won), 0)
+        j = int(gain.argmax())
+        return int(gain[j]), int(place[j]), j
 
     def _step(self, source: int) -> bool:
-        """The exchange that fills another bin by most; False if there is none."""
+        """The exchange that raises the sum of squared fills by most; False if none does."""
         own = self.bins[source]
-        others = self.home != source
-        room = self.capacity - self.fill[self.home]
-        fuller = self.fill[self.home] >= self.fill[source]
-        best, move = 0, None
-        singles = [([k], int(self.lengths[k])) for k in dict.fromkeys(own)]
-        doubles = [
-            ([a, b], int(self.lengths[a] + self.lengths[b]))
-            for i, a in enumerate(own[:16])
-            for b in own[i + 1 : 16]
+        singles = np.array(sorted(own, key=lambda k: self.lengths[k]), dtype=np.int64)
+        doubles = self._pairs_of(source)
+        sums = self.lengths[doubles].sum(axis=1)
+        doubles, sums = doubles[order := np.argsort(sums, kind="stable")], sums[order]
+        bins = np.arange(len(self.bins))
+        same = self.home[self.pairs[:, 0]] == self.home[self.pairs[:, 1]]
+        pairs = self.pairs[same]
+        one = self.lengths[singles]
+        kinds = [
+            (singles[:, None], one, np.zeros((len(bins), 0), np.int64), np.zeros(len(bins), np.int64), bins),  # move
+            (singles[:, None], one, np.arange(len(self.home))[:, None], self.lengths, self.home),  # one for one
+            (doubles, sums, np.arange(len(self.home))[:, None], self.lengths, self.home),  # two for one
+            (singles[:, None], one, pairs, self.lengths[pairs].sum(axis=1), self.home[pairs[:, 0]]),  # one for two
         ]
-        for out, size in singles:  # move
-            gain_room = np.where(others & (room >= size), room, self.capacity + 1)
-            if len(gain_room) and (j := int(gain_room.argmin())) >= 0 and gain_room[j] <= self.capacity and size > best:
-                best, move = size, (out, [], int(self.home[j]))
-        for out, size in singles + doubles:  # one for one, two for one
-            gain = size - self.size
-            gain = np.where(others & fuller & (gain <= room), gain, 0)
-            if len(gain) and gain[j := int(gain.argmax())] > best:
-                best, move = int(gain[j]), (out, [int(self.item[j])], int(self.home[j]))
-        if len(self.pair):
-            both = self.size[self.pair] + self.size[self.pair + 1]
-            allowed = (others & fuller)[self.pair]
-            for out, size in singles:  # one for two
-                gain = size - both
-                gain = np.where(allowed & (gain <= room[self.pair]), gain, 0)
-                if gain[j := int(gain.argmax())] > best:
-                    at = int(self.pair[j])
-                    best, move = int(gain[j]), (out, self.item[[at, at + 1]].tolist(), int(self.home[at]))
+        best, move = 0, None
+        for out, sizes, back, back_sizes, home in kinds:
+            gain, i, j = self._best(source, sizes, back_sizes, home)
+            if gain > best:
+                best, move = gain, (int(home[j]), out[i].tolist(), back[j].tolist())
         if move is None:
             return False
-        out, back, target = move
-        self._apply(source, target, out, back)
-        self._index()
+        self._apply(source, *move)
         return True
 
-    def run(self, patience: int) -> list[list[int]]:
-        least = -(-int(self.fill.sum()) // self.capacity)
-        used, stuck, given_up = int((self.fill > 0).sum()), 0, set()
-        while used > least and stuck < patience:
-            open_bins = [b for b in self.loose.tolist() if b not in given_up]
-            if not open_bins:
-                break
-            source = min(open_bins, key=lambda b: (self.fill[b], b))
-            while self.fill[source] and self._step(source):
-                pass
-            if self.fill[source]:
-                given_up.add(source)
-                stuck += 1
-            else:
-                used, stuck = used - 1, 0
+    def run(self) -> list[list[int]]:
+        """Ends at the least number of bins, or when no bin has an exchange left."""
+        least = least_bins(self.lengths, self.capacity)
+        changed = True
+        while changed:
+            changed = False
+            for source in np.argsort(self.fill, kind="stable").tolist():
+                while 0 < self.fill[source] < self.capacity:
+                    if np.count_nonzero(self.fill) <= least:
+                        return [b for b in self.bins if b]
+                    if not self._step(source):
+                        break
+                    changed = True
         return [b for b in self.bins if b]
 
 
-def pack(lengths: np.ndarray, capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def pack(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of positions with at most ``capacity`` in each."""
     lengths = np.asarray(lengths, dtype=np.int64)
-    return _Search(lengths, best_fit(lengths, capacity), capacity).run(patience)
+    return _Search(lengths, best_fit(lengths, capacity), capacity).run()
 
 
-def _pack_round(rows: DataFrame, capacity: int, number: int, last: bool, block: int, patience: int) -> DataFrame:
+def _pack_round(rows: DataFrame, capacity: int, number: int, last: bool, block: int) -> DataFrame:
     fields = [f.name for f in rows.schema]
     schema = rows.select(
         "*",
@@ -219,7 +246,7 @@ def _pack_round(rows: DataFrame, capacity: int, number: int, last: bool, block:
         for table in blocks():
             lengths = table.column("length").to_numpy()
             order, ids, offsets, closed = [], [], [], []
-            for members in pack(lengths, capacity, patience):
+            for members in pack(lengths, capacity):
                 fill = 0
                 for k in members:
                     order.append(k)
@@ -242,7 +269,6 @@ def pack_documents(
     capacity: int = 2048,
     end_id: int = 0,
     block: int = BLOCK_PIECES,
-    patience: int = PATIENCE,
 ) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
@@ -259,7 +285,7 @@ def pack_documents(
     while waiting:
         tasks = -(-waiting // block)
         last = tasks == 1
-        packed = store(_pack_round(left.repartition(tasks), capacity, number, last, block, patience), "packed")
+        packed = store(_pack_round(left.repartition(tasks), capacity, number, last, block), "packed")
         out = out.unionByName(packed.where("_closed").drop("_closed"))
         if last:
             break
@@ -268,7 +294,7 @@ def pack_documents(
         number += 1
         if waiting > 0.8 * before:  # rounds no longer shrink: each block keeps what it has
             number += 1
-            packed = store(_pack_round(left.repartition(tasks), capacity, number, True, block, patience), "packed")
+            packed = store(_pack_round(left.repartition(tasks), capacity, number, True, block), "packed")
             out = out.unionByName(packed.drop("_closed"))
             break
     return out
