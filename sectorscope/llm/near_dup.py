@@ -75,11 +75,17 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """Per row: id, key, set size, 128-bit key of the set, signature, compressed text."""
-    out = docs.select(
-        F.col("doc_id").alias("_id"),
-        content_key(F.col("doc_id"), F.col("text")).alias("_key"),
+def _sketches(docs: DataFrame, whole_rows: bool) -> DataFrame:
+    """Per row: id, key, set size, 128-bit key of the set, signature, compressed text; with
+    ``whole_rows`` all other columns (``_rest``) and whether the text is null (``_no_text``) as well."""
+    given = [F.col("doc_id").alias("_id"), content_key(F.col("doc_id"), F.col("text")).alias("_key")]
+    if whole_rows:
+        other = [F.col(quoted(c)) for c in docs.columns if c != "text"]
+        given += [F.struct(*other).alias("_rest"), F.col("text").isNull().alias("_no_text")]
+    rows = docs.select(*given, "text")
+    carried = rows.columns[:-1]
+    out = rows.select(
+        *carried,
         *[F.lit(0).cast("long").alias(c) for c in ("n", "k1", "k2")],
         F.array(F.lit(0)).alias("sig"),
         F.lit(b"").alias("packed"),
@@ -105,14 +111,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
                     flat = signatures(full).reshape(-1)
                 sig = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, pa.int32()))
                 packed = [pack_text(t) for t in texts.cast(pa.binary()).to_pylist()]
-                columns = [rows.column("_id"), rows.column("_key"), pa.array(n)]
+                columns = [*(rows.column(c) for c in carried), pa.array(n)]
                 columns += [pa.array(k.view(np.int64)) for k in (k1, k2)]
                 columns += [sig, pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", "n", "k1", "k2", "sig", "packed"])
+                yield pa.RecordBatch.from_arrays(columns, [*carried, "n", "k1", "k2", "sig", "packed"])
 
-    rows = docs.select(
-        F.col("doc_id").alias("_id"), content_key(F.col("doc_id"), F.col("text")).alias("_key"), "text"
-    )
     return rows.mapInArrow(sketch, out)
 
 
@@ -429,17 +432,19 @@ def _with_more(links: DataFrame, labels: DataFrame, more: DataFrame) -> tuple[Da
 
 
 def _order() -> Column:
-    """Sorts rows by id, those without one last, and then by what they hold."""
-    return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))
+    """Sorts rows by id, those without one last, then by what they hold, then by number."""
+    return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"), "_row")
 
 
-def _labelled(docs: DataFrame, percent: int, trees: int) -> tuple[DataFrame, DataFrame]:
+def _labelled(
+    docs: DataFrame, percent: int, trees: int, whole_rows: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """The stored sketches, and the classes with their component's ``label``, least id (``first_id``)
     and first row (``first``).
 
     Runs jobs: sketches, levels of the trees, two rounds of confirmation, components.
     """
-    rows = store(_sketches(docs).withColumn("_row", F.monotonically_increasing_id()), "sketches")
+    rows = store(_sketches(docs, whole_rows).withColumn("_row", F.monotonically_increasing_id()), "sketches")
     filled = rows.where(F.col("n") > 0)
     by_set = store(
         filled.groupBy("n", "k1", "k2").agg(
@@ -501,22 +506,21 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Rows without words are linked with nothing; of those that agree in id and text one stays.
     """
-    rows, labelled = _labelled(docs, percent, TREES)
-    first = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first.id", "first.key")
-    blank = rows.where(F.col("n") == 0).select(F.col("_id").alias("id"), F.col("_key").alias("key")).distinct()
-    # A row is found again by id and key, which repeated rows share.
-    repeated = rows.groupBy(F.col("_id").alias("id"), F.col("_key").alias("key")).agg(F.count("*").alias("c")).where("c > 1")
-    chosen = first.unionByName(blank).alias("f")
-    same = (F.col("f.key") == F.col("c.key")) & F.col("f.id").eqNullSafe(F.col("c.id"))
-    chosen = chosen.join(repeated.alias("c"), same, "left").select("f.id", "f.key", F.col("c.c").isNotNull().alias("again"))
-    left = docs.select(
-        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"),
-        F.col("doc_id").alias("_id"),
-        content_key(F.col("doc_id"), F.col("text")).alias("_key"),
-    ).alias("l")
-    right = store(chosen, "chosen").alias("r")
-    same = (F.col("l._key") == F.col("r.key")) & F.col("l._id").eqNullSafe(F.col("r.id"))
-    found = left.join(right, same).select("l._row", "l._id", "l._key", "r.again")
-    once = found.where("NOT again").select("_row")
-    of_many = found.where("again").groupBy("_id", "_key").agg(F.first("_row").alias("_row")).select("_row")
-    return once.unionByName(of_many).select("_row.*")
+    rows, labelled = _labelled(docs, percent, TREES, whole_rows=True)
+    first = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    blank = rows.where(F.col("n") == 0).groupBy("_id", "_key").agg(F.min("_row").alias("_row")).select("_row")
+    # The stored rows hold compressed texts, so that these and no plain ones move.
+    found = rows.select("_row", "_rest", "_no_text", "packed").join(first.unionByName(blank), "_row")
+    found = found.select("_rest", "_no_text", "packed")
+    schema = found.select("_rest", F.lit("").alias("_text")).schema
+    schema["_text"].nullable = True
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in row_slices(batch, "packed", max_bytes=1 << 20):
+                held = zip(part.column("packed").to_pylist(), part.column("_no_text").to_pylist())
+                texts = pa.array([None if none else unpack_text(p) for p, none in held], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("_rest"), texts.view(pa.string())], ["_rest", "_text"])
+
+    columns = [F.col("_text").alias("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns]
+    return found.mapInArrow(unpack, schema).select(*columns)
