@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sectorscope.operators.sizing import settle
+
+# Keys of 8 bytes that are broadcast at most, which is some 30 MB in an executor.
+MAX_KEYS = 1_000_000
+
 # Word separators, as characters and as Java regular expressions.
 SPACES = " \t\n\x0b\f\r"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -27,6 +32,16 @@ def content_key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, on: str, max_keys: int = MAX_KEYS) -> DataFrame:
+    """The rows whose number ``on`` is among ``keys`` (one column, distinct numbers).
+
+    Runs a job that counts the keys: up to ``max_keys`` are broadcast, so that the rows stay where
+    they are; more are joined by shuffle, with the same result.
+    """
+    side, few = settle(keys, max_keys)
+    return rows.join(F.broadcast(side) if few else side, on, "left_semi")
+
+
 def keep_rows(docs: DataFrame, verdict: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``docs``, all their columns unchanged, whose (first of ``columns``, key of
     all ``columns``) is in ``verdict`` (``_id``, ``_key``).

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sectorscope.llm import near_dup
-from sectorscope.llm.common import content_key, quoted
+from sectorscope.llm.common import content_key, quoted, with_keys
 from sectorscope.llm.hashing import LOWER, _place_values, column_bytes, mix, row_slices, word_hashes, word_spans
 from sectorscope.sources.paths import store
 
@@ -401,7 +401,7 @@ def _lost_but_by_copies(
     pairs = lost.where(share & one).select(F.col("_low.key").alias("a"), F.col("_key").alias("b"))
     pairs = store(pairs.join(lost.select(F.col("_key").alias("a")), "a", "left_anti"), "copies")
     wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
-    texts = _packed_texts(docs).join(wanted, "_key", "left_semi").groupBy("_key").agg(F.first("_packed").alias("packed"))
+    texts = with_keys(_packed_texts(docs), wanted, "_key").groupBy("_key").agg(F.first("_packed").alias("packed"))
     copies = near_dup.confirmed(pairs, texts.withColumnRenamed("_key", "v"), percent)
     return lost.join(copies.select(F.col("b").alias("_key")), "_key", "left_anti").select("_id", "_key", "lines")
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sectorscope.llm.common import content_key, quoted
+from sectorscope.llm.common import content_key, quoted, with_keys
 from sectorscope.llm.components import components
 from sectorscope.llm.hashing import mix, row_slices, shingle_sets
 from sectorscope.sources.paths import store
@@ -115,6 +115,7 @@ def _sketches(docs: DataFrame, whole_rows: bool) -> DataFrame:
                 columns += [pa.array(k.view(np.int64)) for k in (k1, k2)]
                 columns += [sig, pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*carried, "n", "k1", "k2", "sig", "packed"])
+        pa.default_memory_pool().release_unused()  # the worker waits for further tasks
 
     return rows.mapInArrow(sketch, out)
 
@@ -458,8 +459,7 @@ def _labelled(
     pairs, whole = _candidates(classes, percent, trees)
     # The texts of all classes that are looked at again move once.
     involved = reduce(DataFrame.unionByName, [pairs.select(F.col(c).alias("v")) for c in ("a", "b")], whole.select("v"))
-    texts = filled.select(F.col("_row").alias("v"), "packed").join(involved.distinct(), "v")
-    texts = store(texts, "texts")
+    texts = store(with_keys(filled.select(F.col("_row").alias("v"), "packed"), involved.distinct(), "v"), "texts")
     # First round: for each class one candidate, a sure one with the lowest number if it has any.
     sure = F.col("share") >= int(0.85 * WIDTH)
     choice = F.struct(
@@ -521,6 +521,7 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
                 held = zip(part.column("packed").to_pylist(), part.column("_no_text").to_pylist())
                 texts = pa.array([None if none else unpack_text(p) for p, none in held], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("_rest"), texts.view(pa.string())], ["_rest", "_text"])
+        pa.default_memory_pool().release_unused()  # the worker waits for further tasks
 
     columns = [F.col("_text").alias("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns]
     return found.mapInArrow(unpack, schema).select(*columns)

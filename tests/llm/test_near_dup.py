@@ -4,7 +4,7 @@ import brute
 import pytest
 from samples import edited, prose
 
-from sectorscope.llm import near_dup
+from sectorscope.llm import common, near_dup
 
 
 def found(docs):
@@ -80,3 +80,12 @@ def test_one_row_of_a_group_stays(spark):
     kept = [tuple(r) for r in near_dup.keep_first(docs).collect()]
     assert sorted((r[0] for r in kept), key=str) == [1, 2, 4, 5, 9, None, None]
     assert set(kept) <= set(rows) and (9, mixed, "b") in kept and (None, None, "a") in kept
+
+
+@pytest.mark.parametrize("max_keys", [0, 2, 100])
+def test_rows_with_keys(spark, max_keys):
+    """Broadcast or shuffled, the same rows."""
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "v long, x string")
+    keys = spark.createDataFrame([(1,), (3,), (7,)], "v long")
+    assert sorted(tuple(r) for r in common.with_keys(rows, keys, "v", max_keys).collect()) == [(1, "a"), (1, "b"), (3, "d")]
+    assert common.with_keys(rows, keys.where("v > 9"), "v", max_keys).collect() == []
