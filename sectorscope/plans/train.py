@@ -112,14 +112,14 @@ def train_words(
     """Split, count the words of the training part, fit the offsets on the validation part.
 
     ``prepared`` has ``text`` and ``label`` (numbers from 0, as in ``labels``).  The split corpus, the
-    weights and the validation scores are stored.
+    counts behind the weights and the validation scores are stored.
     """
     n_classes = labels.count()
     if n_classes > MAX_CLASSES:
         raise ValueError(f"More than {MAX_CLASSES} classes")
     corpus = store(stratified_split(prepared, "label", id_col, test_size, val_size, seed), "corpus")
     train, validation = (corpus.where(F.col("split") == part) for part in ("train", "validation"))
-    weights = store(tm.fit_weights(train, n_classes, id_col=id_col), "weights")
+    weights = tm.fit_weights(train, n_classes, id_col=id_col)
     logits = tm.score_words(validation, weights, n_classes, id_col=id_col)
     scored = store(logits.join(validation.select(id_col, "label"), id_col), "validation-logits")
     offsets, curve = tm.fit_offsets(scored, n_classes, steps, rate, penalty)

@@ -76,3 +76,32 @@ def test_objective_falls_and_gradient_is_its_slope(spark):
     assert steps == sorted(steps, reverse=True) and len(steps) == 6 and len(fitted) == 3
     with pytest.raises(ValueError):
         tm.objective(scored.limit(0), offsets, 0.3)
+
+
+def test_most_words_stay_where_their_row_is(spark):
+    """Words of the broadcast part and the others add up, and a job shuffles few of them."""
+    data = [(k, " ".join(["the", "of", f"w{k % 7}", f"rare{k}", "The", f"w{k % 5}"]), k % 2) for k in range(60)]
+    rows = spark.createDataFrame(data, SCHEMA)
+    weights = tm.fit_weights(rows, 2)
+    want = brute(data, 2)
+    assert {r["word"]: pytest.approx(r["weights"]) for r in weights.collect()} == want
+    for bound in (0, 3, 20, 10_000):
+        scores = dict(values(tm.score_words(rows, weights, 2, max_rows=bound), "id"))
+        for k, text, _ in data:
+            mine = [want[w] for w in text.lower().split()]
+            assert scores[k] == pytest.approx([sum(w[c] for w in mine) / len(mine) for c in range(2)])
+    condition, is_all = tm._frequent(weights, 20)
+    assert not is_all and 0 < weights.where(condition).count() <= 20
+    plan = tm._counted_words(rows, "text", "label", "id", None)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_rows_that_share_an_id_count_as_one(spark):
+    data = [(1, "cat cat", 0), (1, "cat dog", 0), (1, "cat", 1), (None, "cow", 1), (None, "cow cow", 1), (2, "dog", 1)]
+    found = {r["word"]: r for r in tm.fit_weights(spark.createDataFrame(data, SCHEMA), 2).collect()}
+    rows_with = {"cat": 2, "dog": 2, "cow": 1}
+    assert {w: r["idf"] for w, r in found.items()} == {w: pytest.approx(math.log(7 / (d + 1))) for w, d in rows_with.items()}
+    counts = {"cat": (3, 1), "dog": (1, 1), "cow": (0, 3)}
+    for word, c in counts.items():
+        share = [math.log((c[k] + 1) / (sum(x[k] for x in counts.values()) + 3)) for k in range(2)]
+        assert found[word]["weights"] == pytest.approx([found[word]["idf"] * s for s in share])
