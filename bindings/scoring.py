@@ -24,10 +24,11 @@ from sectorscope.functions import scores as sc
 from sectorscope.functions.codes import CLASS_CODES
 from sectorscope.operators import classify as cl
 from sectorscope.operators import corpus, summary
+from sectorscope.operators.sizing import lookup_join
 from sectorscope.plans import score as ps
 from sectorscope.plans.train import train_classifier, train_words
 from sectorscope.sources import writers
-from sectorscope.sources.paths import shared_folder
+from sectorscope.sources.paths import shared_folder, store
 from sectorscope.sources.writers import load_model
 
 _NAMED = f"{LOGITS_CTE}, {LABEL_CTE}"
@@ -178,9 +179,15 @@ def trained(spark, sf_dir, **kwargs):
     return train_classifier(language_repos(spark, sf_dir), **{**settings, **kwargs})
 
 
-def with_model(spark, sf_dir, model, labels):
+def model_texts(spark, sf_dir, run):
+    """``id`` and ``text`` of all documents, stored: texts the training has cleaned are not cleaned again."""
     rows = language_repos(spark, sf_dir)
-    texts = rows.withColumn("text", corpus.training_text_column(rows))
+    left_out = lookup_join(rows, run.labels.select("code"), "code", "left_anti")
+    others = store(left_out.select("id", corpus.training_text_column(left_out).alias("text")), "other-texts")
+    return run.corpus.select("id", "text").unionByName(others)
+
+
+def with_model(texts, model, labels):
     return cl.classify(cl.score_with_model(texts, model), labels)
 
 
@@ -270,8 +277,9 @@ def model_stored(spark, sf_dir):
     folder = shared_folder(spark, "model")
     run = trained(spark, sf_dir, save_to=folder)
     model, labels = load_model(spark, folder)
-    own = with_model(spark, sf_dir, run.model, run.labels).select("id", F.col("predicted_naics").alias("a"), F.col("confidence").alias("x"))
-    back = with_model(spark, sf_dir, model, labels).select("id", F.col("predicted_naics").alias("b"), F.col("confidence").alias("y"))
+    texts = model_texts(spark, sf_dir, run)
+    own = with_model(texts, run.model, run.labels).select("id", F.col("predicted_naics").alias("a"), F.col("confidence").alias("x"))
+    back = with_model(texts, model, labels).select("id", F.col("predicted_naics").alias("b"), F.col("confidence").alias("y"))
     return own.join(back, "id").select(
         "id", (F.col("a") == F.col("b")).alias("same_class"), (F.col("x") == F.col("y")).alias("same_confidence")
     )

@@ -31,6 +31,7 @@ class Training:
     sizes: DataFrame  # rows of every split
     gap: DataFrame
     curve: DataFrame
+    corpus: DataFrame  # stored: id, text as trained on, label and split
 
 
 def train_classifier(
@@ -82,7 +83,7 @@ def train_classifier(
     if save_to:
         save_model(model, labels, save_to)
     sizes = corpus.groupBy("split").agg(F.count("*").alias("n_rows"))
-    return Training(model, labels, by_split, sizes, ev.generalization_gap(by_split), curve)
+    return Training(model, labels, by_split, sizes, ev.generalization_gap(by_split), curve, corpus)
 
 
 @dataclass

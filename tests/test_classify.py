@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sectorscope.functions import scores as sc
 from sectorscope.operators import classify as cl
-from sectorscope.operators import summary
+from sectorscope.operators import corpus, summary
 from sectorscope.plans import evaluate as pe
 from sectorscope.plans import score as ps
 from sectorscope.plans.train import train_classifier
@@ -205,3 +205,29 @@ def test_external_scorer_sees_bounded_batches(spark, tmp_path):
         assert r["probabilities"][0] == pytest.approx(1 / (1 + math.exp(-min(n, 700))))
     seen = [tuple(map(int, line.split())) for line in open(log)]
     assert all(n <= 64 and (n == 1 or n * longest <= 1000) for n, longest in seen)
+
+
+def test_texts_are_cleaned_and_counted_once(spark, monkeypatch):
+    """The fit reads stored counts only, and the training hands on its texts."""
+    stored, store = [], cl.store
+
+    def noted(df, name):
+        stored.append((name, df.columns))
+        return store(df, name)
+
+    monkeypatch.setattr(cl, "store", noted)
+    run = train_classifier(repos(spark), min_samples=10, reg_params=(0.001, 1.0), max_iter=2, n_features=256)
+    assert stored == [("train-counts", ["label", "_counts"]), ("validation-counts", ["label", "_counts"])]
+    rows = repos(spark)
+    want = rows.select("id", corpus.training_text_column(rows).alias("text"))
+    assert sorted(map(tuple, run.corpus.select("id", "text").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stored_model_scores_classes_left_out(spark, tmp_path):
+    from bindings import scoring
+
+    data = [(k, "aa bb cc" if k % 2 else "dd ee", "x" if k % 2 else "y", "s") for k in range(60)]
+    data += [(60, "aa dd", "rare", "s"), (61, "ee", None, "s"), (62, None, "x", "s")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(tuple, scoring.model_stored(spark, str(tmp_path)).collect()))
+    assert found == [(k, True, True) for k in range(63)]
