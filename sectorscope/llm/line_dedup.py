@@ -12,7 +12,7 @@ document whole if the near-duplicate stage is to drop it: one that would lose mo
 ``max_loss`` of its words, all to one other document that loses nothing itself and whose
 shingles are similar enough.
 
-1. Lines are hashed in one pass, and equal lines become one, with its first place.
+1. Lines and their halves are hashed in one pass, and equal lines become one, with its first place.
 2. Two lines within one edit share the first or the last half of the shorter one.  Lines that
    share no half with another line cannot have a partner; the others go on.
 3. Each of those emits its variants: itself, and itself without one word, for the words of the
@@ -144,7 +144,7 @@ def within_one_edit(a: list, b: list) -> bool:
 
 @lru_cache(maxsize=1)
 def _codec() -> pa.Codec:
-    return pa.Codec("zstd", compression_level=6)
+    return pa.Codec("zstd", compression_level=2)
 
 
 def _pack(text: bytes | None) -> bytes | None:
@@ -176,10 +176,12 @@ def _long(array: np.ndarray) -> pa.Array:
 
 
 def _line_places(docs: DataFrame, min_words: int, min_chars: int | None = None) -> DataFrame:
-    """``_id``, ``_key``, ``line``, ``n``, ``h`` of every line that is compared, ``total`` (words of its text)."""
+    """``_id``, ``_key``, ``line``, ``n``, ``h`` of every line that is compared, ``total`` (words of its text),
+    ``halves``: keys of a first and a last half in turn, none of lines of fewer than ``min_words``."""
     names = ["line", "n", "h", "total"]
     keyed = _keyed(docs)
-    schema = keyed.select("_id", "_key", *[F.lit(0).cast("long").alias(c) for c in names]).schema
+    columns = [F.lit(0).cast("long").alias(c) for c in names]
+    schema = keyed.select("_id", "_key", *columns, F.array(F.lit(0).cast("long")).alias("halves")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _slices(batches, "_text"):
@@ -192,29 +194,22 @@ def _line_places(docs: DataFrame, min_words: int, min_chars: int | None = None)
             columns = [rows.column("_id").take(row), rows.column("_key").take(row)]
             total = np.bincount(lines.row, weights=lines.size, minlength=rows.num_rows)[lines.row]
             columns += [_long(x[long]) for x in (lines.number, lines.size, lines.hashes(), total)]
-            yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", *names])
+            line, key, _ = lines.halves()
+            # By line; within one a stable sort keeps first and last halves in turn.
+            order = np.argsort(line, kind="stable")
+            order = order[lines.size[line[order]] >= min_words]
+            bounds = np.zeros(len(long) + 1, dtype=np.int32)
+            bounds[1:] = np.cumsum(np.bincount(line[order], minlength=len(lines.size))[long])
+            columns.append(pa.ListArray.from_arrays(pa.array(bounds), _long(key[order])))
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_key", *names, "halves"])
 
     return keyed.mapInArrow(run, schema)
 
 
-def _line_halves(docs: DataFrame, min_words: int) -> DataFrame:
-    """``key``, ``side``, ``h``: the halves of every line; equal ones of a batch once."""
-    schema = "key long, side int, h long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _slices(batches, "_text"):
-            lines = Lines(rows.column("_text"))
-            line, key, side = lines.halves()
-            long = lines.size[line] >= min_words
-            h = lines.hashes()[line[long]]
-            table = np.unique(np.stack([key[long], side[long].astype(np.uint64), h], axis=1), axis=0) if len(h) else None
-            if table is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [_long(table[:, 0].copy()), pa.array(table[:, 1].astype(np.int32)), _long(table[:, 2].copy())],
-                    ["key", "side", "h"],
-                )
-
-    return _keyed(docs).mapInArrow(run, schema)
+def _line_halves(places: DataFrame) -> DataFrame:
+    """``key``, ``side``, ``h``: the halves of every line."""
+    halves = places.select("h", F.posexplode("halves").alias("place", "key"))
+    return halves.select("key", F.when(F.col("place") % 2 == 0, PREFIX).otherwise(SUFFIX).alias("side"), "h")
 
 
 def _order() -> Column:
@@ -222,11 +217,10 @@ def _order() -> Column:
     return F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"), "line")
 
 
-def _candidate_lines(docs: DataFrame, heads: DataFrame, min_words: int) -> DataFrame:
+def _candidate_lines(docs: DataFrame, places: DataFrame, heads: DataFrame) -> DataFrame:
     """Lines that share a half with another line: ``h``, ``sides``, ``first``, ``words`` (text),
     numbered in order of their first places."""
-    # Read twice, and made from all texts.
-    halves = store(_line_halves(docs, min_words), "halves")
+    halves = _line_halves(places)
     shared = (
         halves.groupBy("key", "side").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
     ).select("key", "side")
@@ -363,11 +357,11 @@ def _late_lines(docs: DataFrame, min_words: int, min_chars: int | None = None) -
         raise ValueError("Lines of fewer than 4 words have no halves to share")
     places = store(_line_places(docs, min_words, min_chars), "line-places")
     heads = places.groupBy("h").agg(F.min(_order()).alias("first"), F.count("*").alias("c"))
-    candidates = _candidate_lines(docs, heads, min_words)
+    candidates = _candidate_lines(docs, places, heads)
     partners = _verified(_earliest_partners(candidates), candidates)
     repeated = heads.where("c > 1").select("h", "first")
     floor = repeated.unionByName(partners).groupBy("h").agg(F.min("first").alias("floor"))
-    return places.join(floor, "h").where(_order() > F.col("floor"))
+    return places.drop("halves").join(floor, "h").where(_order() > F.col("floor"))
 
 
 def _lines() -> Column:

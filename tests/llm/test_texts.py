@@ -339,3 +339,19 @@ def test_equal_lines_of_few_words(spark):
     assert texts[0] == rows[0][1]
     assert all(texts[k] == f"{prose(950 + k, 60)}\n}}\n去年四" for k in range(1, 4))
     assert texts[9] == f"{prose(960, 60)}\n{line[:-1]}\nAll rights"
+
+
+def test_lines_and_halves_are_hashed_in_one_pass(spark):
+    """Halves come from the stored places, so that texts are read once for both."""
+    text = "a b c d e f\nshort line\na b c x y z\nq r s d e f\na b c d e f g"
+    places = line_dedup._line_places(spark.createDataFrame([(1, text), (2, None), (3, "a b c d e f")], DOC), 6)
+    keys = {}
+    for r in line_dedup._line_halves(places).collect():
+        keys.setdefault((r.side, r.key), set()).add(r.h)
+    line = {r.line: r.h for r in places.where("_id = 1").collect()}
+    assert sorted(line) == [0, 2, 3, 4] and {r.h for r in places.where("_id = 3").collect()} == {line[0]}
+    shared = sorted((side, sorted(h)) for (side, _), h in keys.items() if len(h) > 1)
+    # Of 3 words, and of 2 among lines of 6 words.
+    first = [(line_dedup.PREFIX, sorted(line[k] for k in some)) for some in ((0, 2, 4), (0, 2))]
+    assert shared == sorted([*first, *[(line_dedup.SUFFIX, sorted([line[0], line[3]]))] * 2])
+    assert sorted(len(r.halves) for r in places.collect()) == [2, 4, 4, 4, 4]
