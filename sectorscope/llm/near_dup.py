@@ -211,23 +211,42 @@ def _small_nodes(rows: DataFrame, percent: int) -> DataFrame:
 
 def _with_hub(rows: DataFrame, percent: int) -> DataFrame:
     """Each class of a large node against the node's first one: ``path``, ``a``, ``b``, ``share``, and
-    whether they may be similar."""
+    whether they may be similar.
+
+    The first class is sent once to each group of about ``SMALL`` classes, so that the classes of
+    a node need no join with it and are spread over tasks.
+    """
     least = int(np.ceil(LEAST_SHARE * WIDTH))
+    groups = F.ceil(F.col("size") / F.lit(SMALL)).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), groups - 1))
+    given = ["path", "v", "n", "sig"]
+    hubs = rows.where("v = hub").select(*given, every.alias("salt"), F.lit(0).alias("second"))
+    members = rows.select(*given, F.pmod(F.xxhash64("v"), groups).alias("salt"), F.lit(1).alias("second"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last hub so far
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v, hub = batch.column("v").to_numpy(), batch.column("hub").to_numpy()
-            same = (_signature_matrix(batch.column("sig")) == _signature_matrix(batch.column("hub_sig"))).sum(axis=1)
-            ok = _allowed(batch.column("n").to_numpy(), batch.column("hub_n").to_numpy(), percent) & (same >= least)
-            edges = _edges([v], [hub], [same])
+            if held is not None:
+                batch = pa.concat_batches([held, batch])
+            path, salt, v, n, second = (batch.column(c).to_numpy() for c in ("path", "salt", "v", "n", "second"))
+            at = np.maximum.accumulate(np.where(second == 0, np.arange(len(v)), 0))
+            if second[0] or (path != path[at]).any() or (salt != salt[at]).any():
+                raise ValueError("A class came before its hub")
+            held = batch.slice(int(at[-1]), 1)
+            own = np.flatnonzero(second)
+            at = at[own]
+            sig = _signature_matrix(batch.column("sig"))
+            same = (sig[own] == sig[at]).sum(axis=1)
+            ok = _allowed(n[own], n[at], percent) & (same >= least)
+            edges = _edges([v[own]], [v[at]], [same])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("path"), *edges.columns, pa.array(ok)], ["path", "a", "b", "share", "similar"]
+                [pa.array(path[own]), *edges.columns, pa.array(ok)], ["path", "a", "b", "share", "similar"]
             )
 
-    rows = rows.select("path", "v", "n", "sig", "hub", "hub_n", "hub_sig")
-    return rows.mapInArrow(compare, f"path long, {EDGES}, similar boolean")
+    ordered = hubs.unionByName(members).repartition("path", "salt").sortWithinPartitions("path", "salt", "second")
+    return ordered.mapInArrow(compare, f"path long, {EDGES}, similar boolean")
 
 
 def _chosen(path: Column, sig: Column, branch: int) -> Column:
@@ -268,16 +287,19 @@ def _candidates(classes: DataFrame, percent: int, trees: int) -> tuple[DataFrame
         members = store(members, "members")
         found.append(_small_nodes(members.where(F.col("size") <= SMALL), percent))
         large = members.where(F.col("size") > SMALL)
-        first = large.where("v = hub").groupBy("path").agg(F.first("n").alias("hub_n"), F.first("sig").alias("hub_sig"))
-        compared = store(_with_hub(large.join(first, "path"), percent), "hubs")
+        compared = store(_with_hub(large, percent), "hubs")
         found.append(compared.where("similar AND a <> b").select("a", "b", "share"))
-        alike = F.avg(F.col("similar").cast("int")) >= (DENSE if depth < DEPTH else 0)
-        dense = compared.groupBy("path").agg(alike.alias("dense"))
-        large = store(large.join(dense, "path"), "large")
-        whole.append(large.where("dense").select("path", "v", "size"))
-        branching = large.where("NOT dense")
-        if branching.isEmpty():
+        staying = large.select("path", "v", "size")
+        if depth == DEPTH:
+            whole.append(staying)
             break
+        few = compared.groupBy("path").agg(F.avg(F.col("similar").cast("int")).alias("alike")).where(F.col("alike") < DENSE)
+        few = store(few.select("path"), "branching-nodes")
+        if few.isEmpty():
+            whole.append(staying)
+            break
+        whole.append(store(staying.join(few, "path", "left_anti"), "whole"))
+        branching = store(large.select("path", "v", "n", "sig").join(few, "path"), "branching")
         children = [_chosen(F.col("path"), F.col("sig"), k) for k in range(BRANCHES)]
         level = branching.select("v", "n", "sig", F.explode(F.array(*children)).alias("path"))
     pairs = reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(F.max("share").alias("share"))
@@ -335,11 +357,11 @@ def _links_in_nodes(whole: DataFrame, labels: DataFrame, texts: DataFrame, perce
     rows = rows.join(mixed, "path")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("v"), blocks.cast("long")).cast("int")
-    waiting = rows.select("path", "v", "label", own.alias("block"), F.lit(0).alias("visits"))
-    visiting = rows.where(F.col("label") != F.col("main")).select(
-        "path", "v", "label", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(1).alias("visits")
-    )
-    rows = waiting.unionByName(visiting).join(texts, "v")
+    waits = F.array(F.struct(own.alias("block"), F.lit(0).alias("visits")))
+    visits = F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("block"), F.lit(1).alias("visits")))
+    places = F.when(F.col("label") != F.col("main"), F.concat(waits, visits)).otherwise(waits)
+    rows = rows.select("path", "v", "label", F.explode(places).alias("p"))
+    rows = rows.select("path", "v", "label", "p.block", "p.visits").join(texts, "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, block, known = None, [], None, {}

@@ -58,6 +58,47 @@ def test_large_nodes(spark, monkeypatch, small, depth, dense):
     assert found(docs) == expected(docs)
 
 
+def test_rows_of_joins_by_node(spark, monkeypatch):
+    """The classes of a large node are joined once for their level and once for where they go on."""
+    base, rows = prose(60, 120), []
+    docs = spark.createDataFrame([(k, edited(base, k, 1 + k % 3)) for k in range(150)], "doc_id long, text string")
+    join = type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "path":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    got = found(docs)
+    monkeypatch.undo()
+    assert got == expected(docs)
+    assert rows[0] > 1000 and sum(rows) < 2.2 * rows[0]
+
+
+def test_every_class_meets_the_first_one(spark, monkeypatch):
+    """In batches smaller than a node, and in nodes of one group and of many."""
+    monkeypatch.setattr(near_dup, "SMALL", 20)
+    rng, rows, want = random.Random(6), [], set()
+    for path, size in ((-5, 21), (3, 130), (4, 500)):
+        first = [rng.randrange(9) for _ in range(near_dup.WIDTH)]
+        for k in range(size):
+            sig = [x if not k or rng.random() < 0.5 else -1 for x in first]
+            n, share = 100 + k % 50, sum(x == y for x, y in zip(sig, first))
+            rows.append((path, 1000 + k, size, 1000, n, sig))
+            similar = 100 * 100 >= 75 * n and share >= near_dup.LEAST_SHARE * near_dup.WIDTH
+            want.add((path, 1000, 1000 + k, share, similar))
+    rng.shuffle(rows)
+    given = spark.createDataFrame(rows, "path long, v long, size long, hub long, n long, sig array<int>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(r) for r in near_dup._with_hub(given, 75).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_limit_is_exact(spark):
     """8 words of 4 shingles in common: 3 of 4 together is a link, less is none."""
     words = [f"w{k}" for k in range(40)]
